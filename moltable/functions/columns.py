@@ -54,21 +54,25 @@ def log1p_checked(x: Column) -> Column:
     ).otherwise(F.log1p(x))
 
 
+def _path_parts(path: Column) -> Column:
+    return F.split(F.regexp_replace(path, "/+$", ""), "/")
+
+
 def path_stem(path: Column, suffix: str = ".csv") -> Column:
     """Last part of a path without ``suffix``."""
-    return F.replace(F.element_at(F.split(path, "/"), -1), F.lit(suffix), F.lit(""))
+    return F.replace(F.element_at(_path_parts(path), -1), F.lit(suffix), F.lit(""))
 
 
 def path_parent(path: Column, suffix: str = ".csv") -> Column:
     """Name of the folder a path lies in, empty if there is none."""
-    parts = F.split(path, "/")
+    parts = _path_parts(path)
     parent = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit(""))
     return F.replace(parent, F.lit(suffix), F.lit(""))
 
 
 def log_basename(path: Column) -> Column:
     """Last part of a path without a trailing ``.log``."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.log$", "")
+    return F.regexp_replace(F.element_at(_path_parts(path), -1), r"\.log$", "")
 
 
 def display4(x: Column) -> Column:

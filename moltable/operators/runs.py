@@ -90,7 +90,7 @@ def log_table(lines: DataFrame) -> DataFrame:
     )
     rows = F.array(
         *[
-            F.struct(F.lit(label).alias("file"), *[F.round(f"{p}_{c}", 4).alias(c) for c in values])
+            F.struct(F.lit(label).alias("file"), *[F.col(f"{p}_{c}").alias(c) for c in values])
             for label, p in (("AVERAGE (no outliers)", "low"), ("AVERAGE (all)", "all"))
         ]
     )
