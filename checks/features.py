@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.registry import check, table
@@ -41,8 +42,6 @@ def feat_table(spark, sf_dir):
     "SELECT doc_id, length(text)::DOUBLE AS n_chars, len(regexp_extract_all(text, '[A-Z]'))::DOUBLE AS n_upper FROM documents",
 )
 def udf_feature(spark, sf_dir):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def upper_letters(text: pd.Series) -> pd.Series:
         return text.str.count("[A-Z]").astype("float64")

@@ -88,19 +88,18 @@ def tok_pair_counts(spark, sf_dir):
 
 
 def _trained(spark, sf_dir, size):
-    counts = vc.piece_counts(table(spark, sf_dir, "documents"), vc.pretokenize(F.col("text")))
-    return vc.train_bpe(counts, size)
+    return vc.train_bpe(vc.byte_piece_counts(table(spark, sf_dir, "documents"), "text"), size)
 
 
 # Training is a loop over the whole table; it is compared with a public trainer in the tests.
 @check("tok_train_bpe")
 def tok_train_bpe(spark, sf_dir):
-    return _trained(spark, sf_dir, 400).merge_table(spark)
+    return _trained(spark, sf_dir, 256).merge_table(spark)
 
 
 @check("tok_encode_bpe")
 def tok_encode_bpe(spark, sf_dir):
-    encoded = tk.encode_bpe(table(spark, sf_dir, "documents"), "text", _trained(spark, sf_dir, 300))
+    encoded = tk.encode_bpe(table(spark, sf_dir, "documents"), "text", _trained(spark, sf_dir, 200))
     return encoded.select("doc_id", *_checksum(F.col("ids")))
 
 

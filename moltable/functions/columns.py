@@ -24,7 +24,7 @@ def finite_or_zero(x: Column) -> Column:
 
 
 def nan_to_num(vec: Column) -> Column:
-    """NaN and infinities inside a vector become 0."""
+    """Null, NaN and infinities inside a vector become 0; each element is evaluated once."""
     return F.transform(vec, finite_or_zero)
 
 
@@ -77,7 +77,7 @@ def log_basename(path: Column) -> Column:
 
 def display4(x: Column) -> Column:
     """Four decimals, or "N/A" for null."""
-    return F.coalesce(F.format_string("%.4f", x), F.lit("N/A"))
+    return F.when(x.isNotNull(), F.format_string("%.4f", x)).otherwise("N/A")
 
 
 def pack_labels(columns: list[str], task: str) -> Column:

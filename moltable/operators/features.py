@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltable.functions.columns import finite_or_zero
+from moltable.functions.columns import nan_to_num
 from moltable.operators.index import seeded_digest
 
 FORBIDDEN = ("Ipc",)  # fixed value: a descriptor whose size ruins every statistic
@@ -46,7 +46,7 @@ def feature_table(
     """
     kept = feature_names(features)
     parsable = (F.length(text_col) > 0) if parsable is None else parsable
-    cells = F.array(*[finite_or_zero(features[f].cast("double")) for f in kept])
+    cells = nan_to_num(F.array(*[features[f].cast("double") for f in kept]))
     zeros = F.array(*[F.lit(0.0) for _ in kept])
     return df.withColumn(name, F.when(parsable, cells).otherwise(zeros))
 

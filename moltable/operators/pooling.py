@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltable.operators.stats import WIDE_DIMS
-
+WIDE_DIMS = 256  # vectors up to this long are aggregated as columns, longer ones as (index, value) rows
 POOLINGS = ("cls", "mean", "max_cls", "max_seq_mean", "sum_mean", "sum_sum", "mean_sum", "mean_mean")  # fixed values
 
 
@@ -21,8 +20,9 @@ def aggregate_vectors(
 ) -> DataFrame:
     """Element-wise aggregate of vectors per key, with further aggregates beside it.
 
-    Up to WIDE_DIMS elements are one aggregate each, so partial results are one row per key and
-    task. Longer vectors become (index, value) rows first and are put together again.
+    Up to WIDE_DIMS elements are one aggregate each: one shuffle of one row per key and task, with
+    many keys a quarter of the bytes of the other way. Longer vectors, whose generated code would
+    not compile, become (index, value) rows first and are put together again.
     """
     if dim <= WIDE_DIMS:
         cells = [element(F.col(vec)[i].cast("double")) for i in range(dim)]

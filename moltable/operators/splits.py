@@ -10,9 +10,8 @@ import math
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from moltable.operators.index import with_shuffled_index
 from moltable.runtime import stage
@@ -73,83 +72,72 @@ def group_map(df: DataFrame, key: str, id_col: str = "row_idx") -> DataFrame:
 
 @dataclass(frozen=True)
 class _Rule:
-    """Groups of one block that a pass takes: first in [lo, hi), at most max_n rows."""
+    """Groups that a pass takes: first position in [lo, hi), at most max_n rows, not taken before."""
 
-    block: int
     seq: int
     lo: int
     hi: int
     max_n: int
 
 
-_RULES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("seq", T.IntegerType()),
-            T.StructField("lo", T.LongType()),
-            T.StructField("hi", T.LongType()),
-            T.StructField("max_n", T.LongType()),
-        ]
-    )
-)
-
-
-def _with_pass(groups: DataFrame, rules: list[_Rule]) -> DataFrame:
-    """Add ``seq``: the first pass that takes the group, null if none does."""
-    if not rules:
-        return groups.withColumn("seq", F.lit(None).cast("int"))
-    by_block: dict[int, list] = {}
-    for r in rules:
-        by_block.setdefault(r.block, []).append((r.seq, r.lo, r.hi, r.max_n))
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("_rules", _RULES)])
-    table = groups.sparkSession.createDataFrame(list(by_block.items()), schema)
-    hits = F.filter(
-        "_rules", lambda r: (F.col("first") >= r["lo"]) & (F.col("first") < r["hi"]) & (F.col("n") <= r["max_n"])
-    )
-    seq = F.array_min(F.transform(hits, lambda r: r["seq"]))
-    return groups.join(table, "block", "left").withColumn("seq", seq).drop("_rules")
+def _pass_of(rules: list[_Rule]) -> Column:
+    """The first pass that takes a group (first, n), null if none does."""
+    first, n = F.col("first"), F.col("n")
+    seq = F.lit(None).cast("int")
+    for r in reversed(rules):
+        seq = F.when((first >= r.lo) & (first < r.hi) & (n <= r.max_n), r.seq).otherwise(seq)
+    return seq
 
 
 def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int) -> int:
     """One greedy pass: in first-seen order take every unused group that still fits.
 
     Appends the rules that describe what was taken and returns the capacity left. The driver sees
-    one summary row per block. A block that fits whole is taken whole, one whose smallest group is
+    one summary row per block. Blocks that fit whole are taken whole, one whose smallest group is
     too large is passed over; only a block on the edge is looked into. There, all groups up to the
     one that overflows are taken, and the search goes on behind it for groups no larger than the
     remaining space.
     """
-    free = _with_pass(groups, rules).where(F.col("seq").isNull() & (F.col("n") <= capacity))
-    left = capacity
+    free = groups.where(_pass_of(rules).isNull() & (F.col("n") <= capacity))
     summary = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least"))
-    # One row per block, in order, and no more of them than it takes to fill up.
-    for block, rows, least in summary.orderBy("block").toLocalIterator():
+    left, whole_from = capacity, None
+
+    def close(at: int) -> None:
+        nonlocal whole_from
+        if whole_from is not None:
+            rules.append(_Rule(seq, whole_from, at, capacity))
+            whole_from = None
+
+    # One summary per ``width`` positions, however many groups there are.
+    for block, rows, least in sorted(summary.collect()):
         if left == 0:
             break
         lo, end = block * width, (block + 1) * width
         if rows <= left:
-            rules.append(_Rule(block, seq, lo, end, rows))
+            whole_from = lo if whole_from is None else whole_from
             left -= rows
             continue
+        close(lo)
         if least > left:
             continue
         inside = free.where(F.col("block") == block).select("block", "first", "n")
+        so_far = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
         while left > 0:
-            so_far = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-            running = F.sum("n").over(so_far)
-            fits = inside.where((F.col("first") >= lo) & (F.col("n") <= left)).withColumn("running", running)
+            fits = inside.where((F.col("first") >= lo) & (F.col("n") <= left)).withColumn(
+                "running", F.sum("n").over(so_far)
+            )
             over = F.col("running") > left
             taken, blocker = fits.agg(
                 F.max(F.when(~over, F.col("running"))), F.min(F.when(over, F.col("first")))
             ).first()
-            if taken is None:
-                break
             hi = end if blocker is None else blocker
-            rules.append(_Rule(block, seq, lo, hi, left))
-            left -= taken
+            if taken is not None:
+                rules.append(_Rule(seq, lo, hi, left))
+                left -= taken
             if blocker is None:
                 break
             lo = blocker + 1
+    close(end if whole_from is not None else 0)
     return left
 
 
@@ -184,7 +172,7 @@ def group_kfold(
                 if on_underfull == "error":
                     raise SplittingError(message)
                 warnings.warn(message, stacklevel=2)
-    held = _with_pass(groups, rules).where("seq is not null").select("_key", "seq")
+    held = groups.select("_key", _pass_of(rules).alias("seq")).where("seq is not null")
     fold = F.col("fold")
     split = (
         F.when(F.col("seq") == fold * 2, "val").when(F.col("seq") == fold * 2 + 1, "test").otherwise("train")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from moltable.functions.columns import clean_property, finite_or_zero, float_columns, is_finite, log1p_checked, nan_to_null, zscore
 
-WIDE_DIMS = 256  # vectors up to this long are aggregated as columns, longer ones as (index, value) rows
-
 # Dataset name fragments, in order, and the transform each asks for.
 TRANSFORM_OF = {
     "delaney": "zscore",
@@ -113,24 +111,13 @@ def undo_transforms(df: DataFrame, steps: list[tuple[str, DataFrame | None]], co
 def label_stats(df: DataFrame, vec_col: str, names: list[str]) -> DataFrame:
     """Mean and population deviation per position of a label vector: (label_idx, label_name, mean, std).
 
-    A vector of the given width; every row counts, rows of zeros too.
+    Every row counts, rows of zeros too. Vectors are taken apart before they are grouped: what is
+    shuffled is one partial row per position and task, whatever the width.
     """
-    width = len(names)
-    if width <= WIDE_DIMS:
-        vec = F.col(vec_col)
-        cells = [
-            F.struct(
-                F.lit(i).alias("label_idx"),
-                F.lit(name).alias("label_name"),
-                F.avg(vec[i].cast("double")).alias("mean"),
-                F.stddev_pop(vec[i].cast("double")).alias("std"),
-            )
-            for i, name in enumerate(names)
-        ]
-        return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     listed = F.array(*[F.lit(n) for n in names])
     return (
         df.select(F.posexplode(vec_col).alias("label_idx", "x"))
+        .where(F.col("label_idx") < len(names))
         .groupBy("label_idx")
         .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
         .select("label_idx", listed[F.col("label_idx")].alias("label_name"), "mean", "std")

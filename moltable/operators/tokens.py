@@ -93,11 +93,10 @@ def encode_words(
     if n_tokens <= BROADCAST_TOKENS:
         known = F.broadcast(known)
     pieces = df.select(id_col, F.posexplode_outer(word_lists).alias("_pos", "_word"))
-    cells = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", unk_id).alias("_id")))
-    ordered = F.array_sort(F.collect_list(cells))
-    return (
-        pieces.join(known, "_word", "left").groupBy(id_col).agg(F.transform(ordered, lambda c: c["_id"]).alias("ids"))
-    )
+    cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", unk_id).alias("_id")))
+    numbered = pieces.join(known, "_word", "left").select(id_col, cell.alias("_cell"))
+    ordered = F.array_sort(F.collect_list("_cell"))
+    return numbered.groupBy(id_col).agg(F.transform(ordered, lambda c: c["_id"]).alias("ids"))
 
 
 def special_ids(tokens: DataFrame, special: list[str]) -> dict[str, int]:

@@ -27,7 +27,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}+|[^\p{IsWhite_Space}\p{L}\
 
 SYMBOL_BASE = 0x10000
 CANDIDATES = 512  # best pairs looked at per round
-REPLACES_PER_STAGE = 96  # merges applied on the fly before the pieces are written anew
+REPLACES_PER_STAGE = 24  # merges applied on the fly before the pieces are written anew
+PIECES_PER_TASK = 5_000  # rows that make a task of the training loop worth its start
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -63,6 +64,12 @@ def piece_counts(df: DataFrame, pieces: Column, name: str = "piece") -> DataFram
     return df.select(F.explode(pieces).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
+def byte_piece_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """Counts of byte-level pre-tokens; pieces are spelled in bytes once each, after counting."""
+    counts = piece_counts(df, raw_pieces(F.col(text_col)))
+    return counts.select(byte_level(F.col("piece")).alias("piece"), "n")
+
+
 @dataclass
 class Vocabulary:
     """Tokens in id order, and merges in rank order. Never larger than the size asked for."""
@@ -164,7 +171,10 @@ def train_bpe(
     merges: list[tuple[str, str]] = []
 
     start = F.translate("piece", "".join(alphabet), "".join(symbol_of[c] for c in alphabet))
-    pieces = stage(counts.select(start.alias("s"), "n").where("length(s) > 1"), "symbols")
+    # The pieces are few bytes and much work: one task per core, not one per block of bytes.
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, counts.count() // PIECES_PER_TASK))
+    pieces = stage(counts.select(start.alias("s"), "n").where("length(s) > 1").repartition(tasks), "symbols")
     pending: list[tuple[str, str]] = []
     while len(tokens) < vocab_size:
         if len(pending) > REPLACES_PER_STAGE:
