@@ -139,40 +139,39 @@ def met_regression(spark, sf_dir):
 
 
 def metric_logs(spark, sf_dir):
-    """Logs per event type: validation scores, final results and other lines, one line per event.
+    """Logs per event type, four lines per event: a step, validation scores and final results.
 
-    The type "error" has no metric line, "click" no rms.
+    The type "error" has no metric lines, "click" none of rms.
     """
-    score = F.format_string("%.4f", F.col("value") / 100)
-    rms = F.format_string("%.4f", F.col("value"))
-    kind, quiet = F.col("event_id") % 4, F.col("event_type").isin("error")
-    no_rms = F.col("event_type").isin("error", "click")
-    line = (
-        F.when((kind == 0) & ~quiet, F.concat(F.lit("epoch 1 | Val mean-roc_auc_score: "), score, F.lit(" done")))
-        .when((kind == 1) & ~no_rms, F.concat(F.lit("Val rms_score: "), rms))
-        .when((kind == 2) & ~quiet, F.concat(F.lit("Final Triplicate Test Results - Avg mean-roc_auc_score: "), score, F.lit(", Std Dev: "), score))
-        .when((kind == 3) & ~no_rms, F.concat(F.lit("Final Triplicate Test Results - Avg rms_score: "), rms, F.lit(", Std Dev: "), score))
-        .otherwise(F.concat(F.lit("step "), F.col("event_id")))
+    score, rms = F.format_string("%.4f", F.col("value") / 100), F.format_string("%.4f", F.col("value"))
+    quiet, no_rms = F.col("event_type") == "error", F.col("event_type").isin("error", "click")
+    candidates = F.array(
+        F.concat(F.lit("step "), F.col("event_id")),
+        F.when(~quiet, F.concat(F.lit("epoch 1 | Val mean-roc_auc_score: "), score, F.lit(" done"))),
+        F.when(~no_rms, F.concat(F.lit("Val rms_score: "), rms)),
+        F.when(~quiet, F.concat(F.lit("Final Triplicate Test Results - Avg mean-roc_auc_score: "), score, F.lit(", Std Dev: "), score)),
+        F.when(~no_rms, F.concat(F.lit("Final Triplicate Test Results - Avg rms_score: "), rms, F.lit(", Std Dev: "), score)),
+    )
+    lines = (
+        table(spark, sf_dir, "events")
+        .select(F.concat("event_type", F.lit(".log")).alias("file"), "event_id", F.posexplode(candidates).alias("at", "value"))
+        .where("value is not null")
     )
-    lines = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(".log")).alias("file"), "event_id", line.alias("value"))
     folder = new_path(spark, "logs")
-    ordered = lines.repartitionByRange("file", "event_id").sortWithinPartitions("file", "event_id")
-    ordered.select("file", "value").write.partitionBy("file").text(folder)
+    order = ["file", "event_id", "at"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("file", "value").write.partitionBy("file").text(folder)
     return folder
 
 
 BEST_SQL = """
-    SELECT event_type AS file,
-           round(max(value / 100) FILTER (event_id % 4 = 0 AND event_type <> 'error'), 4) AS max_val_roc,
-           round(min(value) FILTER (event_id % 4 = 1 AND event_type NOT IN ('error', 'click')), 4) AS min_val_rms
+    SELECT event_type AS file, round(max(value / 100) FILTER (event_type <> 'error'), 4) AS max_val_roc,
+           round(min(value) FILTER (event_type NOT IN ('error', 'click')), 4) AS min_val_rms
     FROM events GROUP BY 1
 """
 FINAL_SQL = """
-    SELECT event_type AS file,
-           round(arg_min(value / 100, event_id) FILTER (event_id % 4 = 2), 4) AS roc_avg,
-           round(arg_min(value / 100, event_id) FILTER (event_id % 4 = 2), 4) AS roc_std,
-           round(arg_min(value, event_id) FILTER (event_id % 4 = 3 AND event_type <> 'click'), 4) AS rms_avg,
-           round(arg_min(value / 100, event_id) FILTER (event_id % 4 = 3 AND event_type <> 'click'), 4) AS rms_std
+    SELECT event_type AS file, round(arg_min(value / 100, event_id), 4) AS roc_avg, round(arg_min(value / 100, event_id), 4) AS roc_std,
+           round(arg_min(value, event_id) FILTER (event_type <> 'click'), 4) AS rms_avg,
+           round(arg_min(value / 100, event_id) FILTER (event_type <> 'click'), 4) AS rms_std
     FROM events WHERE event_type <> 'error' GROUP BY 1
 """
 

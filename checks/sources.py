@@ -8,7 +8,7 @@ from checks.features import FEATURE_SQL, NAMES
 from checks.registry import check, table
 from checks.splits import RANDOM_SQL
 from moltable.operators.features import text_features
-from moltable.operators.index import with_file_order, with_global_index
+from moltable.operators.index import with_global_index
 from moltable.operators.prepare import clean_index, keep_labels
 from moltable.operators.splits import random_kfold, splits_from_files
 from moltable.operators.validate import check_arity, check_task, require_columns, resolve_labels
@@ -350,8 +350,8 @@ def prj_clean_index(spark, sf_dir):
     )
     path = new_path(spark, "raw") + ".csv"
     write_csv(raw, path)
-    read = with_file_order(read_csv(spark, path, raw.schema))
-    return clean_index(read, "p_name", ["_file_order"]).select("row_idx", "p_partkey", "p_name", "p_size")
+    cleaned = clean_index(read_csv(spark, path, raw.schema), "p_name")
+    return cleaned.select("row_idx", "p_partkey", "p_name", "p_size")
 
 
 @check("prj_labels", "SELECT p_name, p_size, p_retailprice FROM part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import check, table
 from moltable.operators import tokens as tk
 from moltable.operators import vocab as vc
-from moltable.runtime import new_path, stage
+from moltable.runtime import new_path
 
 WORDS = r"regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')"
 PIECES = r"regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')"
@@ -36,8 +36,7 @@ def _word_vocabulary(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return tk.encode_words(docs, "doc_id", vc.words(F.col("text")), _word_vocabulary(spark, sf_dir), VOCAB)
+    return tk.encode_words(table(spark, sf_dir, "documents"), vc.words(F.col("text")), _word_vocabulary(spark, sf_dir))
 
 
 def _framed(spark, sf_dir):
@@ -112,12 +111,12 @@ def tok_from_vocab(spark, sf_dir):
 
 @check("tok_vocabulary", VOCAB_SQL)
 def tok_vocabulary(spark, sf_dir):
-    return _word_vocabulary(spark, sf_dir)
+    return _word_vocabulary(spark, sf_dir).token_table(spark)
 
 
 @check("tok_check_special", f"SELECT token, id FROM ({VOCAB_SQL}) WHERE id < 5")
 def tok_check_special(spark, sf_dir):
-    return vc.check_special(stage(_word_vocabulary(spark, sf_dir), "tokens"))
+    return vc.check_special(_word_vocabulary(spark, sf_dir).token_table(spark))
 
 
 @check("tok_encode", f"SELECT doc_id, {CHECKSUM_SQL} FROM ({IDS_SQL}) GROUP BY doc_id")
@@ -250,4 +249,6 @@ def tok_vocab_stats(spark, sf_dir):
     f"SELECT v.id, v.token, count(w.id) AS n FROM ({VOCAB_SQL}) v LEFT JOIN ({IDS_SQL}) w ON v.id = w.id GROUP BY v.id, v.token",
 )
 def tok_usage(spark, sf_dir):
-    return tk.token_usage(_encoded(spark, sf_dir), "ids", _word_vocabulary(spark, sf_dir))
+    vocab = _word_vocabulary(spark, sf_dir)
+    encoded = tk.encode_words(table(spark, sf_dir, "documents"), vc.words(F.col("text")), vocab)
+    return tk.token_usage(encoded, "ids", vocab.token_table(spark))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from moltable.runtime import stage
 
+BROADCAST_ROWS = 1_000_000  # short rows sent to every task at most
 HASH_DIGITS = 4  # hexadecimal digits of the digest that name a bucket: 16**4 buckets
 
 
@@ -26,18 +27,32 @@ def digest_number(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
 
 
-def with_file_order(df: DataFrame, name: str = "_file_order") -> DataFrame:
-    """Add the order of a row within its source files: path, block within the file, line.
+def with_file_index(scan: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Add the 0-based position of each row in its source: files by path, then lines.
 
-    Must be applied to the scan itself; the third part only grows within one file block.
+    ``scan`` must be the scan itself. The rows of each file block are counted in a first pass that
+    reads no columns; the second pass adds the rows of earlier blocks to the place in the block.
+    Nothing but the block counts is shuffled or written.
     """
-    return df.withColumn(
-        name,
-        F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ),
+    placed = scan.withColumns(
+        {
+            "_path": F.col("_metadata.file_path"),
+            "_block": F.col("_metadata.file_block_start"),
+            "_line": F.monotonically_increasing_id(),
+        }
+    )
+    counts = placed.groupBy("_path", "_block").agg(F.min("_line").alias("_start"), F.count("*").alias("_n"))
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(
+        counts.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")).alias("_shift")),
+        "blocks",
+    )
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return (
+        placed.join(offsets, ["_path", "_block"])
+        .withColumn(name, F.col("_line") + F.col("_shift"))
+        .drop("_path", "_block", "_line", "_shift")
     )
 
 

@@ -7,21 +7,20 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltable.operators.index import HASH_DIGITS, digest_number, hash_offsets, seeded_digest, with_global_index
+from moltable.operators.index import HASH_DIGITS, digest_number, hash_offsets, seeded_digest, with_file_index
 from moltable.operators.validate import require_columns, resolve_labels
 
 
-def clean_index(df: DataFrame, text_col: str, order_cols: list[str], keep_order: bool = False) -> DataFrame:
-    """Drop a leading saved index and a column called ``index``, then number the rows from 0."""
-    first = df.columns[0]
+def clean_index(scan: DataFrame, text_col: str) -> DataFrame:
+    """Drop a leading saved index and a column called ``index``; rows are numbered in file order."""
+    require_columns(scan, [text_col])
+    df, first = with_file_index(scan), scan.columns[0]
     if first.startswith("Unnamed:") or first == "_c0":
         df = df.drop(first)
-    require_columns(df, [text_col])
     if "index" in df.columns:
         warnings.warn("dropping column 'index': assumed not to be a label", stacklevel=2)
         df = df.drop("index")
-    indexed = with_global_index(df, order_cols)
-    return indexed if keep_order else indexed.drop(*[c for c in order_cols if c.startswith("_")])
+    return df
 
 
 def keep_labels(df: DataFrame, text_col: str, labels: str | list[str] | None, keys: list[str] = ()) -> DataFrame:

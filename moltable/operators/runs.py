@@ -36,22 +36,16 @@ def _final(line: Column, metric: str) -> Column:
     return F.when(line.rlike(pattern), found)
 
 
-def best_validation_columns(line: Column) -> list[Column]:
-    """Aggregates: largest validation ROC-AUC and smallest validation rms of a log.
+def best_validation(lines: DataFrame) -> DataFrame:
+    """(file, max_val_roc, min_val_rms): the best validation scores of each log, from (file, value) lines.
 
     Lines whose number is not plain decimal are passed over; null if there is none.
     """
-    roc, rms = _number_after(line, VALIDATION_ROC), _number_after(line, VALIDATION_RMS)
-    lowest = F.min(rms)
-    return [
-        F.max(roc).alias("max_val_roc"),
+    lowest = F.min(_number_after(F.col("value"), VALIDATION_RMS))
+    return lines.groupBy("file").agg(
+        F.max(_number_after(F.col("value"), VALIDATION_ROC)).alias("max_val_roc"),
         F.when(lowest.isNotNull(), F.least(lowest, F.lit(MIN_START))).alias("min_val_rms"),
-    ]
-
-
-def best_validation(lines: DataFrame) -> DataFrame:
-    """(file, max_val_roc, min_val_rms) from (file, value) lines."""
-    return lines.groupBy("file").agg(*best_validation_columns(F.col("value")))
+    )
 
 
 def _first_final(metric: str) -> Column:
@@ -74,13 +68,13 @@ def final_results(lines: DataFrame) -> DataFrame:
 def log_table(lines: DataFrame) -> DataFrame:
     """One row per log and two AVERAGE rows, of values up to OUTLIER_ABOVE and of all.
 
-    One pass over the lines: each line is reduced to the numbers it holds, then grouped by file.
+    Best scores are plain numbers and group by hash over all lines; only the few final result
+    lines are kept whole, to find the first.
     """
-    per_file = lines.groupBy("file").agg(
-        *best_validation_columns(F.col("value")),
-        _first_final("mean-roc_auc_score")["avg"].try_cast("double").alias("final_roc"),
-        _first_final("rms_score")["avg"].try_cast("double").alias("final_rms"),
+    finals = final_results(lines).select(
+        "file", F.col("roc_avg").alias("final_roc"), F.col("rms_avg").alias("final_rms")
     )
+    per_file = best_validation(lines).join(finals, "file", "left")
     values = ["max_val_roc", "min_val_rms", "final_roc", "final_rms"]
     # The best values enter the averages as they are printed, with four decimals.
     per_file = per_file.withColumns({c: F.round(c, 4) for c in values[:2]})

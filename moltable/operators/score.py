@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,15 @@ def predict(df: DataFrame, vec_col: str, load: Callable[[], Callable], name: str
     (rows, outputs). Undo the label transforms on the result with ``undo_transforms``.
     """
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            logits = np.asarray(model(np.stack(batch.to_numpy()).astype(np.float64)), dtype=np.float32)
-            yield pd.Series(list(logits.reshape(len(batch), -1)))
+            rows = len(batch)
+            vectors = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+            logits = np.asarray(model(vectors), dtype=np.float32).reshape(rows, -1) if rows else np.empty((0, 1), np.float32)
+            offsets = pa.array(np.arange(rows + 1) * logits.shape[1], type=pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()))
 
     return df.withColumn(name, run(vec_col))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from moltable.operators.vocab import Vocabulary, pretokenize
 
 PAD_MULTIPLE = 8  # padded lengths are multiples of this
 IGNORE_INDEX = -100  # fixed value: label of positions the loss leaves out
-BROADCAST_TOKENS = 500_000  # vocabularies up to this size are sent to every task
 CACHED_PIECES = 200_000  # encoded pieces a task remembers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,58 +51,73 @@ def _encode_piece(piece: str, ids: dict, ranks: dict, unk: int) -> list[int]:
     return [ids.get(p, unk) for p in parts if p is not None]
 
 
+def _map_lists(lists: pa.Array, encode: Callable[[pa.Array], tuple[pa.Array, np.ndarray | None]]) -> pa.Array:
+    """Replace the strings of list rows by ids, over the whole batch at once.
+
+    ``encode`` maps the flat strings to flat ids and, where a string is not one id, how many each
+    has. A missing list becomes an empty one.
+    """
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ids, per_string = encode(lists.flatten())
+    ends = np.cumsum(counts)
+    if per_string is not None:
+        ends = np.concatenate([[0], np.cumsum(per_string)])[ends]
+    offsets = pa.array(np.concatenate([[0], ends]), type=pa.int32())
+    return pa.ListArray.from_arrays(offsets, ids)
+
+
 def encode_bpe(df: DataFrame, text_col: str, vocab: Vocabulary, unk: str = "[UNK]", name: str = "ids") -> DataFrame:
     """Add the ids of a text under a byte-pair vocabulary.
 
-    No shuffle: pieces are cut in the JVM and merged in Arrow batches, each task remembering the
-    pieces it has met. What every task is sent is the vocabulary, whose size is fixed.
+    No shuffle: pieces are cut in the JVM and merged in Arrow batches, each distinct piece of a
+    batch once, and remembered. What every task is sent is the vocabulary, whose size is fixed.
     """
     ids, ranks = vocab.ids, {}
     for rank, pair in enumerate(vocab.merges):
         ranks.setdefault(pair, rank)
     unk_id = ids[unk]
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict[str, list[int]] = {}
+
+        def encode(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+            coded = pieces.dictionary_encode()
+            if len(seen) > CACHED_PIECES:
+                seen.clear()
+            lists = []
+            for piece in coded.dictionary.to_pylist():
+                if piece not in seen:
+                    seen[piece] = _encode_piece(piece, ids, ranks, unk_id)
+                lists.append(seen[piece])
+            spread = pa.array(lists, type=pa.list_(pa.int32())).take(coded.indices)
+            return spread.flatten(), pc.list_value_length(spread).to_numpy(zero_copy_only=False)
+
         for batch in batches:
-            out = []
-            for pieces in batch:
-                row = []
-                for piece in pieces if pieces is not None else ():
-                    encoded = seen.get(piece)
-                    if encoded is None:
-                        if len(seen) >= CACHED_PIECES:
-                            seen.clear()
-                        encoded = seen[piece] = _encode_piece(piece, ids, ranks, unk_id)
-                    row.extend(encoded)
-                out.append(row)
-            yield pd.Series(out, dtype=object)
+            yield _map_lists(batch, encode)
 
     return df.withColumn(name, run(pretokenize(F.col(text_col))))
 
 
-def encode_words(
-    df: DataFrame, id_col: str, word_lists: Column, tokens: DataFrame, n_tokens: int, unk: str = "[UNK]"
-) -> DataFrame:
-    """(id, ids): each word by its id in ``tokens`` (id, token), unknown ones as ``unk``.
+def encode_words(df: DataFrame, word_lists: Column, vocab: Vocabulary, unk: str = "[UNK]", name: str = "ids") -> DataFrame:
+    """Add the id of each word of a list, ``unk`` for those not in the vocabulary.
 
-    Rows without words get an empty list. A vocabulary above BROADCAST_TOKENS is joined by shuffle.
+    No shuffle: joining the words to the vocabulary would move every occurrence twice, to the
+    token and back to its text. The fixed vocabulary is looked up in Arrow batches instead.
     """
-    known = tokens.select(F.col("token").alias("_word"), F.col("id").alias("_id"))
-    unk_id = tokens.where(F.col("token") == unk).select("id").scalar()
-    if n_tokens <= BROADCAST_TOKENS:
-        known = F.broadcast(known)
-    pieces = df.select(id_col, F.posexplode_outer(word_lists).alias("_pos", "_word"))
-    cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", unk_id).alias("_id")))
-    numbered = pieces.join(known, "_word", "left").select(id_col, cell.alias("_cell"))
-    ordered = F.array_sort(F.collect_list("_cell"))
-    return numbered.groupBy(id_col).agg(F.transform(ordered, lambda c: c["_id"]).alias("ids"))
-
-
-def special_ids(tokens: DataFrame, special: list[str]) -> dict[str, int]:
-    """Ids of the special tokens; they differ between vocabularies, so they are looked up."""
-    return {r.token: r.id for r in tokens.where(F.col("token").isin(special)).collect()}
+    tokens, unk_id = vocab.tokens, vocab.ids[unk]
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array(tokens, type=pa.string())
+
+        def encode(words: pa.Array) -> tuple[pa.Array, None]:
+            return pc.fill_null(pc.index_in(words, value_set=known), unk_id), None
+
+        for batch in batches:
+            yield _map_lists(batch, encode)
+
+    return df.withColumn(name, run(word_lists))
 
 
 def template_single(a: Column, cls: int, sep: int) -> Column:

@@ -98,12 +98,10 @@ def check_special(tokens: DataFrame, special: list[str] = SPECIAL_TOKENS) -> Dat
     return found
 
 
-def word_vocabulary(counts: DataFrame, size: int, special: list[str] = SPECIAL_TOKENS) -> DataFrame:
-    """Word-level vocabulary (id, token): special tokens, then the most frequent words."""
+def word_vocabulary(counts: DataFrame, size: int, special: list[str] = SPECIAL_TOKENS) -> Vocabulary:
+    """Word-level vocabulary: special tokens, then the most frequent words (piece, n), by name on a tie."""
     top = counts.orderBy(F.desc("n"), "piece").limit(size - len(special))
-    listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "piece"))).alias("c"))
-    tokens = F.concat(F.array(*[F.lit(t) for t in special]), F.col("c.piece"))
-    return listed.select(F.posexplode(tokens).alias("id", "token"))
+    return Vocabulary([*special, *[r.piece for r in top.collect()]])
 
 
 def pair_counts(pieces: DataFrame, symbols: Column) -> DataFrame:

@@ -22,8 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet, below the shared folder."""
-    return f"{shared_folder(spark)}/moltable/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, below the shared folder, in one folder per application."""
+    return f"{shared_folder(spark)}/moltable/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from moltable.operators import validate
 from moltable.operators.features import feature_names, feature_table, pick_variant, warn_if_kept
-from moltable.operators.index import with_file_order
 from moltable.operators.prepare import clean_index, keep_labels
 from moltable.runtime import new_path, shared_folder, stage
 from moltable.sources import catalog, readers, writers
@@ -21,10 +20,10 @@ def test_csv_keeps_backslashes_and_quotes(spark, tmp_path):
 
 def test_pandas_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿,smiles,index,y\n0,CC,7,1\n1,C\\C,8,\n2,CCO,9,3\n", encoding="utf-8")
-    df = with_file_order(readers.read_table(spark, str(tmp_path / "t.csv")))
+    df = readers.read_table(spark, str(tmp_path / "t.csv"))
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
-        out = clean_index(df, "smiles", ["_file_order"])
+        out = clean_index(df, "smiles")
     assert any("index" in str(w.message) for w in caught)
     assert sorted(out.columns) == ["row_idx", "smiles", "y"]
     assert [tuple(r) for r in out.orderBy("row_idx").select("row_idx", "smiles", "y").collect()] == [
@@ -42,11 +41,24 @@ def test_unreadable_table(spark, tmp_path):
 def test_file_order_over_many_files(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"part{i}.csv").write_text("smiles\n" + "".join(f"{i}-{j}\n" for j in range(100)))
-    df = with_file_order(readers.read_csv(spark, str(tmp_path), "smiles string"))
-    out = clean_index(df, "smiles", ["_file_order"]).orderBy("row_idx").collect()
+    df = readers.read_csv(spark, str(tmp_path), "smiles string")
+    out = clean_index(df, "smiles").orderBy("row_idx").collect()
     assert [(r.row_idx, r.smiles) for r in out] == [(100 * i + j, f"{i}-{j}") for i in range(5) for j in range(100)]
 
 
+def test_file_order_over_many_blocks(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"part{i}.csv").write_text("smiles\n" + "".join(f"{i}-{j}\n" for j in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.read_csv(spark, str(tmp_path), "smiles string")
+        assert df.rdd.getNumPartitions() > 4
+        out = clean_index(df, "smiles").orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.row_idx, r.smiles) for r in out] == [(3000 * i + j, f"{i}-{j}") for i in range(2) for j in range(3000)]
+
+
 def test_split_record(spark, tmp_path):
     record = {"train": [3, 0], "val": [2], "test": [1]}
     (tmp_path / "set_0.scaffold_splits.json").write_text(json.dumps(record, indent=2))

@@ -124,9 +124,10 @@ def test_masking_shares(spark):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, masked.collect()))
 
 
-def test_words_encoding_of_empty_text(spark):
-    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "q")], "i int, t string")
+def test_words_encoding_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "q"), (4, None)], "i int, t string").coalesce(1)
     vocab = vc.word_vocabulary(vc.piece_counts(df.where("i < 3"), vc.words(F.col("t"))), 100)
-    for size in (100, 10**9):
-        out = tk.encode_words(df, "i", vc.words(F.col("t")), vocab, size)
-        assert {r.i: r.ids for r in out.collect()} == {1: [5, 6, 5], 2: [], 3: [0]}
+    out = tk.encode_words(df, vc.words(F.col("t")), vocab)
+    assert {r.i: r.ids for r in out.collect()} == {1: [5, 6, 5], 2: [], 3: [0], 4: []}
+    bpe = tk.encode_bpe(df, "t", vc.Vocabulary([*SPECIAL, "a", "b", "Ġ"]))
+    assert {r.i: r.ids for r in bpe.collect()} == {1: [5, 7, 6, 7, 5], 2: [], 3: [0], 4: []}
