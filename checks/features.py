@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.registry import check, table
+from checks.registry import check, table, texts
 from moltable.operators.features import feature_table, pick_variant, text_features
 from moltable.operators.stats import keep_subset, label_dictionary, label_stats, nan_stats, normalize_vectors
 
@@ -31,7 +31,7 @@ FEATURE_SQL = f"""
     f"SELECT doc_id, {', '.join(f'round({n}, 6)::DOUBLE AS {n}' for n in NAMES)} FROM ({FEATURE_SQL})",
 )
 def feat_table(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     features = {**text_features(F.col("text")), "Ipc": F.lit(1e300)}
     made = feature_table(docs, "text", features)
     return made.select("doc_id", *[F.round(F.col("labels")[i], 6).alias(n) for i, n in enumerate(NAMES)])
@@ -46,7 +46,7 @@ def udf_feature(spark, sf_dir):
     def upper_letters(text: pd.Series) -> pd.Series:
         return text.str.count("[A-Z]").astype("float64")
 
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     made = feature_table(docs, "text", {"n_chars": F.length("text"), "n_upper": upper_letters("text")})
     return made.select("doc_id", F.col("labels")[0].alias("n_chars"), F.col("labels")[1].alias("n_upper"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.features import FEATURE_SQL, NAMES
-from checks.registry import check, table
+from checks.registry import check, table, texts
 from checks.splits import RANDOM_SQL
 from moltable.operators.features import text_features
 from moltable.operators.index import with_global_index
@@ -108,7 +108,7 @@ PROPERTY_SQL = f"""
 
 
 def _property_files(spark, sf_dir):
-    return feature_job(table(spark, sf_dir, "documents"), "text", text_features(F.col("text")))
+    return feature_job(texts(spark, sf_dir), "text", text_features(F.col("text")))
 
 
 def _property_totals(spark, sf_dir):

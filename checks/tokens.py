@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import check, table
+from checks.registry import check, texts
 from moltable.operators import tokens as tk
 from moltable.operators import vocab as vc
 from moltable.runtime import new_path
@@ -31,12 +31,12 @@ FRAMED_SQL = f"""
 
 
 def _word_vocabulary(spark, sf_dir):
-    counts = vc.piece_counts(table(spark, sf_dir, "documents"), vc.words(F.col("text")))
+    counts = vc.piece_counts(texts(spark, sf_dir), vc.words(F.col("text")))
     return vc.word_vocabulary(counts, VOCAB)
 
 
 def _encoded(spark, sf_dir):
-    return tk.encode_words(table(spark, sf_dir, "documents"), vc.words(F.col("text")), _word_vocabulary(spark, sf_dir))
+    return tk.encode_words(texts(spark, sf_dir), vc.words(F.col("text")), _word_vocabulary(spark, sf_dir))
 
 
 def _framed(spark, sf_dir):
@@ -57,7 +57,7 @@ CHECKSUM_SQL = "count(*) AS n, sum(id * (pos + 1))::BIGINT AS checksum"
 @check("tok_pretokenize", f"SELECT doc_id, count(*) AS n, sum(strlen(trim(p)))::BIGINT AS n_bytes FROM (SELECT doc_id, unnest({PIECES}) AS p FROM documents) WHERE p NOT SIMILAR TO '\\s*' GROUP BY doc_id")
 def tok_pretokenize(spark, sf_dir):
     # A leading space is one character of the byte alphabet; pieces of white space only are left out here.
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     blank = "^[ĠĊčĉ]*$"
     pieces = docs.select("doc_id", F.explode(vc.pretokenize(F.col("text"))).alias("p")).where(~F.col("p").rlike(blank))
     return pieces.groupBy("doc_id").agg(
@@ -67,7 +67,7 @@ def tok_pretokenize(spark, sf_dir):
 
 @check("tok_wordcount", f"SELECT trim(p) AS piece, count(*) AS n FROM (SELECT unnest({PIECES}) AS p FROM documents) WHERE p NOT SIMILAR TO '\\s*' GROUP BY 1")
 def tok_wordcount(spark, sf_dir):
-    counts = vc.piece_counts(table(spark, sf_dir, "documents"), vc.raw_pieces(F.col("text")))
+    counts = vc.piece_counts(texts(spark, sf_dir), vc.raw_pieces(F.col("text")))
     trimmed = counts.select(F.trim("piece").alias("piece"), "n").where(~F.col("piece").rlike(r"^\s*$"))
     return trimmed.groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -82,12 +82,12 @@ def tok_wordcount(spark, sf_dir):
     """,
 )
 def tok_pair_counts(spark, sf_dir):
-    counts = vc.piece_counts(table(spark, sf_dir, "documents"), vc.words(F.col("text")))
+    counts = vc.piece_counts(texts(spark, sf_dir), vc.words(F.col("text")))
     return vc.pair_counts(counts, F.col("piece"))
 
 
 def _trained(spark, sf_dir, size):
-    return vc.train_bpe(vc.byte_piece_counts(table(spark, sf_dir, "documents"), "text"), size)
+    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), size)
 
 
 # Training is a loop over the whole table; it is compared with a public trainer in the tests.
@@ -98,7 +98,7 @@ def tok_train_bpe(spark, sf_dir):
 
 @check("tok_encode_bpe")
 def tok_encode_bpe(spark, sf_dir):
-    encoded = tk.encode_bpe(table(spark, sf_dir, "documents"), "text", _trained(spark, sf_dir, 200))
+    encoded = tk.encode_bpe(texts(spark, sf_dir), "text", _trained(spark, sf_dir, 200))
     return encoded.select("doc_id", *_checksum(F.col("ids")))
 
 
@@ -197,16 +197,14 @@ def tok_masks(spark, sf_dir):
     )
 
 
-def _hex(start: int) -> str:
-    return f"('0x' || substr(h, {start}, 8))::BIGINT"
-
-
 MLM_SQL = f"""
-    SELECT doc_id, pos, CASE WHEN NOT chosen THEN id WHEN {_hex(9)} < 0.8 * 4294967296 THEN {MASK}
-                             WHEN {_hex(9)} < 0.9 * 4294967296 THEN {_hex(17)} % {VOCAB} ELSE id END AS input_id,
+    SELECT doc_id, pos, CASE WHEN NOT chosen THEN id WHEN w < 0.8::DOUBLE THEN {MASK}
+                             WHEN w < 0.8::DOUBLE + 0.1::DOUBLE
+                             THEN least(floor((w - 0.8::DOUBLE) / 0.1::DOUBLE * {VOCAB})::INTEGER, {VOCAB - 1}) ELSE id END AS input_id,
            CASE WHEN chosen THEN id ELSE -100 END AS label
-    FROM (SELECT doc_id, pos, id, h, {_hex(1)} < 0.3 * 4294967296 AND id >= 5 AS chosen
-          FROM (SELECT *, md5('9-' || doc_id || '-' || pos) AS h FROM ({FRAMED_SQL})))
+    FROM (SELECT doc_id, pos, id, u < 0.3::DOUBLE AND id >= 5 AS chosen, u / 0.3::DOUBLE AS w
+          FROM (SELECT *, ('0x' || substr(md5('9-' || doc_id || '-' || pos // 4), (1 + 8 * (pos % 4))::BIGINT, 8))::BIGINT
+                          / 4294967296.0::DOUBLE AS u FROM ({FRAMED_SQL})))
 """
 
 
@@ -250,5 +248,5 @@ def tok_vocab_stats(spark, sf_dir):
 )
 def tok_usage(spark, sf_dir):
     vocab = _word_vocabulary(spark, sf_dir)
-    encoded = tk.encode_words(table(spark, sf_dir, "documents"), vc.words(F.col("text")), vocab)
+    encoded = tk.encode_words(texts(spark, sf_dir), vc.words(F.col("text")), vocab)
     return tk.token_usage(encoded, "ids", vocab.token_table(spark))

@@ -26,7 +26,8 @@ OUTLIER_ABOVE = 10.0  # fixed value: the second average leaves larger values out
 
 
 def _number_after(line: Column, label: str) -> Column:
-    return F.regexp_extract(line, f".*{label}{NUMBER}", 1).try_cast("double")
+    number = F.regexp_extract(line, f".*{label}{NUMBER}", 1).try_cast("double")
+    return F.when(line.contains(label), number)
 
 
 def _final(line: Column, metric: str) -> Column:

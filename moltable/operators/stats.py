@@ -124,6 +124,8 @@ def label_stats(df: DataFrame, vec_col: str, names: list[str]) -> DataFrame:
     )
 
 
+_KEPT = "array<struct<mean:double,std:double>>"
+
 # Descriptor families of the "surface" subset, each with the number of its bins.
 SURFACE_FAMILIES = {"SlogP_VSA": 12, "SMR_VSA": 10, "EState_VSA": 11, "PEOE_VSA": 14}
 SURFACE_SINGLES = ["LabuteASA", "TPSA"]
@@ -151,7 +153,6 @@ def normalize_vectors(df: DataFrame, vec_col: str, kept: DataFrame) -> DataFrame
 
     A vector shorter than the label list is scaled as far as it goes. Text cells are cleaned first.
     """
-    cells = F.array_sort(F.collect_list(F.struct("label_idx", "mean", "std")))
     element = df.schema[vec_col].dataType.elementType.simpleString()
 
     def value(x: Column) -> Column:
@@ -161,7 +162,15 @@ def normalize_vectors(df: DataFrame, vec_col: str, kept: DataFrame) -> DataFrame
         number = x.cast("double")
         return F.when(F.isnan(number), number).otherwise(finite_or_zero(number))
 
-    vec = F.col(vec_col)
-    present = F.filter("_kept", lambda c: c["label_idx"] < F.size(vec))
-    scaled = F.transform(present, lambda c: (value(F.get(vec, c["label_idx"])) - c["mean"]) / c["std"])
-    return df.withColumn("_kept", kept.agg(cells).scalar()).withColumn(vec_col, scaled).drop("_kept")
+    # One cell per position of the vector, null for labels that are not kept: rows are then scaled
+    # in one walk over both lists.
+    found = F.map_from_entries(F.collect_list(F.struct("label_idx", F.struct("mean", "std"))))
+    dense = F.transform(F.sequence(F.lit(0), F.max("label_idx")), lambda i: F.try_element_at(found, i))
+    cells = F.coalesce(F.col("_kept"), F.array().cast(_KEPT))
+    scaled = F.zip_with(
+        F.col(vec_col),
+        F.slice(cells, F.lit(1), F.size(vec_col)),
+        lambda x, c: F.when(c.isNotNull(), (value(x) - c["mean"]) / c["std"]),
+    )
+    kept_only = F.filter(scaled, lambda z: z.isNotNull())
+    return df.withColumn("_kept", kept.agg(dense).scalar()).withColumn(vec_col, kept_only).drop("_kept")

@@ -168,19 +168,23 @@ def mlm_mask(
     """Array of (input_id, label) for masked-language-model training.
 
     A share of the non-special tokens is chosen; of those most become the mask, some a random id
-    and the rest stay. Labels are the ids chosen and IGNORE_INDEX elsewhere. All draws of a token come
-    from one digest of seed, row and position, so they do not depend on partitioning.
+    and the rest stay. Labels are the ids chosen and IGNORE_INDEX elsewhere. Each token has one draw
+    in [0, 1): below the share it is chosen, and where below decides what becomes of it. Four
+    draws come from one digest of seed, row and place, so they do not depend on partitioning.
     """
-    span = float(16**8)
-
-    def cell(token: Column, pos: Column) -> Column:
-        digest = seeded_digest(seed, id_col, pos)
-        chosen = (digest_number(digest, 1, 8) < mlm_probability * span) & ~token.isin(special)
-        action = digest_number(digest, 9, 8)
-        drawn = (digest_number(digest, 17, 8) % vocab_size).cast("int")
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(ids) - 1, F.lit(0)) / 4).cast("int"))
+    digests = F.transform(blocks, lambda b: seeded_digest(seed, id_col, b))
+    numbers = F.transform(digests, lambda h: F.array(*[digest_number(h, 1 + 8 * i, 8) for i in range(4)]))
+    draws = F.slice(F.flatten(numbers), F.lit(1), F.size(ids))
+
+    def cell(token: Column, number: Column) -> Column:
+        draw = number / F.lit(float(16**8))
+        chosen = (draw < mlm_probability) & ~token.isin(special)
+        within = draw / F.lit(mlm_probability)
+        drawn = F.floor((within - F.lit(mask_replace)) / F.lit(random_replace) * F.lit(vocab_size)).cast("int")
         replaced = (
-            F.when(action < mask_replace * span, F.lit(mask_id))
-            .when(action < (mask_replace + random_replace) * span, drawn)
+            F.when(within < mask_replace, F.lit(mask_id))
+            .when(within < mask_replace + random_replace, F.least(drawn, F.lit(vocab_size - 1)))
             .otherwise(token)
         )
         return F.struct(
@@ -188,7 +192,7 @@ def mlm_mask(
             F.when(chosen, token).otherwise(F.lit(IGNORE_INDEX)).alias("label"),
         )
 
-    return F.transform(ids, cell)
+    return F.zip_with(ids, draws, cell)
 
 
 def loss_positions(df: DataFrame, id_col: str, cells_col: str) -> DataFrame:

@@ -56,6 +56,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         raise RuntimeError(f"failed to load {path!r} as {loader!r}") from e
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer files than cores.
+
+    A small file is often one row group, and so one task however many cores wait. For work that
+    costs more than moving the rows; a table of many files is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if len(scan.inputFiles()) < cores else scan
+
+
 def read_named_split(spark: SparkSession, path: str, split: str, subset: str | None = None) -> DataFrame:
     """One split (and subset) of a table laid out in folders; the other folders are not listed for reading."""
     df = spark.read.parquet(path).where(F.col("split") == split)
