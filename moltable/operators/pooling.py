@@ -71,14 +71,13 @@ def pool(states: DataFrame, how: str, dim: int, n_layers: int, last_k: int = 8)
     return divided(summed, by * F.col("_positions") if over_positions == "mean" else by)
 
 
-def linear_merge(tensors: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
-    """Weighted mean of same-named tensors over models: (tensor, vec).
+def linear_merge(tensors: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted mean of same-named tensors over models: (tensor, idx, value).
 
-    ``tensors`` is (model, tensor, vec) and ``weights`` (model, weight), one row per model. The
-    weights of the models that have the tensor are scaled to sum to one.
+    ``tensors`` is (model, tensor, vec), of any length per tensor, and ``weights`` (model, weight),
+    one row per model. The weights of the models that have the tensor are scaled to sum to one.
+    The result stays one row per element: a tensor of millions of elements is never one value.
     """
-    weighted = tensors.join(weights, "model").withColumn(
-        "vec", F.transform("vec", lambda x: x.cast("double") * F.col("weight"))
-    )
-    summed = aggregate_vectors(weighted, ["tensor"], dim, F.sum, {"_weight": F.sum("weight")})
-    return summed.select("tensor", F.transform("vec", lambda x: x / F.col("_weight")).alias("vec"))
+    elements = tensors.join(weights, "model").select("tensor", "weight", F.posexplode("vec").alias("idx", "x"))
+    weighted = F.sum(F.col("x").cast("double") * F.col("weight")) / F.sum("weight")
+    return elements.groupBy("tensor", "idx").agg(weighted.alias("value"))

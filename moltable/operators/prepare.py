@@ -46,21 +46,22 @@ def dedup_first(df: DataFrame, text_col: str, id_col: str = "row_idx") -> DataFr
 def sample_rows(df: DataFrame, n: int | None, id_col: str, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows in seeded random order of their ids; ``None`` keeps all.
 
-    A sorted limit would gather the n rows in one task. Instead the hash buckets are counted;
-    buckets wholly below n pass as they are, and only the one bucket at the edge is ranked.
+    A sorted limit would gather the n rows in one task. Here only the place of the n-th row is
+    looked for, among ids: hash buckets are counted, and the one bucket it lies in is ranked. The
+    sample is then a filter on that place; full rows are neither moved nor sorted.
     """
     if n is None:
         return df
-    hashed = df.withColumn("_digest", seeded_digest(seed, id_col))
-    hashed = hashed.withColumn("_bucket", digest_number(F.col("_digest"), 1, HASH_DIGITS))
-    offsets = hash_offsets(hashed.select("_bucket"), F.col("_bucket")).where(F.col("_offset") < n)
-    near = hashed.join(F.broadcast(offsets), "_bucket")
-    inside = near.where(F.col("_offset") + F.col("_n") <= n)
+    if n <= 0:
+        return df.where(F.lit(False))
+    digest = seeded_digest(seed, id_col)
+    ids = df.select(id_col, digest.alias("_digest"))
+    ids = ids.withColumn("_bucket", digest_number(F.col("_digest"), 1, HASH_DIGITS))
+    offsets = hash_offsets(ids, F.col("_bucket"))
+    edge = offsets.where((F.col("_offset") < n) & (F.col("_offset") + F.col("_n") >= n))
     within = Window.partitionBy("_bucket").orderBy("_digest", id_col)
-    edge = (
-        near.where(F.col("_offset") + F.col("_n") > n)
-        .withColumn("_rank", F.row_number().over(within))
-        .where(F.col("_offset") + F.col("_rank") <= n)
-        .drop("_rank")
-    )
-    return inside.unionByName(edge).drop("_digest", "_bucket", "_n", "_offset")
+    ranked = ids.join(F.broadcast(edge), "_bucket").withColumn("_rank", F.row_number().over(within))
+    last = ranked.where(F.col("_offset") + F.col("_rank") == n).agg(F.first(F.struct("_digest", id_col))).scalar()
+    place = F.struct(digest.alias("_digest"), F.col(id_col))
+    # There is no n-th row in a smaller table: all rows stay.
+    return df.where(F.coalesce(place <= last, F.lit(True)))

@@ -196,10 +196,13 @@ def train_bpe(
 
 
 def _merged(pieces: DataFrame, replaces: list[tuple[str, str]]) -> DataFrame:
-    s = F.col("s")
-    for pair, symbol in replaces:
-        s = F.replace(s, F.lit(pair), F.lit(symbol))
-    return pieces.select(s.alias("s"), "n")
+    """Apply (pair, symbol) merges in order. A fold over a constant list, so that the plan, and with
+    it the compiled code, is the same in every round."""
+    if not replaces:
+        return pieces
+    pairs, symbols = (F.lit(list(side)) for side in zip(*replaces, strict=True))
+    steps = F.arrays_zip(pairs.alias("pair"), symbols.alias("symbol"))
+    return pieces.select(F.aggregate(steps, F.col("s"), lambda s, m: F.replace(s, m["pair"], m["symbol"])).alias("s"), "n")
 
 
 def write_vocabulary(spark: SparkSession, vocab: Vocabulary, folder: str) -> None:

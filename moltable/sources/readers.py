@@ -57,13 +57,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer files than cores.
+    """Deal the rows of a scan out to all cores when it is cut into fewer tasks than there are cores.
 
-    A small file is often one row group, and so one task however many cores wait. For work that
-    costs more than moving the rows; a table of many files is left as it is.
+    For work that costs more than moving the rows. A table large enough to keep all cores busy is
+    left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if len(scan.inputFiles()) < cores else scan
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_named_split(spark: SparkSession, path: str, split: str, subset: str | None = None) -> DataFrame:

@@ -192,15 +192,13 @@ def test_pooling_name(spark):
         pool(_states(spark)[0], "median", 6, 4)
 
 
-@pytest.mark.parametrize("wide", [True, False])
-def test_merge(spark, monkeypatch, wide):
-    if not wide:
-        monkeypatch.setattr("moltable.operators.pooling.WIDE_DIMS", 1)
+def test_merge(spark):
     tensors = spark.createDataFrame(
-        [("m1", "w", [1.0, 2.0]), ("m2", "w", [3.0, 6.0]), ("m1", "b", [5.0, 5.0])], "model string, tensor string, vec array<float>"
+        [("m1", "w", [1.0, 2.0]), ("m2", "w", [3.0, 6.0]), ("m1", "b", [5.0])], "model string, tensor string, vec array<float>"
     )
     weights = spark.createDataFrame([("m1", 1.0), ("m2", 3.0)], "model string, weight double")
-    assert {r.tensor: r.vec for r in linear_merge(tensors, weights, 2).collect()} == {"w": [2.5, 5.0], "b": [5.0, 5.0]}
+    merged = sorted(map(tuple, linear_merge(tensors, weights).collect()))
+    assert merged == [("b", 0, 5.0), ("w", 0, 2.5), ("w", 1, 5.0)]
 
 
 def test_scoring(spark):
