@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moltable.functions.columns import display4
 from moltable.operators.index import with_running
+from moltable.runtime import stage
 
 NUMBER = r"([0-9]*\.[0-9]*)"
 
@@ -163,7 +164,8 @@ def early_stopping(history: DataFrame, patience: int, block_epochs: int = 100_00
 
     ``history`` is (run, epoch, metric), smaller is better. A run stops at the first evaluation
     that is ``patience`` evaluations after the last improvement; ``stop_epoch`` is null if none is.
-    Running minima and counts go block by block, so a long run is not one task.
+    Running minima and counts go block by block, so a long run is not one task; they are written
+    before the second round of running values reads them twice.
     """
     block = F.expr(f"epoch div {block_epochs}L")
     seen = with_running(
@@ -176,7 +178,7 @@ def early_stopping(history: DataFrame, patience: int, block_epochs: int = 100_00
     improved = F.col("_best").isNull() | (F.col("metric") < F.col("_best"))
     when_improved = F.when(F.col("_improved"), F.col("_nth")), F.when(F.col("_improved"), F.col("epoch"))
     waited = with_running(
-        seen.withColumn("_improved", improved),
+        stage(seen.withColumn("_improved", improved), "history"),
         ["run"],
         block,
         ["epoch"],

@@ -109,7 +109,7 @@ def read_normalization(spark: SparkSession, path: str) -> DataFrame:
 
 def log_name(path: Column) -> Column:
     """Name of the ``.log`` a file belongs to, whether file or folder of parts."""
-    return F.regexp_extract(path, r"([^/=]+)\.log(?:/|$)", 1)
+    return F.regexp_extract(path, r"(?:^|[/=])([^/=]+)\.log(?:/|$)", 1)
 
 
 def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
