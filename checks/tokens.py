@@ -86,26 +86,46 @@ def tok_pair_counts(spark, sf_dir):
     return vc.pair_counts(counts, F.col("piece"))
 
 
-def _trained(spark, sf_dir, size):
-    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), size)
-
-
 # Training is a loop over the whole table; it is compared with a public trainer in the tests.
 @check("tok_train_bpe")
 def tok_train_bpe(spark, sf_dir):
-    return _trained(spark, sf_dir, 256).merge_table(spark)
+    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), 200).merge_table(spark)
+
+
+MERGES = [("t", "h"), ("th", "e"), ("e", "n"), ("i", "n"), ("in", "g"), ("o", "u"), ("e", "r"), ("d", "e"), ("c", "h"), ("en", "t")]
+
+
+def _bpe_sql() -> str:
+    """Letters in brackets, merged in rank order; what is left of each token is counted."""
+    coded = r"regexp_replace(text, '([a-z])', chr(1) || '\1' || chr(2), 'g')"
+    for a, b in MERGES:
+        coded = f"replace({coded}, chr(1) || '{a}' || chr(2) || chr(1) || '{b}' || chr(2), chr(1) || '{a + b}' || chr(2))"
+    names = [a + b for a, b in MERGES]
+    counts = [f"(strlen(c) - strlen(replace(c, chr(1) || '{t}' || chr(2), ''))) // {len(t) + 2}" for t in names]
+    listed = ", ".join(f"{k} AS k{i}" for i, k in enumerate(counts))
+    saved = " + ".join(f"k{i} * {len(t) - 1}" for i, t in enumerate(names))
+    merged = " + ".join(f"k{i}" for i in range(len(names)))
+    weighted = " + ".join(f"k{i} * {5 + 256 + i}" for i in range(len(names)))
+    return f"""
+    SELECT doc_id, bytes - ({saved}) AS n, {merged} AS n_merged, {weighted} AS sum_merged
+    FROM (SELECT doc_id, strlen(text) AS bytes, {listed} FROM (SELECT doc_id, text, {coded} AS c FROM documents))
+    """
 
 
-@check("tok_encode_bpe")
+@check("tok_encode_bpe", _bpe_sql())
 def tok_encode_bpe(spark, sf_dir):
-    encoded = tk.encode_bpe(texts(spark, sf_dir), "text", _trained(spark, sf_dir, 200))
-    return encoded.select("doc_id", *_checksum(F.col("ids")))
+    letters = sorted(vc.byte_alphabet().values())
+    vocab = vc.Vocabulary([*vc.SPECIAL_TOKENS, *letters, *[a + b for a, b in MERGES]], MERGES)
+    encoded = tk.encode_bpe(texts(spark, sf_dir), "text", vocab)
+    merged = F.filter("ids", lambda x: x >= len(vc.SPECIAL_TOKENS) + len(letters))
+    total = F.aggregate(merged, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return encoded.select("doc_id", F.size("ids").alias("n"), F.size(merged).alias("n_merged"), total.alias("sum_merged"))
 
 
-@check("tok_from_vocab")
+@check("tok_from_vocab", VOCAB_SQL)
 def tok_from_vocab(spark, sf_dir):
     folder = new_path(spark, "vocabulary")
-    vc.write_vocabulary(spark, _trained(spark, sf_dir, 200), folder)
+    vc.write_vocabulary(spark, _word_vocabulary(spark, sf_dir), folder)
     return vc.read_vocabulary(spark, folder).token_table(spark)
 
 

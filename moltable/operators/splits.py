@@ -89,7 +89,7 @@ def _pass_of(rules: list[_Rule]) -> Column:
     return seq
 
 
-def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int) -> int:
+def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int, total: int) -> int:
     """One greedy pass: in first-seen order take every unused group that still fits.
 
     Appends the rules that describe what was taken and returns the capacity left. The driver sees
@@ -99,7 +99,11 @@ def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width:
     remaining space.
     """
     free = groups.where(_pass_of(rules).isNull() & (F.col("n") <= capacity))
-    summary = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least"))
+    if total > width:
+        # One summary per ``width`` positions, however many groups there are.
+        sums = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least")).collect()
+    else:
+        sums = [(0, total, 0)]
     left, whole_from = capacity, None
 
     def close(at: int) -> None:
@@ -108,8 +112,7 @@ def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width:
             rules.append(_Rule(seq, whole_from, at, capacity))
             whole_from = None
 
-    # One summary per ``width`` positions, however many groups there are.
-    for block, rows, least in sorted(summary.collect()):
+    for block, rows, least in sorted(sums):
         if left == 0:
             break
         lo, end = block * width, (block + 1) * width
@@ -163,7 +166,7 @@ def group_kfold(
     rules: list[_Rule] = []
     for fold in range(k):
         for offset in (0, 1):
-            left = _fill(groups, rules, 2 * fold + offset, cutoff, block_rows)
+            left = _fill(groups, rules, 2 * fold + offset, cutoff, block_rows, total)
             if left > 0:
                 message = (
                     f"fold {fold}: {left} of {cutoff} rows missing in {('val', 'test')[offset]}; "
