@@ -82,11 +82,8 @@ class _Rule:
 
 def _pass_of(rules: list[_Rule]) -> Column:
     """The first pass that takes a group (first, n), null if none does."""
-    first, n = F.col("first"), F.col("n")
-    seq = F.lit(None).cast("int")
-    for r in reversed(rules):
-        seq = F.when((first >= r.lo) & (first < r.hi) & (n <= r.max_n), r.seq).otherwise(seq)
-    return seq
+    taken = " ".join(f"WHEN first >= {r.lo} AND first < {r.hi} AND n <= {r.max_n} THEN {r.seq}" for r in rules)
+    return F.expr(f"CASE {taken} END" if rules else "CAST(NULL AS INT)")
 
 
 def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int, total: int) -> int:
