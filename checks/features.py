@@ -149,5 +149,5 @@ def fn_mtr_norm(spark, sf_dir):
 def aug_pick_variant(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     originals = turns.where("turn = 0").select("conv_id", F.col("text").alias("original"))
-    picked = pick_variant(turns.join(originals, "conv_id"), "conv_id", "original", "text", 5)
+    picked = pick_variant(originals, turns, "conv_id", "original", "text", 5)
     return picked.select("conv_id", F.md5("original").alias("original"), F.md5("picked").alias("picked"), "kept_original")

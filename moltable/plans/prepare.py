@@ -11,7 +11,8 @@ from moltable.operators.prepare import dedup_first, keep_labels, sample_rows
 from moltable.operators.splits import select_split
 from moltable.operators.stats import apply_transform, label_stats
 from moltable.operators.validate import check_arity, check_task, require_columns, resolve_labels
-from moltable.runtime import new_path, stage
+from moltable.runtime import new_path
+from moltable.sources.readers import read_properties
 from moltable.sources.writers import write_normalization, write_properties
 
 
@@ -55,11 +56,10 @@ def prepare(df: DataFrame, spec: TrainingSet, assignment: DataFrame | None = Non
 def feature_job(df: DataFrame, text_col: str, features: dict[str, Column], parsable: Column | None = None) -> tuple[str, str]:
     """Property records and normalization values of a table; returns the paths of both.
 
-    Features are computed once and written; statistics are read from what was written.
+    Features are computed once and written as the property records; statistics are read from those.
     """
     spark = df.sparkSession
-    table = stage(feat.feature_table(df.select(text_col), text_col, features, parsable), "features")
     properties, normalization = new_path(spark, "properties"), new_path(spark, "normalization")
-    write_properties(table, properties, text_col)
-    write_normalization(label_stats(table, "labels", feat.feature_names(features)), normalization)
+    write_properties(feat.feature_table(df.select(text_col), text_col, features, parsable), properties, text_col)
+    write_normalization(label_stats(read_properties(spark, properties), "labels", feat.feature_names(features)), normalization)
     return properties, normalization

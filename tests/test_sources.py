@@ -132,13 +132,21 @@ def test_features(spark):
 
 
 def test_pick_variant(spark):
-    df = spark.createDataFrame([(1, "a", "a"), (1, "a", "b"), (1, "a", "b"), (2, "x", "x")], "i int, o string, v string")
-    picked = pick_variant(df, "i", "o", "v", 0)
-    assert sorted(map(tuple, picked.collect())) == [(1, "a", "b", False), (2, "x", "x", True)]
+    originals = spark.createDataFrame([(1, "a"), (2, "x"), (3, "q")], "i int, o string")
+    variants = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "x")], "i int, v string")
+    picked = pick_variant(originals, variants, "i", "o", "v", 0)
+    assert sorted(map(tuple, picked.collect())) == [(1, "a", "b", False), (2, "x", "x", True), (3, "q", "q", True)]
     with pytest.warns(UserWarning, match="no other variant"):
         warn_if_kept(picked)
 
 
+def test_pick_variant_is_fair(spark):
+    originals = spark.range(300).select(F.col("id").alias("i"), F.lit("v0").alias("o"))
+    variants = originals.select("i", F.explode(F.array(*[F.lit(f"v{k}") for k in range(4)])).alias("v"))
+    counts = {r.picked: r["count"] for r in pick_variant(originals, variants, "i", "o", "v", 1).groupBy("picked").count().collect()}
+    assert set(counts) == {"v1", "v2", "v3"} and min(counts.values()) > 60
+
+
 def test_stage_is_under_the_shared_folder(spark):
     path = new_path(spark, "x")
     assert path.startswith(shared_folder(spark)) and path != new_path(spark, "x")
