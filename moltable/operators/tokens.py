@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moltable.operators.index import digest_number, seeded_digest
 from moltable.operators.vocab import Vocabulary, pretokenize
+from moltable.runtime import stage
 
 PAD_MULTIPLE = 8  # padded lengths are multiples of this
 IGNORE_INDEX = -100  # fixed value: label of positions the loss leaves out
@@ -208,7 +209,11 @@ def token_usage(encoded: DataFrame, ids_col: str, tokens: DataFrame) -> DataFram
 
 
 def vocabulary_report(encoded: DataFrame, ids_col: str, unk_id: int) -> DataFrame:
-    """One row: tokens, unknown ones, distinct ids, and the spread of lengths per text."""
+    """One row: tokens, unknown ones, distinct ids, and the spread of lengths per text.
+
+    The ids are read twice, so they are written once instead of encoding every text again.
+    """
+    encoded = stage(encoded.select(ids_col), "ids")
     size = F.size(ids_col)
     unknown = F.size(F.filter(ids_col, lambda x: x == unk_id))
     lengths = encoded.agg(
