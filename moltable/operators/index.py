@@ -30,23 +30,25 @@ def digest_number(digest: Column, start: int, digits: int) -> Column:
 def with_file_index(scan: DataFrame, name: str = "row_idx") -> DataFrame:
     """Add the 0-based position of each row in its source: files by path, then lines.
 
-    ``scan`` must be the scan itself. The rows of each file block are counted in a first pass that
-    reads no columns; the second pass adds the rows of earlier blocks to the place in the block.
-    Nothing but the block counts is shuffled or written.
+    ``scan`` must be the scan itself. It is parsed once and written with the place of each row: how a
+    scan is cut into tasks may change with the number of executors, so places and counts of rows
+    must come from one reading. A position is then the rows of earlier file blocks plus the place
+    in the block. Nothing but the block counts is shuffled.
     """
-    placed = scan.withColumns(
-        {
-            "_path": F.col("_metadata.file_path"),
-            "_block": F.col("_metadata.file_block_start"),
-            "_line": F.monotonically_increasing_id(),
-        }
+    placed = stage(
+        scan.withColumns(
+            {
+                "_path": F.col("_metadata.file_path"),
+                "_block": F.col("_metadata.file_block_start"),
+                "_line": F.monotonically_increasing_id(),
+            }
+        ),
+        "ingested",
     )
     counts = placed.groupBy("_path", "_block").agg(F.min("_line").alias("_start"), F.count("*").alias("_n"))
     before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(
-        counts.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")).alias("_shift")),
-        "blocks",
-    )
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = stage(counts.select("_path", "_block", (earlier - F.col("_start")).alias("_shift")), "blocks")
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     return (

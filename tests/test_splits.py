@@ -166,3 +166,13 @@ def test_samples_nest_and_differ_by_seed(spark):
     other = {r.row_idx for r in sample_rows(df, 50, "row_idx", 4).collect()}
     assert small < large and small != other
     assert sample_rows(df, None, "row_idx", 3).count() == 1000
+
+
+def test_one_text_in_a_third_of_the_rows(spark):
+    keys = [("hot" if i % 3 == 0 else f"k{i}") for i in range(3000)]
+    df = _frame(spark, keys)
+    kept = dedup_first(df, "key")
+    assert kept.count() == 2001 and kept.where("key = 'hot'").first().row_idx == 0
+    made = sp.group_kfold(df, "key", 2, block_rows=100)
+    want, full = _greedy(keys, 2)
+    assert full and _made(made, 2) == want
