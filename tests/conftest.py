@@ -28,13 +28,3 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def rows(df, *order):
-    """All rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
-
-
-@pytest.fixture(scope="session", name="rows")
-def rows_fixture():
-    return rows
