@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moltable.runtime import new_path
@@ -31,6 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["name"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 @_query
 def op5_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moltable.llm.packing import pack_documents
@@ -46,3 +50,21 @@ def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
     write_id_files(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), FILE_END)
     return read_id_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.85)
+
+
+@_query
+def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.secrets import find_secrets, listed
+
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = ("assign", "access", "hex")
+    counts = [_count("base_spans", k) for k in kinds]
+    digest = F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, listed(F.col("secret_spans")).alias("spans"))
