@@ -68,3 +68,33 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [_count("base_spans", k) for k in kinds]
     digest = F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, listed(F.col("secret_spans")).alias("spans"))
+
+
+@_query
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.mixing import mix_sources
+
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    taken = (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken, "mix.copies", "source")
+
+
+@_query
+def op3_sketch_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.thresholds import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
+
+
+KEEP_SCORE = 0.3
+
+
+@_query
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.columns import held_out
+    from moltable.llm.crf import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+    predicted = (F.col("quality") >= KEEP_SCORE).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), predicted)
