@@ -98,3 +98,10 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
     predicted = (F.col("quality") >= KEEP_SCORE).cast("int").alias("predicted")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), predicted)
+
+
+@_query
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
