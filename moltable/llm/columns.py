@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-ASCII_BLANKS = " \t\n\r\x0b\x0c"  # the same six characters, as Python spells them
-
-
-def split_words(text: str) -> list[str]:
-    """Runs of anything but the six ASCII blanks (``str.split`` would also cut at other Unicode space)."""
-    if text.isascii() and not _SEPARATORS.search(text):
-        return text.split()
-    return _WORDS.findall(text)
-
-
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_WORDS = re.compile(WORD)
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
 
 
 def held_out(doc_id: Column) -> Column:

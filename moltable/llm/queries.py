@@ -105,3 +105,27 @@ def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moltable.llm.ann import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op6_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.wordpiece import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.pii import KINDS, find_personal_data, train_on
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, train_on(docs))
+
+    def listed(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    digest = F.sha2(listed("base_spans"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, KINDS), digest, listed("spans").alias("spans"))
