@@ -8,12 +8,32 @@ import re
 
 import numpy as np
 
-CACHED_SEGMENTS = 600_000  # segments a worker remembers before it starts anew: bounds its memory, changes no id
-CACHED_CHARS = 24_000_000
+CACHED_PIECES = 800_000  # pieces a worker remembers before it starts anew: bounds its memory, changes no id
 SLICE_CHARS = 2_000_000  # characters looked up between two calls of the tokenizer
 
 _AFTER_SPACE = re.compile(r" (?=\s)")
 _SEGMENTS = re.compile(r"\s*\S+|\s+")
+# Letters, marks, single spaces and single line ends, between which both vocabularies' patterns always cut. Apostrophes (of
+# contractions), the brackets of special tokens, digits and all other characters leave a segment whole.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape('!"#$%&()*+,-./:;=?@[]_{|}~')
+_ODD = re.compile(rf"[^{_LETTERS}{_MARKS} \n]")
+_PLAIN_BYTES = bytes(b for b in range(256) if not _ODD.match(chr(b)))
+_SPACED_PIECES = re.compile(rf" ?(?:[{_LETTERS}]+|[{_MARKS}]+)|\n")
+_PIECES = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+")
+
+
+def _first_odd(text: str) -> re.Match | None:
+    try:
+        if not text.encode("latin-1").translate(None, _PLAIN_BYTES):
+            return None
+    except UnicodeEncodeError:
+        pass
+    return _ODD.search(text)
+
+
+def _wide_blank(text: str) -> bool:
+    """Whether a plain text has two blanks in a row or ends in one."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n"))
 
 
 class _Index(dict):
@@ -29,13 +49,42 @@ class _Index(dict):
         return at
 
 
+class _Ragged:
+    """Rows of different lengths, appended in batches and gathered by number."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat = np.zeros(1 << 16, kind)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+        self.rows = self.used = 0
+
+    def extend(self, values, lengths: np.ndarray) -> None:
+        rows, used = self.rows + len(lengths), self.used + len(values)
+        while rows > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : used] = values
+        self.lengths[self.rows : rows] = lengths
+        self.starts[self.rows : rows] = self.used + np.cumsum(lengths) - lengths
+        self.rows, self.used = rows, used
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of these rows one after the other, where each row ends)."""
+        n = self.lengths[rows]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(total)], ends
+
+
 class SegmentEncoder:
-    """``tokenizers`` ids of whole texts, by segments that the tokenizer never looks across.
+    """``tokenizers`` ids of whole texts, by pieces that the tokenizer never looks across.
 
     ``spaced``: the tokenizer joins a space to the word after it (byte-level vocabularies). Its
     pattern then always has a boundary before a space that a non-blank follows, so texts are cut
     there; texts with a blank after a space are cut only between a non-blank and a blank. Otherwise the
-    tokenizer drops blanks, and texts are cut at every space. Both give the ids of the whole text.
+    tokenizer drops blanks, and texts are cut at every space. Texts or segments of plain letters and marks are cut
+    between letters and marks too, as both patterns do. All this gives the ids of the whole text.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -44,72 +93,65 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        self.cut = (_SPACED_PIECES if spaced else _PIECES).findall
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|")}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.chars = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.known = 0
-
-    def _keys(self, text: str) -> list:
-        """Keys of a text's segments: a string stands for itself after a space if ``spaced``, a tuple for itself."""
-        if not text:
-            return []
-        if not self.spaced:
-            return text.split(" ")
+        self.pieces, self.ids = _Index(), _Ragged(np.uint32)
+
+    def _cut_plain(self, text: str) -> list[str]:
+        return [text] if _wide_blank(text) else self.cut(text)
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text that the tokenizer never looks across."""
+        odd = _first_odd(text)
+        if odd is None and not _wide_blank(text):
+            return self.cut(text)
         if _AFTER_SPACE.search(text):
-            return [(s,) for s in _SEGMENTS.findall(text)]
-        keys: list = text.split(" ")
-        keys[0] = (keys[0],)
-        return keys
+            return _SEGMENTS.findall(text) if self.spaced else text.split(" ")
+        out: list[str] = []
+        at = 0
+        while odd is not None:
+            start, end = max(at, text.rfind(" ", at, odd.start())), text.find(" ", odd.end())
+            if start > at:
+                out += self._cut_plain(text[at:start])
+            at = len(text) if end < 0 else end
+            out.append(text[start:at])
+            odd = _ODD.search(text, at)
+        return out + self._cut_plain(text[at:]) if at < len(text) else out
 
     def _encode_new(self) -> None:
-        new, self.index.new = self.index.new, []
-        plain = [k[0] if isinstance(k, tuple) else " " + k if self.spaced else k for k in new]
+        """Ids of the pieces that are new.
+
+        Pieces are joined by a special token: its text is looked for before anything else, and what lies between
+        two of them is encoded by itself.
+        """
+        new, self.pieces.new = self.pieces.new, []
         encode = self.tokenizer.encode_batch_fast
-        ids: list[int] = []
-        lengths = np.zeros(len(new), np.int64)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            (got,) = encode([some], add_special_tokens=False, is_pretokenized=True)
-            of = got.word_ids
-            if None in of:  # a special token belongs to no word
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            if self.mark is None or any("<|" in s for s in some):
                 each = [e.ids for e in encode(some, add_special_tokens=False)]
-                lengths[at : at + len(some)] = [len(x) for x in each]
-                for x in each:
-                    ids.extend(x)
+                self.ids.extend([x for ids in each for x in ids], np.array([len(x) for x in each], np.int64))
             else:
-                ids.extend(got.ids)
-                lengths[at : at + len(some)] = np.bincount(np.asarray(of, np.int64), minlength=len(some))
-        end = self.known + len(new)
-        while end > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.lengths[self.known : end] = lengths
-        self.starts[self.known : end] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        self.known = end
-        self.chars += sum(map(len, plain))
+                (got,) = encode([self.mark.join(some)], add_special_tokens=False)
+                ids = np.array(got.ids, np.int64)
+                marks = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]])
+                self.ids.extend(ids[ids != self.mark_id], np.diff(marks) - 1)
 
     def _some(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.index) > CACHED_SEGMENTS or self.chars > CACHED_CHARS:
+        if len(self.pieces) > CACHED_PIECES:
             self._reset()
-        number = self.index.__getitem__
-        keys = [self._keys(t) for t in texts]
-        each = [np.fromiter(map(number, k), np.int64, len(k)) for k in keys]
-        if self.index.new:
+        number = self.pieces.__getitem__
+        each = []
+        for text in texts:
+            pieces = self._pieces(text)
+            each.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        if self.pieces.new:
             self._encode_new()
-        segments = np.concatenate(each) if each else np.zeros(0, np.int64)
-        n = self.lengths[segments]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[segments] - (ends - n), n) + np.arange(total)]
+        ids, ends = self.ids.gather(np.concatenate(each))
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
         last = np.array([end_id], np.uint32)
         return [np.concatenate([ids[a:b], last]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
