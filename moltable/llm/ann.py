@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from moltable.runtime import stage
 
 SAMPLE = 16_384  # vectors that the lists are laid out on, at most
-LIST_SAMPLE = 48  # sampled vectors of a list, at most
+LIST_SAMPLE = 64  # sampled vectors of a list, at most
 REPLICAS = 4  # lists that hold a boundary vector, at most
 REPLICA_RATIO = 1.1  # a vector is also in lists this much further than its nearest
 LINKS, BEAM = 24, 48  # neighbours of a centroid in the graph, centroids kept while searching it
-TARGET = 0.96  # recall of true neighbours aimed at when the pruning ratio is set on the sample
+TARGET = 0.95  # recall of true neighbours aimed at when the pruning ratio is set on the sample
 MIN_LISTS = 8  # a query in a crowd, where the nearest centroid is next to it, still looks around
+HELD_ROWS = 200_000  # candidates a task holds before it passes on the best of each query
 BLOCK = 2048  # vectors of a list that one piece holds
 QUERY_BLOCK = 256
 SEED = 5
@@ -171,7 +172,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     given = vectors.select(
-        F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("asked")
+        F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"), queries.alias("asked")
     ).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     given = given.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asked").alias("asked"))
     given = stage(given, "vectors")
@@ -180,7 +181,8 @@ def nearest(
     if not dims:
         return spark.createDataFrame([], out)
     given = given.where(F.size("v") == dims[0]["dim"])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    kind = given.schema["v"].dataType.simpleString()  # vectors travel as they are stored and are widened in the tasks
+    norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     radius = given.agg(F.max(norm)).first()[0]
     chosen = given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     index = build_index(_matrix(chosen.column("v").combine_chunks()), radius, target=target, k=k)
@@ -188,6 +190,7 @@ def nearest(
 
     def route(batches: Iterator[pa.RecordBatch], asked: bool) -> Iterator[pa.RecordBatch]:
         index = held.value
+        beam = BEAM
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -195,7 +198,6 @@ def nearest(
                 if asked:
                     points, most = index_queries(x, index.radius), len(index.centroids)
                     ratio, least = index.ratio, MIN_LISTS
-                    beam = BEAM
                     found, far = index.search(points, beam)
                     # The walk widens until it has passed the last centroid within the ratio, whatever their number.
                     while beam < most and (far[:, -1] <= ratio * far[:, 0]).any():
@@ -213,7 +215,7 @@ def nearest(
                     names=["list", "vec_id", "v"],
                 )
 
-    ddl = "list int, vec_id bigint, v array<double>"
+    ddl = f"list int, vec_id bigint, v {kind}"
     rows = given.select("vec_id", "v")
     stored = rows.mapInArrow(lambda b: route(b, False), ddl)
     asked = given.where("asked").select("vec_id", "v").mapInArrow(lambda b: route(b, True), ddl)
@@ -228,7 +230,22 @@ def nearest(
     pairs = blocks(asked, QUERY_BLOCK, "asked").select("list", F.col("rows").alias("queries"))
     pairs = pairs.join(blocks(stored, BLOCK, "lists").select("list", "rows"), "list")
 
+    def best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The ``k`` best of each query among these rows; a vector that several lists hold counts once."""
+        query, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+        query, vec, score = query[new], vec[new], score[new]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.concatenate([first, [len(query)]])))
+        return [(query[place < k], vec[place < k], score[place < k])]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", "vec_id", "score"]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = floor = 0
         for batch in batches:
             for at in range(batch.num_rows):
                 sides = [batch.column(c).slice(at, 1).flatten() for c in ("queries", "rows")]
@@ -240,10 +257,16 @@ def nearest(
                 # All that tie with the last are kept, so that the smaller id can win later.
                 edge = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
                 row, place = np.nonzero((scores >= edge[:, None] - 1e-9 * np.abs(edge[:, None])) & (scores > -np.inf))
-                exact = (q[row] * x[place]).sum(axis=1)
-                yield pa.record_batch(
-                    [pa.array(ids[0][row]), pa.array(ids[1][place]), pa.array(exact)], names=["query_id", "vec_id", "score"]
-                )
+                held.append((ids[0][row], ids[1][place], (q[row] * x[place]).sum(axis=1)))
+                rows += len(row)
+                if rows > floor + HELD_ROWS:
+                    held = best(held)
+                    rows = floor = len(held[0][0])
+                    if rows > HELD_ROWS:  # of so many queries that their best alone are too many to hold
+                        yield pa.record_batch([pa.array(c) for c in held[0]], names=names)
+                        held, rows, floor = [], 0, 0
+        if held:
+            yield pa.record_batch([pa.array(c) for c in best(held)[0]], names=names)
 
     found = pairs.select("queries", "rows").mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
