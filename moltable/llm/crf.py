@@ -184,13 +184,15 @@ def score_documents(docs: DataFrame, model: LineModel | float, keep: list[str] |
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
-    given = docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    whole = "text" in kept.columns
+    given = docs.select(row) if whole else docs.select(row, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                texts = some.column("text").to_pylist()
+                texts = some.column("row").field("text") if whole else some.column("text")
+                texts = [t or "" for t in texts.to_pylist()]
                 if isinstance(model, float):
                     scores = np.full(len(texts), model)
                 else:

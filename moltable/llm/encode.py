@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-CACHED_PIECES = 800_000  # pieces a worker remembers before it starts anew: bounds its memory, changes no id
+CACHED_PIECES = 400_000  # pieces a worker remembers; beyond, those used once are forgotten. Changes no id
 SLICE_CHARS = 2_000_000  # characters looked up between two calls of the tokenizer
 
 _AFTER_SPACE = re.compile(r" (?=\s)")
@@ -100,6 +100,21 @@ class SegmentEncoder:
 
     def _reset(self) -> None:
         self.pieces, self.ids = _Index(), _Ragged(np.uint32)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were used again, at most half of those remembered."""
+        uses = self.uses
+        least = max(2, int(np.partition(uses, -CACHED_PIECES // 2)[-CACHED_PIECES // 2]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        names = list(self.pieces)
+        ids, _ = self.ids.gather(kept)
+        lengths = self.ids.lengths[kept]
+        self._reset()
+        for at in kept:
+            self.pieces[names[at]] = len(self.pieces)
+        self.ids.extend(ids, lengths)
+        self.uses = np.ones(len(kept), np.int64)
 
     def _cut_plain(self, text: str) -> list[str]:
         return [text] if _wide_blank(text) else self.cut(text)
@@ -143,7 +158,7 @@ class SegmentEncoder:
 
     def _some(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         if len(self.pieces) > CACHED_PIECES:
-            self._reset()
+            self._forget()
         number = self.pieces.__getitem__
         each = []
         for text in texts:
@@ -151,7 +166,11 @@ class SegmentEncoder:
             each.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
         if self.pieces.new:
             self._encode_new()
-        ids, ends = self.ids.gather(np.concatenate(each))
+        used = np.concatenate(each)
+        counts = np.bincount(used, minlength=len(self.pieces))
+        counts[: len(self.uses)] += self.uses
+        self.uses = counts
+        ids, ends = self.ids.gather(used)
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
         last = np.array([end_id], np.uint32)
         return [np.concatenate([ids[a:b], last]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -24,7 +24,7 @@ MISS = 1e-6  # chance that a pair at the threshold shares no band
 GROUP_ROWS = 400  # documents compared in one piece
 SEED = 7
 SHINGLE_SLICE = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000  # word hashes a worker remembers within a task
 
 
 def band_count(threshold: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -123,6 +123,7 @@ def sketch(docs: DataFrame, threshold: float, rows: int = BAND_ROWS) -> DataFram
                     [some.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
+        _words.clear()
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
