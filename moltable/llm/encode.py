@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-CACHED_PIECES = 400_000  # pieces a worker remembers; beyond, those used once are forgotten. Changes no id
+CACHED_PIECES = 300_000  # pieces a worker remembers; beyond, those used once are forgotten. Changes no id
 SLICE_CHARS = 2_000_000  # characters looked up between two calls of the tokenizer
 
 _AFTER_SPACE = re.compile(r" (?=\s)")
