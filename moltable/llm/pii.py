@@ -276,7 +276,9 @@ def train_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, Judge
     texts = with_text(docs).where("doc_id is not null and text <> ''")
     # A piece of at most 400 characters of each: the middle, so that the driver gets little whatever the texts' lengths.
     piece = F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 200), 400)")
-    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(piece.alias("piece")).collect()
+    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", piece.alias("piece")).dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     pieces = [" ".join(r["piece"].split()[1:-1]) for r in rows]
     clean = [p for p in pieces if p and not _HAS_DIGIT.search(p) and "@" not in p]
     return train([p[:200] for p in clean])
