@@ -25,14 +25,13 @@ def loss_mse(spark, sf_dir):
 CE_SQL = f"""
     SELECT avg(z - x) AS loss FROM (
         SELECT vec_id, ln(sum(exp(x))) AS z, any_value(x) FILTER (idx = label) AS x
-        FROM ({CELLS_SQL}) WHERE idx < 10 GROUP BY vec_id)
+        FROM ({CELLS_SQL}) GROUP BY vec_id)
 """
 
 
 @check("loss_ce", f"SELECT round(loss, 6) AS loss FROM ({CE_SQL})")
 def loss_ce(spark, sf_dir):
-    logits = F.slice("embedding", 1, 10)
-    return table(spark, sf_dir, "embeddings").agg(F.round(m.cross_entropy(logits, F.col("label")), 6).alias("loss"))
+    return table(spark, sf_dir, "embeddings").agg(F.round(m.cross_entropy(F.col("embedding"), F.col("label")), 6).alias("loss"))
 
 
 LABELLED_SQL = """
@@ -79,13 +78,13 @@ def loss_bce(spark, sf_dir):
 )
 def loss_infer(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("value", F.col("user_id").cast("float").alias("labels"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 10).alias("logits"), "label")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("logits"), "label")
     pairs = _labelled(spark, sf_dir).select(
         F.array("score", "score").alias("logits"), F.array("quality", "toxic").cast("array<float>").alias("labels")
     )
     losses = [
         m.infer_loss(events, "value", "labels", 1),
-        m.infer_loss(vectors, "logits", "label", 10),
+        m.infer_loss(vectors, "logits", "label", 64),
         m.infer_loss(pairs, "logits", "labels", 2),
     ]
     out = losses[0].unionByName(losses[1]).unionByName(losses[2])

@@ -108,6 +108,15 @@ def q_group_kfold(spark, sf_dir):
     return group_kfold(table(spark, sf_dir, "documents"), "text", 3, "doc_id")
 
 
+@check(
+    "spl_group_kfold_sparse",
+    f"SELECT fold, split, row_idx * 7919 + 5000000 AS row_idx FROM ({group_sql(3)})",
+)
+def q_group_kfold_sparse(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") * 7919 + 5_000_000)
+    return group_kfold(docs, "text", 3, "doc_id")
+
+
 @check(
     "spl_overlap",
     f"""

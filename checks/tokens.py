@@ -22,7 +22,12 @@ VOCAB_SQL = f"""
     UNION ALL SELECT * FROM (VALUES (0, '[UNK]'), (1, '[PAD]'), (2, '[CLS]'), (3, '[SEP]'), (4, '[MASK]'))
 """
 IDS_SQL = f"SELECT doc_id, pos, coalesce(id, {UNK}) AS id FROM ({WORD_SQL}) w LEFT JOIN ({VOCAB_SQL}) v USING (token)"
-# Truncated and between [CLS] and [SEP].
+# Between [CLS] and [SEP]: whole texts, and truncated ones for the queries of a fixed length.
+WHOLE_SQL = f"""
+    SELECT doc_id, pos + 1 AS pos, id FROM ({IDS_SQL})
+    UNION ALL SELECT doc_id, 0, {CLS} FROM documents
+    UNION ALL SELECT doc_id, len({WORDS}) + 1, {SEP} FROM documents
+"""
 FRAMED_SQL = f"""
     SELECT doc_id, pos + 1 AS pos, id FROM ({IDS_SQL}) WHERE pos < {MAX_LENGTH - 2}
     UNION ALL SELECT doc_id, 0, {CLS} FROM documents
@@ -44,6 +49,10 @@ def _framed(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", tk.template_single(cut, CLS, SEP).alias("ids"))
 
 
+def _whole(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("doc_id", tk.template_single(F.col("ids"), CLS, SEP).alias("ids"))
+
+
 def _checksum(ids):
     """Length, sum and place-weighted sum of an array, as columns."""
     weighted = F.transform(ids, lambda x, i: x.cast("bigint") * (i + 1))
@@ -149,9 +158,9 @@ def tok_truncate(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", *_checksum(tk.truncate(F.col("ids"), MAX_LENGTH)))
 
 
-@check("tok_template", f"SELECT doc_id, {CHECKSUM_SQL} FROM ({FRAMED_SQL}) GROUP BY doc_id")
+@check("tok_template", f"SELECT doc_id, {CHECKSUM_SQL} FROM ({WHOLE_SQL}) GROUP BY doc_id")
 def tok_template(spark, sf_dir):
-    return _framed(spark, sf_dir).select("doc_id", *_checksum(F.col("ids")))
+    return _whole(spark, sf_dir).select("doc_id", *_checksum(F.col("ids")))
 
 
 @check(
@@ -170,7 +179,7 @@ def tok_template_pair(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", *_checksum(tk.template_pair(ids, ids, CLS, SEP)))
 
 
-PAD_SQL = f"SELECT doc_id // {BATCH} AS b, (ceil(max(least(len({WORDS}), {MAX_LENGTH - 2}) + 2) / 8) * 8)::INTEGER AS pad_len FROM documents GROUP BY 1"
+PAD_SQL = f"SELECT doc_id // {BATCH} AS b, (ceil(max(len({WORDS}) + 2) / 8) * 8)::INTEGER AS pad_len FROM documents GROUP BY 1"
 
 
 @check(
@@ -178,12 +187,12 @@ PAD_SQL = f"SELECT doc_id // {BATCH} AS b, (ceil(max(least(len({WORDS}), {MAX_LE
     f"""
     SELECT doc_id, pad_len, pad_len AS n,
            (checksum + {PAD} * (pad_len * (pad_len + 1) // 2 - k * (k + 1) // 2))::BIGINT AS checksum
-    FROM (SELECT doc_id, count(*) AS k, sum(id * (pos + 1)) AS checksum FROM ({FRAMED_SQL}) GROUP BY doc_id)
+    FROM (SELECT doc_id, count(*) AS k, sum(id * (pos + 1)) AS checksum FROM ({WHOLE_SQL}) GROUP BY doc_id)
     JOIN ({PAD_SQL}) ON b = doc_id // {BATCH}
     """,
 )
 def tok_pad_batch(spark, sf_dir):
-    padded = tk.with_batch_length(_framed(spark, sf_dir), "ids", BATCH, "doc_id")
+    padded = tk.with_batch_length(_whole(spark, sf_dir), "ids", BATCH, "doc_id")
     return padded.select("doc_id", "pad_len", *_checksum(tk.pad_to(F.col("ids"), F.col("pad_len"), PAD)))
 
 
@@ -202,19 +211,21 @@ def tok_pad_max(spark, sf_dir):
 @check(
     "tok_masks",
     f"""
-    SELECT doc_id, count(*) AS n_attended, {MAX_LENGTH} AS n_mask,
-           ({MAX_LENGTH} - count(*) + sum((id < 5)::INTEGER))::BIGINT AS n_special FROM ({FRAMED_SQL}) GROUP BY doc_id
+    SELECT doc_id, n AS n_attended, m AS n_mask, (n * (n + 1) // 2)::BIGINT AS attended_places,
+           (special + m * (m + 1) // 2 - n * (n + 1) // 2)::BIGINT AS special_places
+    FROM (SELECT doc_id, count(*) AS n, (ceil(count(*) / 8) * 8)::INTEGER AS m, sum((id < 5)::INTEGER * (pos + 1)) AS special
+          FROM ({WHOLE_SQL}) GROUP BY doc_id)
     """,
 )
 def tok_masks(spark, sf_dir):
-    def ones(mask):
-        return F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    attention = tk.attention_mask(F.col("ids"), MAX_LENGTH)
-    special = tk.special_mask(tk.pad_to(F.col("ids"), MAX_LENGTH, PAD), [UNK, PAD, CLS, SEP, MASK])
-    return _framed(spark, sf_dir).select(
-        "doc_id", ones(attention).alias("n_attended"), F.size(attention).alias("n_mask"), ones(special).alias("n_special")
-    )
+    length = tk.round_up(F.size("ids"))
+    attention = tk.attention_mask(F.col("ids"), length)
+    special = tk.special_mask(tk.pad_to(F.col("ids"), length, PAD), [UNK, PAD, CLS, SEP, MASK])
+    attended = F.aggregate(attention, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _whole(spark, sf_dir).select(
+        "doc_id", attended.alias("n_attended"), F.size(attention).alias("n_mask"),
+        _checksum(attention)[1].alias("attended_places"), _checksum(special)[1].alias("special_places"),
+    )
 
 
 MLM_SQL = f"""
@@ -224,13 +235,13 @@ MLM_SQL = f"""
            CASE WHEN chosen THEN id ELSE -100 END AS label
     FROM (SELECT doc_id, pos, id, u < 0.3::DOUBLE AND id >= 5 AS chosen, u / 0.3::DOUBLE AS w
           FROM (SELECT *, ('0x' || substr(md5('9-' || doc_id || '-' || pos // 4), (1 + 8 * (pos % 4))::BIGINT, 8))::BIGINT
-                          / 4294967296.0::DOUBLE AS u FROM ({FRAMED_SQL})))
+                          / 4294967296.0::DOUBLE AS u FROM ({WHOLE_SQL})))
 """
 
 
 def _masked(spark, sf_dir):
     cells = tk.mlm_mask("doc_id", F.col("ids"), [UNK, PAD, CLS, SEP, MASK], MASK, VOCAB, 9)
-    return _framed(spark, sf_dir).select("doc_id", cells.alias("cells"))
+    return _whole(spark, sf_dir).select("doc_id", cells.alias("cells"))
 
 
 @check(

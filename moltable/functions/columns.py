@@ -92,3 +92,9 @@ def pack_labels(columns: list[str], task: str) -> Column:
 
 def float_columns(df: DataFrame) -> list[str]:
     return [name for name, dtype in df.dtypes if dtype in ("float", "double")]
+
+
+def of_size(vec: Column, n: int) -> Column:
+    """The vector itself; an error if it has not ``n`` elements. Null stays null."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {n} elements, got "), F.size(vec).cast("string")))
+    return F.when(F.size(vec) != n, wrong).otherwise(vec)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from moltable.functions.columns import nan_to_num
 from moltable.operators.index import seeded_digest
 
-VARIANT_SALTS = 32  # parts an id is divided into while its variants are compared
 FORBIDDEN = ("Ipc",)  # fixed value: a descriptor whose size ruins every statistic
 
 
@@ -61,21 +60,13 @@ def pick_variant(
     """One seeded choice per id among its variants other than the original.
 
     ``originals`` has one row per id, ``candidates`` any number of variants, equal ones counting
-    once. Where the original is the only variant it is kept, and ``kept_original`` says so. An id
-    with very many variants is divided into VARIANT_SALTS parts before the best of each is compared.
+    once. Where the original is the only variant it is kept, and ``kept_original`` says so. The smallest ticket of an
+    id is a partial minimum, and the join before it is plain, so an id with very many variants can be split.
     """
-    salted = originals.select(
-        id_col, original_col, F.explode(F.sequence(F.lit(0), F.lit(VARIANT_SALTS - 1))).alias("_salt")
-    )
-    variants = candidates.select(
-        id_col, variant_col, F.pmod(F.xxhash64(variant_col), F.lit(VARIANT_SALTS)).cast("int").alias("_salt")
-    )
     ticket = F.struct(seeded_digest(seed, id_col, variant_col).alias("t"), F.col(variant_col).alias("v"))
-    other = F.col(variant_col) != F.col(original_col)
-    parts = salted.join(variants, [id_col, "_salt"], "left").groupBy(id_col, "_salt").agg(
-        F.min(F.when(other, ticket)).alias("_pick"), F.first(original_col).alias(original_col)
-    )
-    picked = parts.groupBy(id_col).agg(F.min("_pick").alias("_pick"), F.first(original_col).alias(original_col))
+    others = candidates.select(id_col, variant_col).join(originals.select(id_col, original_col), id_col)
+    best = others.where(F.col(variant_col) != F.col(original_col)).groupBy(id_col).agg(F.min(ticket).alias("_pick"))
+    picked = originals.select(id_col, original_col).join(best, id_col, "left")
     return picked.select(
         id_col,
         original_col,

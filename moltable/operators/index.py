@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from moltable.runtime import stage
 
-BROADCAST_ROWS = 1_000_000  # short rows sent to every task at most
 HASH_DIGITS = 4  # hexadecimal digits of the digest that name a bucket: 16**4 buckets
 
 
@@ -49,8 +48,6 @@ def with_file_index(scan: DataFrame, name: str = "row_idx") -> DataFrame:
     before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
     offsets = stage(counts.select("_path", "_block", (earlier - F.col("_start")).alias("_shift")), "blocks")
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     return (
         placed.join(offsets, ["_path", "_block"])
         .withColumn(name, F.col("_line") + F.col("_shift"))

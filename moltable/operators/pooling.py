@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moltable.functions.columns import of_size
+
 WIDE_DIMS = 256  # vectors up to this long are aggregated as columns, longer ones as (index, value) rows
 POOLINGS = ("cls", "mean", "max_cls", "max_seq_mean", "sum_mean", "sum_sum", "mean_sum", "mean_mean")  # fixed values
 
@@ -24,6 +26,7 @@ def aggregate_vectors(
     many keys a quarter of the bytes of the other way. Longer vectors, whose generated code would
     not compile, become (index, value) rows first and are put together again.
     """
+    df = df.withColumn(vec, of_size(F.col(vec), dim))
     if dim <= WIDE_DIMS:
         cells = [element(F.col(vec)[i].cast("double")) for i in range(dim)]
         return df.groupBy(*keys).agg(F.array(*cells).alias(vec), *[c.alias(n) for n, c in extra.items()])
@@ -71,13 +74,29 @@ def pool(states: DataFrame, how: str, dim: int, n_layers: int, last_k: int = 8)
     return divided(summed, by * F.col("_positions") if over_positions == "mean" else by)
 
 
-def linear_merge(tensors: DataFrame, weights: DataFrame) -> DataFrame:
+def linear_merge(tensors: DataFrame, weights: DataFrame, missing: str = "skip") -> DataFrame:
     """Weighted mean of same-named tensors over models: (tensor, idx, value).
 
     ``tensors`` is (model, tensor, vec), of any length per tensor, and ``weights`` (model, weight),
-    one row per model. The weights of the models that have the tensor are scaled to sum to one.
-    The result stays one row per element: a tensor of millions of elements is never one value.
+    one row per model. The weights of the models that have the tensor are scaled to sum to one; with
+    ``missing="error"`` every weighted model must have it. A model without a weight and a tensor whose length
+    differs between models are errors. The result stays one row per element: a tensor of millions of elements is
+    never one value.
     """
-    elements = tensors.join(weights, "model").select("tensor", "weight", F.posexplode("vec").alias("idx", "x"))
+    if missing not in ("skip", "error"):
+        raise ValueError(f"missing must be 'skip' or 'error', got {missing!r}")
+    size = F.size("vec")
+    shapes = tensors.groupBy("tensor").agg(F.min(size).alias("_least"), F.max(size).alias("_most"), F.count("*").alias("_n"))
+    joined = tensors.join(weights, "model", "left").join(shapes, "tensor")
+
+    def wrong(text: str, column: str) -> Column:
+        return F.raise_error(F.concat(F.lit(text), F.col(column).cast("string"))).cast("double")
+
+    weight = F.when(F.col("weight").isNull(), wrong("no weight for model ", "model"))
+    weight = weight.when(F.col("_least") != F.col("_most"), wrong("lengths differ of ", "tensor"))
+    if missing == "error":
+        weight = weight.when(F.col("_n") != weights.agg(F.count("*")).scalar(), wrong("not every model has ", "tensor"))
+    weight = weight.otherwise(F.col("weight")).alias("weight")
+    elements = joined.select("tensor", weight, F.posexplode("vec").alias("idx", "x"))
     weighted = F.sum(F.col("x").cast("double") * F.col("weight")) / F.sum("weight")
     return elements.groupBy("tensor", "idx").agg(weighted.alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moltable.operators.index import HASH_DIGITS, digest_number, hash_offsets, seeded_digest, with_file_index
 from moltable.operators.validate import require_columns, resolve_labels
+from moltable.runtime import stage
 
 
 def clean_index(scan: DataFrame, text_col: str) -> DataFrame:
@@ -55,7 +56,7 @@ def sample_rows(df: DataFrame, n: int | None, id_col: str, seed: int) -> DataFra
     if n <= 0:
         return df.where(F.lit(False))
     digest = seeded_digest(seed, id_col)
-    ids = df.select(id_col, digest.alias("_digest"))
+    ids = stage(df.select(id_col, digest.alias("_digest")), "sampled-ids")  # read three times
     ids = ids.withColumn("_bucket", digest_number(F.col("_digest"), 1, HASH_DIGITS))
     offsets = hash_offsets(ids, F.col("_bucket"))
     edge = offsets.where((F.col("_offset") < n) & (F.col("_offset") + F.col("_n") >= n))

@@ -31,18 +31,24 @@ def predict(df: DataFrame, vec_col: str, load: Callable[[], Callable], name: str
     """Add the logits of a model as an array of 32-bit floats.
 
     ``load`` is called once per task and returns a function from a batch (rows, width) to logits
-    (rows, outputs). Undo the label transforms on the result with ``undo_transforms``.
+    (rows, outputs). Undo the label transforms on the result with ``undo_transforms``. A null vector has
+    null logits; vectors of different lengths in a batch are an error.
     """
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for batch in batches:
-            rows = len(batch)
-            vectors = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+            there = batch.is_valid().to_numpy(zero_copy_only=False)
+            given = batch.drop_null()
+            rows = len(given)
+            if len(given.value_lengths().unique()) > 1:
+                raise ValueError("vectors of one batch differ in length")
+            vectors = given.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1 if rows else 0)
             logits = np.asarray(model(vectors), dtype=np.float32).reshape(rows, -1) if rows else np.empty((0, 1), np.float32)
             offsets = pa.array(np.arange(rows + 1) * logits.shape[1], type=pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()))
+            found = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()))
+            yield found.take(pa.array(np.cumsum(there) - 1, mask=~there))
 
     return df.withColumn(name, run(vec_col))
 

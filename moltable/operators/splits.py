@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltable.operators.index import with_shuffled_index
+from moltable.operators.index import with_global_index, with_shuffled_index
 from moltable.runtime import stage
 
 HOLDOUT_FRACTION = 0.1  # share of rows that val, and likewise test, must hold exactly
@@ -72,7 +72,7 @@ def group_map(df: DataFrame, key: str, id_col: str = "row_idx") -> DataFrame:
 
 @dataclass(frozen=True)
 class _Rule:
-    """Groups that a pass takes: first position in [lo, hi), at most max_n rows, not taken before."""
+    """Groups that a pass takes: rank by first position in [lo, hi), at most max_n rows, not taken before."""
 
     seq: int
     lo: int
@@ -81,12 +81,12 @@ class _Rule:
 
 
 def _pass_of(rules: list[_Rule]) -> Column:
-    """The first pass that takes a group (first, n), null if none does."""
-    taken = " ".join(f"WHEN first >= {r.lo} AND first < {r.hi} AND n <= {r.max_n} THEN {r.seq}" for r in rules)
+    """The first pass that takes a group (rank, n), null if none does."""
+    taken = " ".join(f"WHEN rank >= {r.lo} AND rank < {r.hi} AND n <= {r.max_n} THEN {r.seq}" for r in rules)
     return F.expr(f"CASE {taken} END" if rules else "CAST(NULL AS INT)")
 
 
-def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int, total: int) -> int:
+def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int) -> int:
     """One greedy pass: in first-seen order take every unused group that still fits.
 
     Appends the rules that describe what was taken and returns the capacity left. The driver sees
@@ -96,11 +96,8 @@ def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width:
     remaining space.
     """
     free = groups.where(_pass_of(rules).isNull() & (F.col("n") <= capacity))
-    if total > width:
-        # One summary per ``width`` positions, however many groups there are.
-        sums = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least")).collect()
-    else:
-        sums = [(0, total, 0)]
+    # One summary per ``width`` groups, however their ids are spread.
+    sums = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least")).collect()
     left, whole_from = capacity, None
 
     def close(at: int) -> None:
@@ -120,15 +117,15 @@ def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width:
         close(lo)
         if least > left:
             continue
-        inside = free.where(F.col("block") == block).select("block", "first", "n")
-        so_far = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+        inside = free.where(F.col("block") == block).select("block", "rank", "n")
+        so_far = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
         while left > 0:
-            fits = inside.where((F.col("first") >= lo) & (F.col("n") <= left)).withColumn(
+            fits = inside.where((F.col("rank") >= lo) & (F.col("n") <= left)).withColumn(
                 "running", F.sum("n").over(so_far)
             )
             over = F.col("running") > left
             taken, blocker = fits.agg(
-                F.max(F.when(~over, F.col("running"))), F.min(F.when(over, F.col("first")))
+                F.max(F.when(~over, F.col("running"))), F.min(F.when(over, F.col("rank")))
             ).first()
             hi = end if blocker is None else blocker
             if taken is not None:
@@ -149,21 +146,20 @@ def group_kfold(
     Per fold the groups are taken in first-seen order: to val while it fits in a tenth of the
     rows, else to test while it fits, else to train; groups once held out train in later folds.
     Whether a group fits depends on every group before it, but the choice for val never looks at
-    test. So a fold is two greedy passes, each described by a few rules on (first, n), found from
-    block sums (see ``_fill``). Blocks are ranges of positions, so none has more than
-    ``block_rows`` groups however the groups are made up. Keys travel as digests.
+    test. So a fold is two greedy passes, each described by a few rules on (rank, n), found from
+    block sums (see ``_fill``). Groups are ranked by first position and blocks are ranges of ranks, so all
+    but the last have ``block_rows`` groups whatever the ids are. Keys travel as digests.
     """
     digest = F.sha2(F.col(key).cast("string"), 256)
     rows = df.select(F.col(id_col).alias("row_idx"), digest.alias("_key")).where("_key is not null")
     total = df.count()
     cutoff = math.floor(HOLDOUT_FRACTION * total)
-    groups = stage(
-        group_map(rows, "_key").withColumn("block", F.expr(f"first div {block_rows}L")), "groups"
-    )
+    ranked = with_global_index(group_map(rows, "_key"), ["first", "_key"], "rank")
+    groups = stage(ranked.withColumn("block", F.expr(f"rank div {block_rows}L")), "groups")
     rules: list[_Rule] = []
     for fold in range(k):
         for offset in (0, 1):
-            left = _fill(groups, rules, 2 * fold + offset, cutoff, block_rows, total)
+            left = _fill(groups, rules, 2 * fold + offset, cutoff, block_rows)
             if left > 0:
                 message = (
                     f"fold {fold}: {left} of {cutoff} rows missing in {('val', 'test')[offset]}; "

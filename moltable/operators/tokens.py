@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltable.operators.index import digest_number, seeded_digest
@@ -145,9 +145,8 @@ def pad_to(ids: Column, length: Column | int, pad: int) -> Column:
 
 def with_batch_length(df: DataFrame, ids_col: str, batch_rows: int, row_col: str = "row_idx") -> DataFrame:
     """Add ``pad_len``: the longest list among consecutive rows, rounded up to the multiple."""
-    batched = df.withColumn("_batch", F.expr(f"{row_col} div {batch_rows}"))
-    longest = batched.groupBy("_batch").agg(round_up(F.max(F.size(ids_col))).alias("pad_len"))
-    return batched.join(longest, "_batch").drop("_batch")
+    batch = Window.partitionBy(F.expr(f"{row_col} div {batch_rows}"))
+    return df.withColumn("pad_len", round_up(F.max(F.size(ids_col)).over(batch)))
 
 
 def attention_mask(ids: Column, length: Column | int) -> Column:
