@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from moltable.runtime import stage
 
-SAMPLE = 16_384  # vectors that the lists are laid out on, about, where there are more
+SAMPLE = 16_384  # vectors that the lists are laid out on, a little less where there are more
 LIST_SAMPLE = 64  # sampled vectors of a list, at most
 REPLICAS = 4  # lists that hold a boundary vector, at most
 REPLICA_RATIO = 1.1  # a vector is also in lists this much further than its nearest
@@ -184,8 +184,9 @@ def nearest(
     kind = given.schema["v"].dataType.simpleString()  # vectors travel as they are stored and are widened in the tasks
     norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     radius = given.agg(F.max(norm)).first()[0]
-    # A hash of the id below a cut that lets about ``sample`` rows pass: nothing else comes to the driver.
-    cut = int(2**32 * min(1.0, sample / given.count()))
+    # A hash of the id below a cut that lets a little less than ``sample`` rows pass: nothing else comes to the driver.
+    rows = given.count()
+    cut = 2**32 if rows <= sample else int(2**32 * 0.97 * sample / rows)
     chosen = given.where(F.pmod(F.xxhash64("vec_id"), F.lit(2**32)) < cut).select("vec_id", "v").toArrow().sort_by("vec_id")
     index = build_index(_matrix(chosen.column("v").combine_chunks()), radius, target=target, k=k)
     held = spark.sparkContext.broadcast(index)  # bounded by the sample
@@ -218,8 +219,7 @@ def nearest(
                 )
 
     ddl = f"list int, vec_id bigint, v {kind}"
-    rows = given.select("vec_id", "v")
-    stored = rows.mapInArrow(lambda b: route(b, False), ddl)
+    stored = given.select("vec_id", "v").mapInArrow(lambda b: route(b, False), ddl)
     asked = given.where("asked").select("vec_id", "v").mapInArrow(lambda b: route(b, True), ddl)
 
     def blocks(df: DataFrame, size: int, label: str) -> DataFrame:
