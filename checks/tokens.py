@@ -98,7 +98,38 @@ def tok_pair_counts(spark, sf_dir):
 # Training is a loop over the whole table; it is compared with a public trainer in the tests.
 @check("tok_train_bpe")
 def tok_train_bpe(spark, sf_dir):
-    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), 200).merge_table(spark)
+    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), 400).merge_table(spark)
+
+
+FIRST_MERGES = 10
+MERGED_FROM = 0xF0000  # in the SQL a merged symbol is one character from here up, a letter stands for itself
+
+
+def _train_sql() -> str:
+    """The first merges over words, one by one: count all pairs, take the best, replace it everywhere."""
+    steps = [f"w0 AS MATERIALIZED (SELECT token AS piece, count(*) AS n FROM ({WORD_SQL}) GROUP BY token)"]
+    rows = []
+    for k in range(FIRST_MERGES):
+        cut = f"SELECT regexp_extract_all(piece, '(?s).') AS s, n FROM w{k}"
+        steps.append(
+            f"p{k} AS MATERIALIZED (SELECT s[i] || s[i + 1] AS pair FROM (SELECT s, n, unnest(range(1, len(s))) AS i FROM ({cut})) "
+            f"GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 1)"
+        )
+        steps.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT replace(piece, (SELECT pair FROM p{k}), chr({MERGED_FROM + k})) AS piece, n FROM w{k})"
+        )
+        left, right = (f"(SELECT regexp_extract_all(pair, '(?s).')[{i}] FROM p{k})" for i in (1, 2))
+        for j in reversed(range(k)):
+            left, right = (f"replace({x}, chr({MERGED_FROM + j}), (SELECT pair FROM p{j}))" for x in (left, right))
+        rows.append(f'SELECT {k} AS rank, {left} AS "left", {right} AS "right"')
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(rows)}"
+
+
+@check("tok_train_bpe_first", _train_sql())
+def tok_train_bpe_first(spark, sf_dir):
+    counts = vc.piece_counts(texts(spark, sf_dir), vc.words(F.col("text")))
+    letters = counts.select(F.explode(F.split("piece", "")).alias("c")).where("c <> ''").distinct().count()
+    return vc.train_bpe(counts, len(vc.SPECIAL_TOKENS) + letters + FIRST_MERGES).merge_table(spark)
 
 
 MERGES = [("t", "h"), ("th", "e"), ("e", "n"), ("i", "n"), ("in", "g"), ("o", "u"), ("e", "r"), ("d", "e"), ("c", "h"), ("en", "t")]

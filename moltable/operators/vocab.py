@@ -7,7 +7,9 @@ strings is the order of their ids.
 
 from __future__ import annotations
 
+import functools
 import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +28,9 @@ PIECE_PATTERN = (
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]+"
 
 SYMBOL_BASE = 0x10000
-CANDIDATES = 512  # best pairs looked at per round
+CANDIDATES = 512  # best pairs looked at per round; a round merges some of them
 REPLACES_PER_STAGE = 24  # merges applied on the fly before the pieces are written anew
-PIECES_PER_TASK = 5_000  # rows that make a task of the training loop worth its start
+PIECES_PER_TASK = 10_000  # rows that make a task of the training loop worth its start
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -118,34 +120,49 @@ def pair_counts(pieces: DataFrame, symbols: Column) -> DataFrame:
     )
 
 
+def _meeting(pieces: DataFrame, pairs: list[str]) -> set[str]:
+    """Runs of three symbols in the pieces whose first two and last two are among ``pairs``: at most their square."""
+    chars = pieces.where(F.length("s") > 2).select(F.split("s", "").alias("c"))
+    runs = F.arrays_zip(*[F.slice("c", F.lit(i), F.size("c") - 2).alias(name) for i, name in ((1, "a"), (2, "b"), (3, "d"))])
+    listed = ", ".join(f"'{pair}'" for pair in pairs)  # symbols need no quoting
+    found = chars.select(F.inline(runs)).where(f"concat(a, b) in ({listed}) and concat(b, d) in ({listed})")
+    return {r.a + r.b + r.d for r in found.distinct().collect()}
+
+
 def _safe_batch(
-    top: list[tuple[str, str, int]], full: bool, texts: dict[str, str], known: set[str], room: int, min_frequency: int
+    top: list[tuple[str, str, int]],
+    meeting: Callable[[], set[str]],
+    texts: dict[str, str],
+    known: set[str],
+    room: int,
+    min_frequency: int,
 ) -> list[tuple[str, str]]:
     """The leading pairs that can be merged in one round with the result of one at a time.
 
-    A merge of (a, b) changes only the counts of pairs that end in a or begin with b, and the pairs
-    it creates are no more frequent than those. So the next best pair keeps its place if it is none
-    of them and no equally frequent one is. A merge that spells a known token goes alone.
+    A merge of (a, b) changes only the counts of pairs (x, a) and (b, y) that it meets in some piece, and the
+    pairs it creates are no more frequent than those. They hold a new symbol, so at equal counts they come
+    later. The next best pair therefore keeps its place as long as neither it nor a better one meets a chosen pair;
+    ``meeting`` gives the runs of three symbols that say so. A pair of equal symbols, or one that spells a known
+    token, goes alone.
     """
     chosen: list[tuple[str, str]] = []
-
-    def touched(left: str, right: str) -> bool:
-        return any(right == a or left == b for a, b in chosen)
-
+    firsts: dict[str, list[str]] = {}  # of chosen pairs, by their second symbol
+    seconds: dict[str, list[str]] = {}
     spelled: set[str] = set()
-    for i, (left, right, n) in enumerate(top):
+    for left, right, n in top:
         if n < min_frequency or len(chosen) >= room:
             break
         token = texts[left] + texts[right]
-        again = token in known or token in spelled
-        if chosen:
-            ties = [(x, y) for x, y, m in top[i + 1 :] if m == n]
-            unseen = full and top[-1][2] == n
-            if again or unseen or touched(left, right) or any(touched(x, y) for x, y in ties):
-                break
+        alone = left == right or token in known or token in spelled
+        before = [a + left + right for a in firsts.get(left, ())]
+        after = [left + right + b for b in seconds.get(right, ())]
+        if chosen and (alone or ((before or after) and not meeting().isdisjoint(before + after))):
+            break
         chosen.append((left, right))
+        firsts.setdefault(right, []).append(left)
+        seconds.setdefault(left, []).append(right)
         spelled.add(token)
-        if again:
+        if alone:
             break
     return chosen
 
@@ -157,7 +174,9 @@ def train_bpe(
 
     Ids: special tokens, then the characters seen by code point, then merges. Each round takes the
     most frequent adjacent pair, the lowest ids on a tie, together with all following pairs it
-    cannot influence. The driver holds the vocabulary and the best pairs of a round, never pieces.
+    cannot influence. Pair counts are a table of their own; a round changes them by the pieces that hold a merged
+    pair, all other pieces are only searched. The driver holds the vocabulary and the best pairs of a round, never
+    pieces.
     """
     counts = stage(counts.select("piece", "n"), "pieces")
     letters = counts.select(F.explode(F.array_distinct(F.split("piece", ""))).alias("c")).where("c <> ''").distinct()
@@ -169,20 +188,20 @@ def train_bpe(
     merges: list[tuple[str, str]] = []
 
     start = F.translate("piece", "".join(alphabet), "".join(symbol_of[c] for c in alphabet))
-    # The pieces are few bytes and much work: one task per core, not one per block of bytes.
-    cores = counts.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(cores, counts.count() // PIECES_PER_TASK))
+    # The pieces are few bytes and much work: tasks by their number, not by blocks of bytes.
+    tasks = 1 + counts.count() // PIECES_PER_TASK
     pieces = stage(counts.select(start.alias("s"), "n").where("length(s) > 1").repartition(tasks), "symbols")
+    pairs = stage(pair_counts(pieces, F.col("s")), "pairs")
     pending: list[tuple[str, str]] = []
     while len(tokens) < vocab_size:
-        if len(pending) > REPLACES_PER_STAGE:
-            pieces = stage(_merged(pieces, pending).where("length(s) > 1"), "symbols")
-            pending = []
-        best = pair_counts(_merged(pieces, pending), F.col("s")).orderBy(F.desc("n"), "left", "right")
-        top = [(r.left, r.right, r.n) for r in best.limit(CANDIDATES).collect()]
-        batch = _safe_batch(top, len(top) == CANDIDATES, texts, known, vocab_size - len(tokens), min_frequency)
+        best = pairs.orderBy(F.desc("n"), "left", "right").limit(CANDIDATES).collect()
+        top = [(r.left, r.right, r.n) for r in best]
+        now = _merged(pieces, pending)
+        meeting = functools.cache(functools.partial(_meeting, now, [left + right for left, right, _ in top]))
+        batch = _safe_batch(top, meeting, texts, known, vocab_size - len(tokens), min_frequency)
         if not batch:
             break
+        replaces = []
         for left, right in batch:
             token = texts[left] + texts[right]
             if token not in known:
@@ -191,16 +210,32 @@ def train_bpe(
                 tokens.append(token)
                 known.add(token)
             merges.append((texts[left], texts[right]))
-            pending.append((left + right, symbol_of[token]))
+            replaces.append((left + right, symbol_of[token]))
+        if len(tokens) >= vocab_size:
+            break
+        held = F.exists(_listed([pair for pair, _ in replaces]), lambda pair: F.contains("s", pair))
+        hit = now.where(held)
+        old = pair_counts(hit, F.col("s")).withColumn("n", -F.col("n"))
+        change = old.unionByName(pair_counts(_merged(hit, replaces), F.col("s")))
+        changed = pairs.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n"))
+        pairs = stage(changed.where("n > 0"), "pairs")
+        pending += replaces
+        if len(pending) > REPLACES_PER_STAGE:
+            pieces, pending = stage(_merged(pieces, pending).where("length(s) > 1"), "symbols"), []
     return Vocabulary(tokens, merges)
 
 
+def _listed(strings: Sequence[str]) -> Column:
+    """A constant array, handed over as one string."""
+    return F.split(F.lit(" ".join(strings)), " ")
+
+
 def _merged(pieces: DataFrame, replaces: list[tuple[str, str]]) -> DataFrame:
     """Apply (pair, symbol) merges in order. A fold over a constant list, so that the plan, and with
     it the compiled code, is the same in every round."""
     if not replaces:
         return pieces
-    pairs, symbols = (F.lit(list(side)) for side in zip(*replaces, strict=True))
+    pairs, symbols = (_listed(side) for side in zip(*replaces, strict=True))
     steps = F.arrays_zip(pairs.alias("pair"), symbols.alias("symbol"))
     return pieces.select(F.aggregate(steps, F.col("s"), lambda s, m: F.replace(s, m["pair"], m["symbol"])).alias("s"), "n")
 
