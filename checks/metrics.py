@@ -9,7 +9,7 @@ from checks.registry import check, table
 from moltable.operators import metrics as m
 from moltable.operators import runs
 from moltable.runtime import new_path
-from moltable.sources.readers import read_log_lines
+from moltable.sources.readers import list_logs, read_log_lines
 from moltable.streaming.logs import latest_table, stream_best_validation
 
 
@@ -159,9 +159,11 @@ def metric_logs(spark, sf_dir):
     folder = new_path(spark, "logs")
     order = ["file", "event_id", "at"]
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("file", "value").write.partitionBy("file").text(folder)
+    table(spark, sf_dir, "events").select("event_type").where("false").write.text(f"{folder}/empty.log")
     return folder
 
 
+NO_LINES_SQL = "SELECT 'empty' AS file, NULL AS max_val_roc, NULL AS min_val_rms"
 BEST_SQL = """
     SELECT event_type AS file, round(max(value / 100) FILTER (event_type <> 'error'), 4) AS max_val_roc,
            round(min(value) FILTER (event_type NOT IN ('error', 'click')), 4) AS min_val_rms
@@ -175,9 +177,10 @@ FINAL_SQL = """
 """
 
 
-@check("log_best_val", BEST_SQL)
+@check("log_best_val", f"{BEST_SQL} UNION ALL {NO_LINES_SQL}")
 def log_best_val(spark, sf_dir):
-    return runs.best_validation(read_log_lines(spark, metric_logs(spark, sf_dir)))
+    folder = metric_logs(spark, sf_dir)
+    return runs.best_validation(read_log_lines(spark, folder), list_logs(spark, folder))
 
 
 @check("stream_log_best", BEST_SQL)
@@ -199,18 +202,23 @@ def lim_first_match(spark, sf_dir):
 
 LOG_VALUES = ["max_val_roc", "min_val_rms", "final_roc", "final_rms"]
 LOG_TABLE_SQL = f"""
-    WITH t AS (SELECT b.file, max_val_roc, min_val_rms, roc_avg AS final_roc, rms_avg AS final_rms
-               FROM ({BEST_SQL}) b LEFT JOIN ({FINAL_SQL}) f USING (file))
+    WITH t AS (SELECT b.file, max_val_roc, min_val_rms, roc_avg AS final_roc, rms_avg AS final_rms,
+                      roc_std AS final_roc_std, rms_std AS final_rms_std
+               FROM ({BEST_SQL} UNION ALL {NO_LINES_SQL}) b LEFT JOIN ({FINAL_SQL}) f USING (file))
     SELECT * FROM t
-    UNION ALL SELECT 'AVERAGE (all)', {", ".join(f"avg({c})" for c in LOG_VALUES)} FROM t
-    UNION ALL SELECT 'AVERAGE (no outliers)', {", ".join(f"avg({c}) FILTER ({c} <= 10)" for c in LOG_VALUES)} FROM t
+    UNION ALL SELECT 'AVERAGE (all)', {", ".join(f"avg({c})" for c in LOG_VALUES)}, NULL, NULL FROM t
+    UNION ALL SELECT 'AVERAGE (no outliers)', {", ".join(f"avg({c}) FILTER ({c} <= 10)" for c in LOG_VALUES)}, NULL, NULL FROM t
 """
 
 
-@check("log_table", f"SELECT file, {', '.join(f'round({c}, 6) AS {c}' for c in LOG_VALUES)} FROM ({LOG_TABLE_SQL})")
+LOG_COLUMNS = [*LOG_VALUES, "final_roc_std", "final_rms_std"]
+
+
+@check("log_table", f"SELECT file, {', '.join(f'round({c}, 6) AS {c}' for c in LOG_COLUMNS)} FROM ({LOG_TABLE_SQL})")
 def log_table(spark, sf_dir):
-    made = runs.log_table(read_log_lines(spark, metric_logs(spark, sf_dir)))
-    return made.select("file", *[F.round(c, 6).alias(c) for c in LOG_VALUES])
+    folder = metric_logs(spark, sf_dir)
+    made = runs.log_table(read_log_lines(spark, folder), list_logs(spark, folder))
+    return made.select("file", *[F.round(c, 6).alias(c) for c in LOG_COLUMNS])
 
 
 def _run_logs(spark, sf_dir):

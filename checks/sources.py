@@ -23,8 +23,10 @@ from moltable.sources.readers import (
     read_named_split,
     read_normalization,
     read_properties,
+    read_split_record,
     read_split_rows,
     read_table,
+    split_record_path,
     text_items,
 )
 from moltable.sources.writers import write_csv, write_splits
@@ -321,25 +323,72 @@ def agg_rowcount_plan(spark, sf_dir):
     )
 
 
-@check("chk_required", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def _outcomes(spark, sf_dir, cases):
+    """What a check says of each (case, table, call), beside the rows of the table."""
+    out = None
+    for case, name, call in cases:
+        df = table(spark, sf_dir, name)
+        try:
+            call(df)
+            said = "ok"
+        except (KeyError, ValueError) as e:
+            said = type(e).__name__
+        row = df.agg(F.count("*").alias("n")).select(F.lit(case).alias("case"), F.lit(said).alias("outcome"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _outcomes_sql(rows: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{case}' AS \"case\", '{said}' AS outcome, (SELECT count(*) FROM {name}) AS n" for case, name, said in rows
+    )
+
+
+@check("chk_required", _outcomes_sql([("all there", "documents", "ok"), ("one missing", "documents", "KeyError"), ("none asked", "pages", "ok")]))
 def chk_required(spark, sf_dir):
-    docs = require_columns(table(spark, sf_dir, "documents"), ["text", "lang"], "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"))
+    return _outcomes(spark, sf_dir, [
+        ("all there", "documents", lambda df: require_columns(df, ["text", "lang"])),
+        ("one missing", "documents", lambda df: require_columns(df, ["text", "smiles"])),
+        ("none asked", "pages", lambda df: require_columns(df, [])),
+    ])
+
+
+ARITY = [("every label", "*", 2, "classification", "ok"), ("too few", "quality", 2, "classification", "ValueError"),
+         ("too many", "*", 1, "regression", "ValueError"), ("unknown name", "missing", 1, "mtr", "ValueError"), ("no labels", None, 3, "mlm", "ok")]
 
 
-@check("chk_arity", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+@check("chk_arity", _outcomes_sql([(case, "labels", said) for case, *_, said in ARITY]))
 def chk_arity(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    found = check_arity(resolve_labels(labels, "doc_id", "*"), 2, "classification", labels.columns)
-    return labels.groupBy(*found).agg(F.count("*").alias("n"))
+    def call(labels, k, task):
+        return lambda df: check_arity(resolve_labels(df, "doc_id", labels), k, task, df.columns)
 
+    return _outcomes(spark, sf_dir, [(case, "labels", call(labels, k, task)) for case, labels, k, task, _ in ARITY])
 
-@check("chk_task", f"SELECT task, count(*) AS n_tables, sum(n_rows)::BIGINT AS n_rows FROM ({CATALOG_SQL}) GROUP BY task")
+
+TASK_CASES = [*((task, "ok") for task in ("mlm", "classification", "regression", "mtr")), ("ranking", "ValueError"), ("MLM", "ValueError")]
+
+
+@check("chk_task", _outcomes_sql([(task, "documents", said) for task, said in TASK_CASES]))
 def chk_task(spark, sf_dir):
-    for *_, task, _ in CATALOG:
-        check_task(task)
-    counted = _counted_catalog(spark, sf_dir)
-    return counted.groupBy("task").agg(F.count("*").alias("n_tables"), F.sum("n_rows").alias("n_rows"))
+    return _outcomes(spark, sf_dir, [(task, "documents", lambda _, task=task: check_task(task)) for task, _ in TASK_CASES])
+
+
+@check(
+    "src_split_record",
+    """
+    SELECT split, doc_id AS row_idx, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos_in_split
+    FROM (SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM documents)
+    """,
+)
+def src_split_record(spark, sf_dir):
+    # The one-object form, as another program would leave it beside a data file.
+    place = F.col("doc_id") % 10
+    parts = {"train": place < 8, "val": place == 8, "test": place == 9}
+    lists = [F.array_sort(F.collect_list(F.when(hit, F.col("doc_id")))).alias(name) for name, hit in parts.items()]
+    data = new_path(spark, "data") + ".csv"
+    table(spark, sf_dir, "documents").agg(*lists).write.json(split_record_path(data))
+    rows = read_split_record(spark, data)
+    return rows.select("split", "row_idx", F.col("pos_in_split").cast("bigint").alias("pos_in_split"))
 
 
 @check("prj_clean_index", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_partkey, p_name, p_size FROM part")

@@ -9,6 +9,7 @@ from checks.features import CELLS_SQL
 from checks.registry import check, table
 from moltable.operators.pooling import linear_merge, pool
 from moltable.operators.score import batch_map, linear_model, predict
+from moltable.operators.stats import log_transform, undo_transforms
 
 DIM, LAYERS, LAST_K = 64, 4, 3
 
@@ -97,6 +98,23 @@ def udf_predict(spark, sf_dir):
     return scored.select("vec_id", logit[0].alias("first"), logit[1].alias("second"))
 
 
+@check(
+    "udf_predict_undo",
+    f"""
+    SELECT vec_id, round(exp(least(s * 0.01, 3) * d + m) - 1, 3) AS value
+    FROM (SELECT vec_id, sum(x) AS s FROM ({CELLS_SQL}) GROUP BY vec_id),
+         (SELECT avg(ln(1 + value)) AS m, stddev_pop(ln(1 + value)) AS d FROM events)
+    """,
+)
+def udf_predict_undo(spark, sf_dir):
+    """Logits of a model trained on transformed labels, brought back to the labels' own scale."""
+    logged = log_transform(table(spark, sf_dir, "events").select("event_id", "value"))
+    scored = predict(table(spark, sf_dir, "embeddings"), "embedding", linear_model(np.full((DIM, 1), 0.01), np.zeros(1)))
+    value = F.least(F.col("logits")[0].cast("double"), F.lit(3.0)).alias("value")
+    back = undo_transforms(scored.select("vec_id", value), [("log1p", None), ("zscore", logged)], ["value"])
+    return back.select("vec_id", F.round("value", 3).alias("value"))
+
+
 @check("udf_batch_map", "SELECT doc_id, length(text) AS length, len(string_split(text, chr(10))) AS n_lines FROM documents")
 def udf_batch_map(spark, sf_dir):
     def measure(batch):

@@ -38,16 +38,18 @@ def _final(line: Column, metric: str) -> Column:
     return F.when(line.rlike(pattern), found)
 
 
-def best_validation(lines: DataFrame) -> DataFrame:
+def best_validation(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """(file, max_val_roc, min_val_rms): the best validation scores of each log, from (file, value) lines.
 
-    Lines whose number is not plain decimal are passed over; null if there is none.
+    Lines whose number is not plain decimal are passed over; null if there is none. ``logs`` (file), as ``list_logs`` gives
+    it, adds a row for each log without lines.
     """
     lowest = F.min(_number_after(F.col("value"), VALIDATION_RMS))
-    return lines.groupBy("file").agg(
+    best = lines.groupBy("file").agg(
         F.max(_number_after(F.col("value"), VALIDATION_ROC)).alias("max_val_roc"),
         F.when(lowest.isNotNull(), F.least(lowest, F.lit(MIN_START))).alias("min_val_rms"),
     )
+    return best if logs is None else logs.select("file").join(best, "file", "left")
 
 
 def _first_final(metric: str) -> Column:
@@ -67,16 +69,20 @@ def final_results(lines: DataFrame) -> DataFrame:
     )
 
 
-def log_table(lines: DataFrame) -> DataFrame:
-    """One row per log and two AVERAGE rows, of values up to OUTLIER_ABOVE and of all.
+def log_table(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """One row per log and two AVERAGE rows, of values up to OUTLIER_ABOVE and of all; these have no deviations.
 
-    Best scores are plain numbers and group by hash over all lines; only the few final result
+    ``logs`` as in ``best_validation``. Best scores are plain numbers and group by hash over all lines; only the few final result
     lines are kept whole, to find the first.
     """
     finals = final_results(lines).select(
-        "file", F.col("roc_avg").alias("final_roc"), F.col("rms_avg").alias("final_rms")
+        "file",
+        F.col("roc_avg").alias("final_roc"),
+        F.col("rms_avg").alias("final_rms"),
+        F.col("roc_std").alias("final_roc_std"),
+        F.col("rms_std").alias("final_rms_std"),
     )
-    per_file = best_validation(lines).join(finals, "file", "left")
+    per_file = best_validation(lines, logs).join(finals, "file", "left")
     values = ["max_val_roc", "min_val_rms", "final_roc", "final_rms"]
     # The best values enter the averages as they are printed, with four decimals.
     per_file = per_file.withColumns({c: F.round(c, 4) for c in values[:2]})
@@ -90,20 +96,28 @@ def log_table(lines: DataFrame) -> DataFrame:
             for label, p in (("AVERAGE (no outliers)", "low"), ("AVERAGE (all)", "all"))
         ]
     )
-    return per_file.unionByName(averages.select(F.inline(rows)))
+    return per_file.unionByName(averages.select(F.inline(rows)), allowMissingColumns=True)
 
 
 def display_table(table: DataFrame) -> DataFrame:
-    """The log table as text, in name order."""
-    shown = [display4(F.col(c)).alias(c) for c in table.columns if c != "file"]
-    return table.orderBy("file").select("file", *shown)
+    """The log table as text, in name order; a deviation is shown behind its mean."""
+
+    def shown(name: str) -> Column:
+        spread = f"{name}_std"
+        behind = F.concat(F.lit(" ± "), F.format_string("%.4f", spread)) if spread in table.columns else F.lit("")
+        known = F.col(spread).isNotNull() if spread in table.columns else F.lit(False)
+        return F.concat(display4(F.col(name)), F.when(known, behind).otherwise("")).alias(name)
 
+    return table.orderBy("file").select("file", *[shown(c) for c in table.columns if c != "file" and not c.endswith("_std")])
 
-def run_status(lines: DataFrame, expected: DataFrame) -> DataFrame:
+
+def run_status(lines: DataFrame, expected: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """(file, status) for every expected run.
 
     A success phrase anywhere in a log wins over an error phrase; no phrase is UNKNOWN, no log is
-    LOG_NOT_FOUND. Phrases lie within lines, so logs are never put together.
+    LOG_NOT_FOUND. Phrases lie within lines, so logs are never put together. ``logs`` (file, n_bytes), as ``list_logs``
+    gives it, tells a log without lines from a missing one: UNKNOWN if it is empty, ERROR_READING_LOG if it has bytes
+    and yet no line could be read (the reader must run with ``spark.sql.files.ignoreCorruptFiles``).
     """
     line = F.lower("value")
 
@@ -119,9 +133,12 @@ def run_status(lines: DataFrame, expected: DataFrame) -> DataFrame:
         .agg(holds(SUCCESS_PHRASES).alias("_ok"), holds(ERROR_PHRASES).alias("_bad"))
         .select("file", status.alias("status"))
     )
-    return expected.select("file").join(seen, "file", "left").select(
-        "file", F.coalesce("status", F.lit("LOG_NOT_FOUND")).alias("status")
-    )
+    found = expected.select("file").join(seen, "file", "left")
+    without = F.lit("LOG_NOT_FOUND")
+    if logs is not None:
+        found = found.join(logs.select("file", "n_bytes"), "file", "left")
+        without = F.when(F.col("n_bytes") == 0, "UNKNOWN").when(F.col("n_bytes") > 0, "ERROR_READING_LOG").otherwise(without)
+    return found.select("file", F.coalesce("status", without).alias("status"))
 
 
 def run_outcomes(results: DataFrame, status: DataFrame) -> DataFrame:

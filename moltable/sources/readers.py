@@ -124,6 +124,19 @@ def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def list_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ``*.log`` of a folder as (file, n_bytes), also those without lines; no content is read.
+
+    Scans leave empty files out, so names come from the list of files that the driver makes for any scan.
+    """
+    path = f"{folder}/*.log"
+    listed = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "path string")
+    files = listed.select(log_name(F.col("path")).alias("file")).distinct()
+    filled = spark.read.format("binaryFile").load(path).groupBy(log_name(F.col("path")).alias("file"))
+    sizes = filled.agg(F.sum("length").alias("n_bytes"))
+    return files.join(sizes, "file", "left").select("file", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
+
+
 def read_log_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Each log as one lower-cased string (file, content); for logs that fit a row."""
     return spark.read.text(f"{folder}/*.log", wholetext=True).select(

@@ -9,6 +9,7 @@ from moltable.operators import metrics as m
 from moltable.operators import runs
 from moltable.operators.pooling import POOLINGS, linear_merge, pool
 from moltable.operators.score import batch_map, linear_model, predict
+from moltable.sources import readers
 from moltable.streaming.logs import latest_table, stream_best_validation
 
 
@@ -81,7 +82,8 @@ LOGS = {
 
 
 def test_log_table(spark):
-    made = {r.file: tuple(r)[1:] for r in runs.log_table(_lines(spark, LOGS)).collect()}
+    rows = {r.file: r for r in runs.log_table(_lines(spark, LOGS)).collect()}
+    made = {file: tuple(r)[1:5] for file, r in rows.items()}
     assert made["a"] == (0.75, None, 0.6, None)
     assert made["b"] == (None, 12.5, None, 11.0)
     assert made["c"] == (None, 1.5, None, None)
@@ -90,6 +92,22 @@ def test_log_table(spark):
     assert made["AVERAGE (no outliers)"] == (0.75, 1.5, 0.6, None)
     shown = {r.file: r.min_val_rms for r in runs.display_table(runs.log_table(_lines(spark, LOGS))).collect()}
     assert shown["b"] == "12.5000" and shown["a"] == "N/A"
+    assert (rows["a"].final_roc_std, rows["b"].final_rms_std, rows["AVERAGE (all)"].final_roc_std) == (0.1, 0.5, None)
+    finals = {r.file: (r.final_roc, r.final_rms) for r in runs.display_table(runs.log_table(_lines(spark, LOGS))).collect()}
+    assert finals["a"] == ("0.6000 ± 0.1000", "N/A") and finals["AVERAGE (all)"] == ("0.6000", "11.0000")
+
+
+def test_logs_without_lines(spark, tmp_path):
+    (tmp_path / "full.log").write_text("Val rms_score: 1.5\nTraining complete\n")
+    (tmp_path / "empty.log").write_text("")
+    logs, lines = readers.list_logs(spark, str(tmp_path)), readers.read_log_lines(spark, str(tmp_path))
+    assert dict(map(tuple, logs.collect())) == {"full": 37, "empty": 0}
+    assert {r.file: r.min_val_rms for r in runs.best_validation(lines, logs).collect()} == {"full": 1.5, "empty": None}
+    assert {r.file for r in runs.log_table(lines, logs).collect()} >= {"full", "empty"}
+    expected = spark.createDataFrame([("full",), ("empty",), ("gone",), ("broken",)], "file string")
+    listed = logs.unionByName(spark.createDataFrame([("broken", 9)], "file string, n_bytes bigint"))
+    got = dict(map(tuple, runs.run_status(lines, expected, listed).collect()))
+    assert got == {"full": "SUCCESS", "empty": "UNKNOWN", "gone": "LOG_NOT_FOUND", "broken": "ERROR_READING_LOG"}
 
 
 def test_final_results(spark):
