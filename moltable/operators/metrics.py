@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from moltable.operators.index import with_running
 from moltable.runtime import stage
 
-SCORE_BLOCKS = 256  # pieces of the score range per task in the ranking metrics
-
 
 def mse(pred: Column, label: Column) -> Column:
     """Aggregate: mean squared error over scalar cells."""
@@ -62,9 +60,8 @@ def _ranked(scored: DataFrame, descending: bool) -> DataFrame:
     """Positives and negatives per (task, distinct score), and how many come before.
 
     ``scored`` is (task, score, label). Equal scores are added up before any ordering, so a score
-    shared by a third of the rows is one row. These counts are written once, since three steps
-    read them: the distinct scores of a task are cut into pieces at their quantiles, the pieces are
-    added up, and scores are accumulated within their piece.
+    shared by a third of the rows is one row. These counts are dealt out by ranges of (task, score) and written once with the number
+    of their range: the ranges are the pieces whose totals are accumulated first, as many as the session shuffles into.
     """
     rows = scored.where("score is not null and label is not null").withColumn(
         "score", -F.col("score").cast("double") if descending else F.col("score").cast("double")
@@ -73,12 +70,9 @@ def _ranked(scored: DataFrame, descending: bool) -> DataFrame:
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("neg"),
     )
-    counts = stage(counts, "scores")
-    cuts = [i / SCORE_BLOCKS for i in range(1, SCORE_BLOCKS)]
-    bounds = counts.groupBy("task").agg(F.percentile_approx("score", cuts, 10 * SCORE_BLOCKS).alias("_bounds"))
-    block = F.size(F.filter("_bounds", lambda b: b < F.col("score")))
+    ranges = counts.repartitionByRange("task", "score").withColumn("_range", F.spark_partition_id())
     running = {"pos_before": ("sum", F.col("pos"), False), "neg_before": ("sum", F.col("neg"), False)}
-    return with_running(counts.join(bounds, "task"), ["task"], block, ["score"], running).drop("_bounds")
+    return with_running(stage(ranges, "scores"), ["task"], F.col("_range"), ["score"], running).drop("_range")
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
