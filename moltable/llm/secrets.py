@@ -22,7 +22,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
 MIN_LENGTH = 20  # characters below which the tests say nothing
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
+# A run ends before an inner =, as in NAME=VALUE; what no key character follows is padding and belongs to it.
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+(?:=++(?![A-Za-z0-9+/_-]))?"
+# A run is tested whole, if an encoding holds it, and in parts: a key may stand behind a path, a name or a word.
+SEPARATORS = ("[_-]", "[+/]", "[/_-]", "[+/_-]")
 FDR = 0.01  # share of wrong finds allowed in each class of lengths
 RANDOM_LEVEL = 0.001  # a truly random string fails the battery this often
 BINS_PER_UNIT, BINS = 20, 2000  # of -ln(p)
@@ -91,8 +94,36 @@ def _grow(array: Column, **new) -> Column:
     return F.transform(array, lambda c: reduce(lambda s, kv: s.withField(kv[0], kv[1](c)), new.items(), c))
 
 
+def _parts(run: Column) -> Column:
+    """The run without padding, and its parts between separators, as array of (start, end, core); the last keeps the padding."""
+    core = F.regexp_replace(run["match"], "=+$", "")
+    none = F.array().cast("array<int>")
+
+    def cut(separators: str) -> Column:
+        parts = F.split(core, separators, -1)
+        ends = F.aggregate(
+            parts,
+            none,
+            lambda got, part: F.array_append(got, F.coalesce(F.try_element_at(got, F.lit(-1)) + 1, F.lit(0)) + F.length(part)),
+        )
+        spans = F.zip_with(
+            parts,
+            ends,
+            lambda part, end: F.struct(
+                (run["start"] + end - F.length(part)).alias("start"),
+                F.when(end == F.length(core), run["end"]).otherwise(run["start"] + end).alias("end"),
+                part.alias("core"),
+            ),
+        )
+        return F.filter(spans, lambda s: F.length(s["core"]) >= MIN_LENGTH)
+
+    whole = F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), core.alias("core")))
+    cuts = F.array_distinct(F.concat(whole, *map(cut, SEPARATORS)))
+    return F.when(core.rlike(SEPARATORS[-1]), cuts).otherwise(whole)
+
+
 def _candidates(text: Column) -> Column:
-    """Long runs of key characters with a digit, each with its battery of tests.
+    """Long runs of key characters with a digit, and parts of such runs, each with its battery of tests.
 
     ``p_random`` is the smallest p-value, times their number, of three tests of randomness in the
     inferred encoding: uniform use of the alphabet, runs above and below its middle, serial correlation.
@@ -101,9 +132,8 @@ def _candidates(text: Column) -> Column:
     runs = F.when(text.rlike("[0-9]"), _found(text, CANDIDATE)).otherwise(
         F.array().cast("array<struct<start:int,end:int,match:string>>")
     )
-    runs = F.filter(runs, lambda c: c["match"].rlike("[0-9]") & ~c["match"].rlike("^[0-9=]+$"))
-    runs = _grow(runs, core=lambda c: F.regexp_replace(c["match"], "=+$", ""))
-    runs = F.filter(runs, lambda c: (F.length(c["core"]) >= MIN_LENGTH) & ~c["core"].contains("="))
+    runs = F.flatten(F.transform(runs, _parts))
+    runs = F.filter(runs, lambda c: c["core"].rlike("[0-9]") & ~c["core"].rlike("^[0-9]+$"))
 
     def by_encoding(c: Column, pick) -> Column:
         out = F.lit(None)
@@ -117,7 +147,7 @@ def _candidates(text: Column) -> Column:
         alphabet=lambda c: by_encoding(c, lambda a, r: F.lit(a)),
         rate=lambda c: by_encoding(c, lambda a, r: F.lit(r)),
     )
-    runs = F.filter(runs, lambda c: c["alphabet"].isNotNull())  # a mix of + and - or / and _ is no encoding
+    runs = F.filter(runs, lambda c: c["alphabet"].isNotNull())  # a mix of + and - or / and _ is no encoding; its parts are
     runs = _grow(
         runs,
         k=lambda c: F.length(c["alphabet"]).cast("double"),
@@ -242,13 +272,16 @@ def _accepted(candidates: Column, limits: dict[int, int]) -> Column:
 def with_secrets(docs: DataFrame, limits: dict[int, int], text_col: str = "text") -> DataFrame:
     """``docs`` with ``base_spans`` and ``secret_spans``: arrays of (start, kind, end, name), by start, then kind.
 
-    ``secret_spans`` holds the base spans and the accepted random strings that no base span covers.
+    ``secret_spans`` holds the base spans and the accepted random strings that neither a base span nor a longer accepted
+    string covers.
     """
     plain = _plain(F.col(text_col))
     found = docs.withColumn("base_spans", _base(plain)).withColumn("secret_spans", _accepted(_candidates(plain), limits))
+    covers = lambda b, c: (b["start"] <= c["start"]) & (c["end"] <= b["end"])
+    longer = lambda a, c: covers(a, c) & (a["end"] - a["start"] > c["end"] - c["start"])
     new = F.filter(
         F.col("secret_spans"),
-        lambda c: ~F.exists(F.col("base_spans"), lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])),
+        lambda c: ~F.exists(F.col("base_spans"), lambda b: covers(b, c)) & ~F.exists(F.col("secret_spans"), lambda a: longer(a, c)),
     )
     return found.withColumn("secret_spans", F.array_sort(F.concat(F.col("base_spans"), _spans(new, "random"))))
 
