@@ -423,6 +423,18 @@ def test_personal_data(odd, none, documents):
     assert len(pii.find_spans("1 2 3 4 5 6 7 8 9 " * 3000, judges)[0]) == 0
 
 
+def test_spelled_addresses_need_no_other_hint():
+    assert pii.candidates("john at example (dot) com") == [("email", 0, 25)]
+    assert pii.candidates("john at example[dot]com") == [("email", 0, 23)]
+    rng = np.random.default_rng(4)
+    parts = ["john", "ex-1", " ", " ", "at", "AT", "@", ".", "dot", "DOT", "(", ")", "[", "]", "{", "}", "(at)", "[dot]", " at ", " dot ", "\n", "a.b"]
+    texts = ["".join(rng.choice(parts, rng.integers(3, 12))) for _ in range(30_000)]
+    some = [t for t in texts if pii._SPELLED.search(t)]
+    assert len(some) > 300
+    for t in some:
+        assert [(a, b) for k, a, b in pii.candidates(t) if k == "email"] == [m.span() for m in pii._SPELLED.finditer(t)], t
+
+
 def test_email_runs_are_linear():
     assert pii.base_spans("a" * 200_000 + " x@y.z") == [("email", 200_001, 200_006)]
     assert pii.base_spans("a@b.c_d@e.f") == [("email", 0, 5), ("email", 5, 11)]
