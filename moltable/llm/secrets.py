@@ -39,9 +39,12 @@ _UPPER = _LOWER.upper()
 ENCODINGS = {
     "hex": (_DIGITS + "abcdef", 0.15),
     "HEX": (_DIGITS + "ABCDEF", 0.15),
+    "upper letters": (_UPPER, 0.065),
+    "lower letters": (_LOWER, 0.065),
     "base32": (_UPPER + "234567", 0.065),
     "lower": (_DIGITS + _LOWER, 0.065),
     "upper": (_DIGITS + _UPPER, 0.065),
+    "letters": (_LOWER + _UPPER, 0.06),
     "alnum": (_DIGITS + _LOWER + _UPPER, 0.06),
     "base64": (_UPPER + _LOWER + _DIGITS + "+/", 0.06),
     "base64url": (_UPPER + _LOWER + _DIGITS + "-_", 0.06),
@@ -123,17 +126,15 @@ def _parts(run: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Long runs of key characters with a digit, and parts of such runs, each with its battery of tests.
+    """Long runs of key characters, but for plain numbers, and parts of such runs, each with its battery of tests.
 
     ``p_random`` is the smallest p-value, times their number, of three tests of randomness in the
     inferred encoding: uniform use of the alphabet, runs above and below its middle, serial correlation.
     ``p_structured`` is the chance that a structured string of this length uses its alphabet so evenly.
     """
-    runs = F.when(text.rlike("[0-9]"), _found(text, CANDIDATE)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,match:string>>")
-    )
+    runs = _found(text, CANDIDATE)
     runs = F.flatten(F.transform(runs, _parts))
-    runs = F.filter(runs, lambda c: c["core"].rlike("[0-9]") & ~c["core"].rlike("^[0-9]+$"))
+    runs = F.filter(runs, lambda c: c["core"].rlike("[A-Za-z0-9]") & ~c["core"].rlike("^[0-9]+$"))
 
     def by_encoding(c: Column, pick) -> Column:
         out = F.lit(None)
@@ -204,7 +205,12 @@ def _candidates(text: Column) -> Column:
         mean, spread = c["k"] - 1 + extra, F.sqrt(2 * (c["k"] - 1) + 4 * extra)
         return _upper_tail((mean - c["chi"]) / spread)
 
-    length_class = lambda c: reduce(lambda acc, at: acc + (c["n"] >= at).cast("int"), LENGTHS, F.lit(0))
+    def length_class(c: Column) -> Column:
+        # Words and names without digits are many: they are classes of their own and do not decide on keys with digits.
+        digits, capitals = c["core"].rlike("[0-9]"), c["core"].rlike("[A-Z]")
+        letters = F.when(digits, 0).when(capitals, 1).otherwise(2)
+        return reduce(lambda acc, at: acc + (c["n"] >= at).cast("int"), LENGTHS, letters * (len(LENGTHS) + 1))
+
     return F.transform(
         runs,
         lambda c: F.struct(
@@ -227,8 +233,8 @@ def _plain(text: Column) -> Column:
 def discovery_limits(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
     """Smallest accepted bin of ``p_structured`` for each class of lengths, over all candidates of all texts.
 
-    The step-up rule for the false-discovery rate, per class of lengths so that many short strings
-    do not decide on long ones: accept the p-values up to the largest p with p <= rate * rank / number. Ranks are
+    The step-up rule for the false-discovery rate, per class of lengths (with digits, without, in small letters only) so that
+    many short strings do not decide on long ones: accept the p-values up to the largest p with p <= rate * rank / number. Ranks are
     counts of bins of -ln(p), every p taken as the largest of its bin, so the driver gets a row per class.
     """
     one = docs.select(F.explode(_candidates(_plain(F.col(text_col)))).alias("c"))
@@ -237,7 +243,7 @@ def discovery_limits(docs: DataFrame, text_col: str = "text", fdr: float = FDR)
     downwards = per_class.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.select("*", F.sum("n").over(downwards).alias("rank"), F.sum("n").over(per_class).alias("m"))
     accepted = ranked.where(F.exp(-F.col("bin") / F.lit(BINS_PER_UNIT)) <= fdr * F.col("rank") / F.col("m"))
-    rows = accepted.groupBy("length_class").agg(F.min("bin").alias("bin")).collect()  # len(LENGTHS) + 1 at most
+    rows = accepted.groupBy("length_class").agg(F.min("bin").alias("bin")).collect()  # 3 * (len(LENGTHS) + 1) at most
     return {r["length_class"]: r["bin"] for r in rows}
 
 
