@@ -20,7 +20,8 @@ CONTEXT = 40  # characters looked at on either side
 SAMPLE_DOCS = 300  # documents that lend the examples their surroundings, at most
 EXAMPLES = 1500  # of each kind, half of them true
 PRECISION = 0.98
-GROUPS = 8  # groups of digits that a candidate spans, at most
+DIGITS = 19  # digits of a candidate, and so groups of digits, at most
+PIECE = 4096  # candidates whose features are held at once
 SEED = 11
 
 # The base formats, fixed by contract. Each but phone and card is written so that a failing run is read over once:
@@ -85,9 +86,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     def close() -> None:
         for i in range(len(run)):
             total = 0
-            for j in range(i, min(i + GROUPS, len(run))):
+            for j in range(i, len(run)):
                 total += run[j][2]
-                if total > 19:
+                if total > DIGITS:
                     break
                 if j - i == 3:
                     out.append(("ip", run[i][0], run[j][1]))
@@ -101,9 +102,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             close()
             run = []
         run.append((m.start(), m.end(), sum(c.isdigit() for c in m[0])))
-        if len(run) > 64:  # spans of at most GROUPS groups: the older ones have been seen from every start
+        if len(run) > 64:  # spans of at most DIGITS groups: the older ones have been seen from every start
             close()
-            run = run[-GROUPS:]
+            run = run[-DIGITS:]
     close()
     return list(dict.fromkeys(out))
 
@@ -260,14 +261,17 @@ def find_spans(text: str, judges: dict[str, Judge]) -> tuple[list[tuple[str, int
     proposed = candidates(text)
     for kind in KINDS:
         mine = [(a, b) for k, a, b in proposed if k == kind]
-        if mine:
-            chances = judges[kind].chances(np.array([features(text, kind, a, b) for a, b in mine]))
-            scored += [(-c, a - b, a, b, kind) for c, (a, b) in zip(chances, mine, strict=True) if c >= judges[kind].threshold]
-    taken = sorted((a, b) for _, a, b in base)
+        for at in range(0, len(mine), PIECE):
+            some = mine[at : at + PIECE]
+            chances = judges[kind].chances(np.array([features(text, kind, a, b) for a, b in some]))
+            scored += [(-c, a - b, a, b, kind) for c, (a, b) in zip(chances, some, strict=True) if c >= judges[kind].threshold]
+    taken = bytearray(len(text) if scored else 0)  # 1 where a character is part of a span
+    for _, a, b in base if scored else ():
+        taken[a:b] = b"\1" * (b - a)
     added = []
     for _, _, a, b, kind in sorted(scored):
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -448,6 +448,22 @@ def test_spelled_addresses_need_no_other_hint():
         assert [(a, b) for k, a, b in pii.candidates(t) if k == "email"] == [m.span() for m in pii._SPELLED.finditer(t)], t
 
 
+def test_numbers_in_many_groups():
+    assert ("phone", 5, 24) in pii.candidates("call 0 1 7 0 1 2 3 4 5 6 now")
+    assert ("card", 0, 28) in pii.candidates("41.11.11.11.11.11.11.11.11.1 x")
+    assert ("card", 0, 37) in pii.candidates(" ".join("4111111111111111111") + " x")
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # every span of each kind's number of digits, also where long runs are cut
+        sizes = rng.integers(1, 4, 200)
+        text = " ".join("7" * n for n in sizes)
+        ends = np.cumsum(sizes + 1) - 1
+        total = np.cumsum(sizes)[None, :] - (np.cumsum(sizes) - sizes)[:, None]
+        upper = np.triu(np.ones(total.shape, bool))
+        for kind, least, most in (("phone", 7, 15), ("card", 13, 19)):
+            want = {(ends[i] - sizes[i], ends[j]) for i, j in np.argwhere(upper & (total >= least) & (total <= most))}
+            assert {(a, b) for k, a, b in pii.candidates(text) if k == kind} == want
+
+
 def test_email_runs_are_linear():
     assert pii.base_spans("a" * 200_000 + " x@y.z") == [("email", 200_001, 200_006)]
     assert pii.base_spans("a@b.c_d@e.f") == [("email", 0, 5), ("email", 5, 11)]
