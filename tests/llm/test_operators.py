@@ -469,6 +469,20 @@ def test_email_runs_are_linear():
     assert pii.base_spans("a@b.c_d@e.f") == [("email", 0, 5), ("email", 5, 11)]
 
 
+# 1
+def test_ratio_reaches_the_target():
+    x = np.random.default_rng(2).normal(size=(256, 16))  # all are asked when the ratio is set
+    radius = float(np.sqrt((x**2).sum(1)).max())
+    index = ann.build_index(x, radius, list_sample=8)
+    scores = x @ x.T - np.diag(np.full(256, np.inf))
+    best = np.argsort(-scores, axis=1)[:, :20]
+    held = ann.distances(index.lift(x), index.centroids)
+    lists = held <= np.minimum(ann.REPLICA_RATIO * held.min(1), np.sort(held, axis=1)[:, ann.REPLICAS - 1])[:, None]
+    to = ann.distances(ann.index_queries(x, radius), index.centroids)
+    visited = to <= index.ratio * to.min(1, keepdims=True) * (1 + 1e-12)
+    assert (lists[best] & visited[:, None]).any(2).mean() >= 0.9599
+
+
 # 1
 def test_nearest(spark):
     rng = np.random.default_rng(9)
