@@ -173,9 +173,10 @@ def near_duplicates(
     1. One pass turns each text into the size and digest of its set of five-word shingles and the band keys of its
        circulant MinHash signature.
     2. Documents with equal sets are one class, named by its smallest id; only classes go on.
-    3. Classes that share a band key are candidates. Each is tied to the smallest class of its bucket (a partial
-       minimum: a hot bucket costs a row per task), and the components of these ties bring
-       together all candidate pairs without listing one.
+    3. Classes that share a band key are candidates. Each bucket is named by its smallest class (a partial
+       minimum: a hot bucket costs a row per task), and each class hooked to the smallest of its buckets' names.
+       Only a hook and another name of the same class are tied, so a family of near copies leaves few ties,
+       and the components of these bring together all candidate pairs without listing one.
     4. The texts of candidates alone are read again. A component too large for one task is cut into blocks, and all pairs
        of blocks are compared, so nothing is capped. Tasks return links that span what they found.
     5. The components of confirmed links and equal sets are the answer.
@@ -193,8 +194,12 @@ def near_duplicates(
     banded = stage(banded, "bands")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     buckets = stage(buckets.where("low < high").drop("high"), "buckets")
-    ties = banded.join(buckets, "key").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    groups = components(ties.where("a <> b").distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    lows = banded.join(buckets, "key").groupBy("doc_id").agg(F.collect_set("low").alias("lows"))
+    hooked = stage(lows.select("doc_id", F.array_min("lows").alias("hook"), "lows"), "hooked")
+    ties = hooked.select(F.col("hook").alias("a"), F.explode("lows").alias("b")).where("a <> b").distinct()
+    tied = components(ties).select(F.col("node").alias("hook"), "component")
+    groups = hooked.select("doc_id", "hook").join(tied, "hook", "left")
+    groups = groups.select("doc_id", F.coalesce("component", "hook").alias("group_id"))
     pieces = paired_blocks(groups, "group_id", "doc_id", group_rows)
     texts = given.join(pieces, "doc_id").dropDuplicates(["doc_id", "_i", "_j", "text"])
     compare = _compare(threshold, band_count(threshold, rows) * rows)

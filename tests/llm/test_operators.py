@@ -250,6 +250,38 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r["node"]: r["component"] for r in got} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (1800, 2))]  # trees, circles and loops of all shapes
+    edges += [(5000 + i, 5001 + i) for i in range(700)] + [(9000, 8000 + i) for i in range(300)]  # a long chain, a star named last
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_large_family_of_near_copies(spark):
+    rng = np.random.default_rng(12)
+    base = [f"t{x}" for x in rng.integers(0, 50_000, 120)]
+    rows = []
+    for i in range(2000):  # one of 120 words differs: all are linked to the text itself, most to each other
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (5000, " ".join(base))], "doc_id bigint, text string").repartition(4)
+    got = minhash.near_duplicates(docs, 0.8).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
 # 10
