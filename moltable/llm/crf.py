@@ -180,9 +180,10 @@ def score_documents(docs: DataFrame, model: LineModel | float, keep: list[str] |
     """The columns ``keep`` of ``docs`` (all) and ``quality``: the chances that its lines are good, weighted by length.
 
     Each whole text is scored where it lies; the model, a few hundred bytes, travels with the task. A
-    null or empty text is one empty line. Repeated rows score alike. No rows give none.
+    null or empty text is one empty line. Repeated rows score alike. A given column ``quality`` is replaced. No rows
+    give none.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != "quality"])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
     whole = "text" in kept.columns
     given = docs.select(row) if whole else docs.select(row, "text")

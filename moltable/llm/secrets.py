@@ -279,7 +279,7 @@ def with_secrets(docs: DataFrame, limits: dict[int, int], text_col: str = "text"
     """``docs`` with ``base_spans`` and ``secret_spans``: arrays of (start, kind, end, name), by start, then kind.
 
     ``secret_spans`` holds the base spans and the accepted random strings that neither a base span nor a longer accepted
-    string covers.
+    string covers. A null or empty text has none. Given columns of these two names are replaced; all others stay.
     """
     plain = _plain(F.col(text_col))
     found = docs.withColumn("base_spans", _base(plain)).withColumn("secret_spans", _accepted(_candidates(plain), limits))

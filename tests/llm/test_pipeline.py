@@ -36,3 +36,28 @@ def test_empty_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, step in pipeline.STAGES:
         assert step(spark, docs, data).count() == 0
+
+
+EXTRA = ["quality", "clean", "secret_spans", "base_spans", "mix", "copy", "size", "row", "text_", "label", "kept", "a.b"]
+
+
+def test_odd_rows_and_clashing_columns(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    long = " ".join(f"word{i % 911} and line {i}" + "\n" * (i % 7 == 0) for i in range(60_000))
+    odd = [(None, "no id but words enough to be read"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, long), (10**6 + 3, "same row"), (10**6 + 3, "same row")]
+    rows = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in odd], docs.schema)
+    given = docs.unionByName(rows).select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in EXTRA])
+    for name, step in pipeline.STAGES[:-1]:
+        out = step(spark, given, data)
+        assert out.columns == given.columns and [f.dataType for f in out.schema] == [f.dataType for f in given.schema]
+        got = out.collect()
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}-{r['doc_id']}") for r in got for c in EXTRA)
+        kept = [r["doc_id"] for r in got if r["doc_id"] is None or r["doc_id"] >= 10**6]
+        if name in ("near-duplicate removal", "secret scans"):
+            assert sorted(kept, key=str) == sorted((i for i, _ in odd), key=str)
+            assert {r["text"] for r in got} >= {None, "", long, "same row"}
+        assert kept.count(10**6 + 3) % 2 == 0
+    name, step = pipeline.STAGES[-1]
+    pieces = step(spark, given, data)
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"), F.count_if(F.col("start") == 0).alias("rows"))
+    assert whole.where("n <> of * rows").isEmpty() and {r["doc_id"] for r in whole.collect()} >= {i for i, _ in odd}
