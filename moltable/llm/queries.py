@@ -129,3 +129,33 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     digest = F.sha2(listed("base_spans"), 256).alias("base_sha256")
     return found.select("doc_id", *map(count, KINDS), digest, listed("spans").alias("spans"))
+
+
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@_query
+def op13_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.cascade import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+_fits = ",\n        ".join(
+    f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{host}{path}' END"
+    for _, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+)
+_blocked = ", ".join(f"'{host}{path}'" for verdict, host, path in URL_RULES if verdict == "block")
+SQL["op13_bloom_cascade"] = f"""
+    WITH rests AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM rests
+    ), fitted AS (SELECT *, coalesce({_fits}) AS rule FROM parts)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ({_blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
+"""
