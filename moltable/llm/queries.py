@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moltable.llm.columns import WORD
 from moltable.runtime import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +160,39 @@ SQL["op13_bloom_cascade"] = f"""
     ), fitted AS (SELECT *, coalesce({_fits}) AS rule FROM parts)
     SELECT page_id, host, path, rule, CASE WHEN rule IN ({_blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
 """
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by the hash of their id, all words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hashed = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("planted"))
+    listed = hashed.withColumn("words", F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    counted = listed.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    counted = counted.withColumn("left", F.col("n") - F.col("a"))
+    counted = counted.withColumn("p", 1 + F.floor(F.col("left") / (3 + F.col("g") % 8)).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.flatten(F.array_repeat(period, F.ceil(F.col("left") / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), F.col("left")))
+    return counted.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.periodic import periodic_runs
+
+    found = periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    ranked = F.transform(
+        "runs", lambda r: F.struct((r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", F.array_max(ranked)).select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.round(F.col("best.exponent") * -F.col("best.period")).cast("bigint").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return best.withColumn("exponent_milli", F.expr("1000 * length div period"))
