@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moltable.llm.columns import WORD
-from moltable.runtime import new_path
+from moltable.runtime import new_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +196,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
     return best.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+@_query
+def op11_diagonal_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moltable.llm.align import align_documents, with_pair_counts
+
+    aligned = align_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return with_pair_counts(stage(aligned.select("*", digest).drop("groups"), "aligned"))
