@@ -98,7 +98,7 @@ def tok_pair_counts(spark, sf_dir):
 # Training is a loop over the whole table; it is compared with a public trainer in the tests.
 @check("tok_train_bpe")
 def tok_train_bpe(spark, sf_dir):
-    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text"), 400).merge_table(spark)
+    return vc.train_bpe(vc.byte_piece_counts(texts(spark, sf_dir), "text")).merge_table(spark)
 
 
 FIRST_MERGES = 10
@@ -152,6 +152,14 @@ def _bpe_sql() -> str:
     """
 
 
+# Whole texts under a vocabulary trained on them; compared with a public tokenizer in the tests.
+@check("tok_encode_bpe_trained")
+def tok_encode_bpe_trained(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    vocab = vc.train_bpe(vc.byte_piece_counts(docs, "text"))
+    return tk.encode_bpe(docs, "text", vocab).select("doc_id", *_checksum(F.col("ids")))
+
+
 @check("tok_encode_bpe", _bpe_sql())
 def tok_encode_bpe(spark, sf_dir):
     letters = sorted(vc.byte_alphabet().values())

@@ -7,11 +7,16 @@ strings is the order of their ids.
 
 from __future__ import annotations
 
-import functools
+import heapq
+import itertools
 import json
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +33,13 @@ PIECE_PATTERN = (
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]+"
 
 SYMBOL_BASE = 0x10000
-CANDIDATES = 512  # best pairs looked at per round; a round merges some of them
-REPLACES_PER_STAGE = 24  # merges applied on the fly before the pieces are written anew
+PAIR_BITS = 21  # of a code point
+FIRST_PAIRS, MAX_PAIRS = 256, 4096  # pairs chosen in the first round of training, and in any
+MAX_CHAINS = 100_000  # distinct chains of chosen pairs, the most that a round of training sends to the driver
 PIECES_PER_TASK = 10_000  # rows that make a task of the training loop worth its start
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def byte_alphabet() -> dict[int, str]:
     """Byte to printable character: printable Latin-1 stands for itself, the rest from U+0100 up."""
@@ -120,126 +128,195 @@ def pair_counts(pieces: DataFrame, symbols: Column) -> DataFrame:
     )
 
 
-def _meeting(pieces: DataFrame, pairs: list[str]) -> set[str]:
-    """Runs of three symbols in the pieces whose first two and last two are among ``pairs``: at most their square."""
-    chars = pieces.where(F.length("s") > 2).select(F.split("s", "").alias("c"))
-    runs = F.arrays_zip(*[F.slice("c", F.lit(i), F.size("c") - 2).alias(name) for i, name in ((1, "a"), (2, "b"), (3, "d"))])
-    listed = ", ".join(f"'{pair}'" for pair in pairs)  # symbols need no quoting
-    found = chars.select(F.inline(runs)).where(f"concat(a, b) in ({listed}) and concat(b, d) in ({listed})")
-    return {r.a + r.b + r.d for r in found.distinct().collect()}
-
-
-def _safe_batch(
-    top: list[tuple[str, str, int]],
-    meeting: Callable[[], set[str]],
-    texts: dict[str, str],
-    known: set[str],
-    room: int,
-    min_frequency: int,
-) -> list[tuple[str, str]]:
-    """The leading pairs that can be merged in one round with the result of one at a time.
-
-    A merge of (a, b) changes only the counts of pairs (x, a) and (b, y) that it meets in some piece, and the
-    pairs it creates are no more frequent than those. They hold a new symbol, so at equal counts they come
-    later. The next best pair therefore keeps its place as long as neither it nor a better one meets a chosen pair;
-    ``meeting`` gives the runs of three symbols that say so. A pair of equal symbols, or one that spells a known
-    token, goes alone.
-    """
-    chosen: list[tuple[str, str]] = []
-    firsts: dict[str, list[str]] = {}  # of chosen pairs, by their second symbol
-    seconds: dict[str, list[str]] = {}
-    spelled: set[str] = set()
-    for left, right, n in top:
-        if n < min_frequency or len(chosen) >= room:
-            break
-        token = texts[left] + texts[right]
-        alone = left == right or token in known or token in spelled
-        before = [a + left + right for a in firsts.get(left, ())]
-        after = [left + right + b for b in seconds.get(right, ())]
-        if chosen and (alone or ((before or after) and not meeting().isdisjoint(before + after))):
-            break
-        chosen.append((left, right))
-        firsts.setdefault(right, []).append(left)
-        seconds.setdefault(left, []).append(right)
-        spelled.add(token)
-        if alone:
-            break
-    return chosen
+def _flat(batch: pa.RecordBatch) -> tuple[str, np.ndarray, np.ndarray]:
+    """(all pieces of a batch, a line end before, between and after them; its pairs of neighbours as numbers; the place of each
+    line end). A pair with a line end in it is 0."""
+    text = "\n" + "\n".join(batch.column("s").to_pylist()) + "\n"
+    symbols = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = symbols != 10
+    pairs = np.where(inside[:-1] & inside[1:], (symbols[:-1] << PAIR_BITS) + symbols[1:], 0)
+    return text, pairs, np.flatnonzero(~inside)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, pairs, ends = _flat(batch)
+        weights = np.zeros(len(pairs), np.int64)
+        weights[ends[:-1]] = np.diff(batch.column("n").to_numpy(), prepend=0)
+        weights = np.cumsum(weights)
+        found, at = np.unique(pairs, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, weights)
+        yield pa.record_batch([pa.array(found[found > 0]), pa.array(total[found > 0])], names=["pair", "n"])
+
+
+def _chains(pairs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, behind the last) symbol of each longest stretch whose neighbours are all among the ``chosen`` pairs."""
+    at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+    held = np.concatenate([[False], chosen[at] == pairs, [False]])
+    return np.flatnonzero(held[1:] & ~held[:-1]), np.flatnonzero(~held[1:] & held[:-1]) + 1
+
+
+def _count_chains(chosen: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, pairs, ends = _flat(batch)
+            first, last = _chains(pairs, chosen.value)
+            weights = batch.column("n").to_numpy()[np.searchsorted(ends, first) - 1]
+            counts: dict[str, int] = {}
+            for u, v, n in zip(first.tolist(), last.tolist(), weights.tolist(), strict=True):
+                chain = text[u:v]
+                counts[chain] = counts.get(chain, 0) + n
+            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["chain", "n"])
+
+    return run
+
+
+def _replace_chains(chosen: Broadcast, merged: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, pairs, _ = _flat(batch)
+            parts, done = [], 0
+            for u, v in zip(*(x.tolist() for x in _chains(pairs, chosen.value)), strict=True):
+                new = merged.value.get(text[u:v])
+                if new is not None:
+                    parts += (text[done:u], new)
+                    done = v
+            parts.append(text[done:])
+            yield pa.record_batch([pa.array("".join(parts)[1:-1].split("\n"), pa.string()), batch.column("n")], names=["s", "n"])
+
+    return run
+
+
+class _Greedy:
+    """Byte-pair merges of weighted chains, one at a time: the most frequent pair first, the lowest ids on a tie."""
+
+    def __init__(self, chains: list[str], weights: list[int]) -> None:
+        self.chains, self.weights = [[ord(c) for c in chain] for chain in chains], weights
+        self.counts: dict[tuple[int, int], int] = {}
+        self.where: dict[tuple[int, int], set[int]] = {}
+        for at in range(len(chains)):
+            self._add(at, 1)
+        self.queue = [(-n, *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.queue)
+
+    def _add(self, at: int, sign: int) -> set[tuple[int, int]]:
+        n = sign * self.weights[at]
+        pairs = list(itertools.pairwise(self.chains[at]))
+        for pair in pairs:
+            self.counts[pair] = self.counts.get(pair, 0) + n
+            if sign > 0:
+                self.where.setdefault(pair, set()).add(at)
+        return set(pairs)
+
+    def best(self) -> tuple[int, int, int] | None:
+        """(-count, left, right) of the next pair."""
+        while self.queue:
+            n, left, right = self.queue[0]
+            now = self.counts.get((left, right), 0)
+            if now == -n:
+                return self.queue[0]
+            heapq.heappop(self.queue)
+            if now > 0:
+                heapq.heappush(self.queue, (-now, left, right))
+        return None
+
+    def merge(self, left: int, right: int, symbol: int) -> None:
+        created: set[tuple[int, int]] = set()
+        for at in self.where.pop((left, right)):
+            old = self.chains[at]
+            if (left, right) not in itertools.pairwise(old):
+                continue
+            self._add(at, -1)
+            new, i = [], 0
+            while i < len(old):
+                if old[i] == left and i + 1 < len(old) and old[i + 1] == right:
+                    new.append(symbol)
+                    i += 2
+                else:
+                    new.append(old[i])
+                    i += 1
+            self.chains[at] = new
+            created |= self._add(at, 1)
+        for pair in created:
+            if symbol in pair:
+                heapq.heappush(self.queue, (-self.counts[pair], *pair))
+
+    def spelled(self) -> list[str]:
+        return ["".join(map(chr, chain)) for chain in self.chains]
 
 
 def train_bpe(
-    counts: DataFrame, vocab_size: int = 8192, min_frequency: int = 2, special: list[str] = SPECIAL_TOKENS
+    counts: DataFrame, vocab_size: int = 8192, min_frequency: int = 2, special: list[str] = SPECIAL_TOKENS, max_chains: int = MAX_CHAINS
 ) -> Vocabulary:
     """Byte-pair vocabulary from byte-level piece counts (piece, n).
 
-    Ids: special tokens, then the characters seen by code point, then merges. Each round takes the
-    most frequent adjacent pair, the lowest ids on a tie, together with all following pairs it
-    cannot influence. Pair counts are a table of their own; a round changes them by the pieces that hold a merged
-    pair, all other pieces are only searched. The driver holds the vocabulary and the best pairs of a round, never
-    pieces.
+    Ids: special tokens, then the characters seen by code point, then merges: always the most frequent adjacent
+    pair, the lowest ids on a tie. A round makes many merges at once:
+
+    1. The pairs are counted and the best of them chosen; the first pair that is not is the bar.
+    2. Pieces are cut wherever two neighbours are no chosen pair. The distinct chains that are left, with their
+       counts, hold every occurrence of the chosen pairs, and of all that is made of them.
+    3. On these, the driver merges the best pair again and again, as long as it comes before the bar. No pair
+       across a cut can do so: it is never more frequent than the pair that stood there. A merge that
+       spells a known token is the last of its round, for only then could a pair across a cut have grown.
+    4. The chains in the pieces are replaced by their merged form.
+
+    The number of chains is bounded by ``max_chains``: where there are more, fewer pairs are chosen. So the driver holds the
+    vocabulary and one bounded table, never pieces, and a round is three passes over the pieces, whatever the number
+    of its merges.
     """
+    spark = counts.sparkSession
     counts = stage(counts.select("piece", "n"), "pieces")
     letters = counts.select(F.explode(F.array_distinct(F.split("piece", ""))).alias("c")).where("c <> ''").distinct()
     alphabet = sorted(r.c for r in letters.collect())  # at most the 256 characters of the byte alphabet
     tokens = [*special, *alphabet]
-    known = set(tokens)
     symbol_of = {t: chr(SYMBOL_BASE + i) for i, t in enumerate(tokens)}
-    texts = {s: t for t, s in symbol_of.items()}
+    texts = {ord(s): t for t, s in symbol_of.items()}
     merges: list[tuple[str, str]] = []
 
     start = F.translate("piece", "".join(alphabet), "".join(symbol_of[c] for c in alphabet))
     # The pieces are few bytes and much work: tasks by their number, not by blocks of bytes.
     tasks = 1 + counts.count() // PIECES_PER_TASK
     pieces = stage(counts.select(start.alias("s"), "n").where("length(s) > 1").repartition(tasks), "symbols")
-    pairs = stage(pair_counts(pieces, F.col("s")), "pairs")
-    pending: list[tuple[str, str]] = []
+    wanted = FIRST_PAIRS
     while len(tokens) < vocab_size:
-        best = pairs.orderBy(F.desc("n"), "left", "right").limit(CANDIDATES).collect()
-        top = [(r.left, r.right, r.n) for r in best]
-        now = _merged(pieces, pending)
-        meeting = functools.cache(functools.partial(_meeting, now, [left + right for left, right, _ in top]))
-        batch = _safe_batch(top, meeting, texts, known, vocab_size - len(tokens), min_frequency)
-        if not batch:
+        pairs = pieces.mapInArrow(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        top = pairs.where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(MAX_PAIRS + 1).collect()
+        if not top:
             break
-        replaces = []
-        for left, right in batch:
+        while True:
+            chosen = spark.sparkContext.broadcast(np.sort(np.array([r.pair for r in top[:wanted]], np.int64)))
+            cut = pieces.mapInArrow(_count_chains(chosen), "chain string, n bigint")
+            chains = cut.groupBy("chain").agg(F.sum("n").alias("n"))
+            found = (chains.limit(max_chains + 1) if wanted > 1 else chains).toArrow()
+            if wanted == 1 or found.num_rows <= max_chains:
+                break
+            wanted = max(1, wanted // 4)
+        bar = (-top[wanted].n, *divmod(top[wanted].pair, 1 << PAIR_BITS)) if wanted < len(top) else (1 - min_frequency, 0, 0)
+        spelled = found["chain"].to_pylist()
+        greedy = _Greedy(spelled, found["n"].to_pylist())
+        while len(tokens) < vocab_size and (best := greedy.best()) is not None and best < bar:
+            _, left, right = best
             token = texts[left] + texts[right]
-            if token not in known:
+            merges.append((texts[left], texts[right]))
+            known = token in symbol_of
+            if not known:
                 symbol_of[token] = chr(SYMBOL_BASE + len(tokens))
-                texts[symbol_of[token]] = token
+                texts[ord(symbol_of[token])] = token
                 tokens.append(token)
-                known.add(token)
-            merges.append((texts[left], texts[right]))
-            replaces.append((left + right, symbol_of[token]))
+            greedy.merge(left, right, ord(symbol_of[token]))
+            if known:
+                break
         if len(tokens) >= vocab_size:
             break
-        held = F.exists(_listed([pair for pair, _ in replaces]), lambda pair: F.contains("s", pair))
-        hit = now.where(held)
-        old = pair_counts(hit, F.col("s")).withColumn("n", -F.col("n"))
-        change = old.unionByName(pair_counts(_merged(hit, replaces), F.col("s")))
-        changed = pairs.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n"))
-        pairs = stage(changed.where("n > 0"), "pairs")
-        pending += replaces
-        if len(pending) > REPLACES_PER_STAGE:
-            pieces, pending = stage(_merged(pieces, pending).where("length(s) > 1"), "symbols"), []
+        merged = spark.sparkContext.broadcast({a: b for a, b in zip(spelled, greedy.spelled(), strict=True) if a != b})
+        pieces = stage(pieces.mapInArrow(_replace_chains(chosen, merged), "s string, n bigint").where("length(s) > 1"), "symbols")
+        if found.num_rows < max_chains // 3:
+            wanted = min(2 * wanted, MAX_PAIRS)
     return Vocabulary(tokens, merges)
 
 
-def _listed(strings: Sequence[str]) -> Column:
-    """A constant array, handed over as one string."""
-    return F.split(F.lit(" ".join(strings)), " ")
-
-
-def _merged(pieces: DataFrame, replaces: list[tuple[str, str]]) -> DataFrame:
-    """Apply (pair, symbol) merges in order. A fold over a constant list, so that the plan, and with
-    it the compiled code, is the same in every round."""
-    if not replaces:
-        return pieces
-    pairs, symbols = (_listed(side) for side in zip(*replaces, strict=True))
-    steps = F.arrays_zip(pairs.alias("pair"), symbols.alias("symbol"))
-    return pieces.select(F.aggregate(steps, F.col("s"), lambda s, m: F.replace(s, m["pair"], m["symbol"])).alias("s"), "n")
-
-
 def write_vocabulary(spark: SparkSession, vocab: Vocabulary, folder: str) -> None:
     """Tokens and merges as JSON lines."""
     vocab.token_table(spark).write.json(f"{folder}/vocab")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -35,15 +36,25 @@ def test_pretokenize_like_the_public_one(spark, data):
 def trained(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = [r.text for r in docs.select("text").collect()]
-    public = _public(texts, 310)
-    return docs, texts, public, vc.train_bpe(vc.byte_piece_counts(docs, "text"), 310)
+    public = _public(texts, 8192)
+    return docs, texts, public, vc.train_bpe(vc.byte_piece_counts(docs, "text"))
 
 
 def test_training_equals_the_public_trainer(trained):
     _, _, public, ours = trained
-    assert len(ours.merges) > 150
+    assert len(ours.tokens) == 8192
     ids = public.get_vocab()
     assert sorted(ids, key=ids.get) == ours.tokens
+    assert [tuple(m) for m in json.loads(public.to_str())["model"]["merges"]] == ours.merges
+
+
+def test_training_takes_few_jobs(spark, trained):
+    docs, *_ = trained
+    spark.sparkContext.setJobGroup("training", "")
+    merges = vc.train_bpe(vc.byte_piece_counts(docs, "text"), 2000).merges
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("training")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(merges) >= 20 * len(jobs)
 
 
 def test_encoding_equals_the_public_one(spark, trained):
@@ -55,14 +66,14 @@ def test_encoding_equals_the_public_one(spark, trained):
         assert got[i] == public.encode(text, add_special_tokens=False).ids, text[:80]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_training_with_ties_and_repeats(spark, seed):
+@pytest.mark.parametrize("seed, max_chains", [(0, 5), (1, 5), (2, vc.MAX_CHAINS), (3, vc.MAX_CHAINS)])
+def test_training_with_ties_and_repeats(spark, seed, max_chains):
     rng = random.Random(seed)
     texts = [" ".join("".join(rng.choice("ab" if seed % 2 else "abcd") for _ in range(rng.randint(1, 9))) for _ in range(6)) for _ in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     public = _public(texts, 45)
     ids = public.get_vocab()
-    ours = vc.train_bpe(vc.byte_piece_counts(df, "t"), 45)
+    ours = vc.train_bpe(vc.byte_piece_counts(df, "t"), 45, max_chains=max_chains)
     assert sorted(ids, key=ids.get) == ours.tokens
 
 
@@ -131,3 +142,16 @@ def test_words_encoding_of_odd_texts(spark):
     assert {r.i: r.ids for r in out.collect()} == {1: [5, 6, 5], 2: [], 3: [0], 4: []}
     bpe = tk.encode_bpe(df, "t", vc.Vocabulary([*SPECIAL, "a", "b", "Ġ"]))
     assert {r.i: r.ids for r in bpe.collect()} == {1: [5, 7, 6, 7, 5], 2: [], 3: [0], 4: []}
+
+
+def test_trained_encoding_query(spark, data):
+    import __spark_entry__ as entry
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    public = _public(texts.values(), 8192)
+    got = {r.doc_id: (r.n, r.checksum) for r in entry.queries()["tok_encode_bpe_trained"](spark, data).collect()}
+    want = {}
+    for i, text in texts.items():
+        ids = public.encode(text, add_special_tokens=False).ids
+        want[i] = (len(ids), sum(x * (at + 1) for at, x in enumerate(ids)))
+    assert got == want
