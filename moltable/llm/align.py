@@ -14,10 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moltable.llm.encode import Index, Ragged
 from moltable.runtime import stage
 
-CACHED_SEGMENTS = 150_000  # segments a worker remembers; it starts anew beyond. Changes no result
-CACHED_CHARS = 64  # longer segments are aligned each time
+CACHED_SEGMENTS = 400_000  # segments a worker remembers; it starts anew beyond. Changes no result
+CACHED_PAIRS = 4_000_000  # id pairs of them
 SLICE_CHARS = 500_000
 HELD_PAIRS = 400_000  # most frequent id pairs whose counts travel to the tasks; all others are joined
 B_BITS = 32  # an id pair is one number: the id of A, and that of B in the lowest bits
@@ -25,9 +26,6 @@ B_BITS = 32  # an id pair is one number: the id of A, and that of B in the lowes
 #: Neither tokenizer has a token across a space that stands between two other characters and is part of what follows.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-Group = tuple[int, int, int, int]  # from and to (exclusive) among the tokens of A, then of B
-
-
 def skip_equal(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from ``i`` in ``a`` and ``j`` in ``b`` are equal one by one: probes that double, then halve."""
     step, done = 1, 0
@@ -50,30 +48,33 @@ def skip_equal(a: list[int], b: list[int], i: int, j: int) -> int:
     return done
 
 
-def diagonal_groups(a: list[int], b: list[int]) -> list[Group]:
-    """Groups of tokens between the ends that both tokenizations of the same bytes share; ``a``, ``b``: rising ends.
+def diagonal_groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Where each group ends, among the tokens of A and of B; ``a``, ``b``: rising ends of tokens over the same bytes.
 
-    While ends are equal at the present shift of the two indices, every token of A is one of B: such stretches are
-    jumped over by probes that double. Where they part, the side that is behind takes the next token until both ends
-    meet again; that group is irregular, and its surplus changes the shift.
+    A group lies between ends that both share. While ends are equal at the present shift of the two indices,
+    every token of A is one of B: such stretches are jumped over by probes that double. Where they part, the
+    side that is behind takes the next token until both ends meet again; that group is irregular, and its surplus
+    changes the shift.
     """
-    groups: list[Group] = []
+    in_a: list[int] = []
+    in_b: list[int] = []
     i = j = 0
     while i < len(a) and j < len(b):
         run = skip_equal(a, b, i, j)
-        groups += [(x, x + 1, x + j - i, x + j - i + 1) for x in range(i, i + run)]
+        in_a += range(i + 1, i + run + 1)
+        in_b += range(j + 1, j + run + 1)
         i, j = i + run, j + run
         if i == len(a) or j == len(b):
             break
-        u, v = i, j
-        while a[u] != b[v]:
-            if a[u] < b[v]:
-                u += 1
+        while a[i] != b[j]:
+            if a[i] < b[j]:
+                i += 1
             else:
-                v += 1
-        groups.append((i, u + 1, j, v + 1))
-        i, j = u + 1, v + 1
-    return groups
+                j += 1
+        i, j = i + 1, j + 1
+        in_a.append(i)
+        in_b.append(j)
+    return in_a, in_b
 
 
 def _byte_level() -> dict[str, int]:
@@ -100,15 +101,6 @@ def _bytes_b(model) -> list[bytes]:
     return out
 
 
-class _Segment:
-    """What is known of a segment: its token counts, groups as text, links and their id pairs; ``exact`` if bytes agree."""
-
-    __slots__ = ("exact", "facts", "text", "pairs")
-
-    def __init__(self, exact: bool, facts: tuple[int, int, int, int], text: str, pairs: list[int]) -> None:
-        self.exact, self.facts, self.text, self.pairs = exact, facts, text, pairs
-
-
 class Aligner:
     """Alignments of texts, each distinct segment aligned once.
 
@@ -121,64 +113,96 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.joined, self.a = Tokenizer.from_file(path_a), Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: i for i, t in self.a.get_added_tokens_decoder().items() if t.content.startswith("<|")}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = _bytes_a(self.a), _bytes_b(self.b)
-        self.known: dict[str, _Segment] = {}
-
-    def _align(self, parts: list[str]) -> list[_Segment]:
-        """Segments without their leading space, aligned as one long pair of tokenizations."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode(parts, num_threads=1)
-        own_a = [[self.bytes_a[x] for x in ids] for ids in ids_a]
-        own_b = [[self.bytes_b[x] for x in ids] for ids in ids_b]
-        exact = []
-        for part, in_a, in_b in zip(parts, own_a, own_b, strict=True):
+        self.width_a, self.width_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.named_a, self.named_b = (list(map(str, range(len(t)))) for t in (self.bytes_a, self.bytes_b))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.parts, self.pairs = Index(), Ragged(np.int64)
+        self.facts: list[np.ndarray] = []
+        self.texts: list[str] = []
+
+    def _ids_a(self, parts: list[str]) -> list[list[int]]:
+        """Ids of A of each part after a space; parts are joined by a special token, which is looked for before all else."""
+        if self.mark is None or any("<|" in p for p in parts):
+            return [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        (got,) = self.joined.encode_batch_fast([" " + (self.mark + " ").join(parts)], add_special_tokens=False)
+        ids = got.ids
+        marks = [-1, *np.flatnonzero(np.array(ids) == self.mark_id).tolist(), len(ids)]
+        return [ids[x + 1 : y] for x, y in itertools.pairwise(marks)]
+
+    def _align(self, parts: list[str]) -> None:
+        """Remember these parts, aligned as one long pair of tokenizations. A part that bytes do not spell has no tokens."""
+        ids_a, ids_b = self._ids_a(parts), self.b.encode(parts, num_threads=1)
+        spelled_a, spelled_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for n, part in enumerate(parts):
             whole = b" " + part.encode()
-            exact.append(b"".join(in_a) == whole and b"".join(in_b) == whole)
-        kept = [n for n, ok in enumerate(exact) if ok]
-        flat_a = [x for n in kept for x in ids_a[n]]
-        flat_b = [x for n in kept for x in ids_b[n]]
-        ends_a = list(itertools.accumulate(len(t) for n in kept for t in own_a[n]))
-        ends_b = list(itertools.accumulate(len(t) for n in kept for t in own_b[n]))
-        groups = diagonal_groups(ends_a, ends_b)
-        out = [_Segment(False, (0, 0, 0, 0), "", [])] * len(parts)
-        at = stop = 0
-        for n in kept:
-            stop += len(ids_a[n])
-            texts, pairs = [], []
-            first = at
-            while at < len(groups) and groups[at][1] <= stop:
-                i, u, j, v = groups[at]
-                xs, ys = flat_a[i:u], flat_b[j:v]
-                texts.append(f"{xs[0]}|{ys[0]}" if u - i == v - j == 1 else ",".join(map(str, xs)) + "|" + ",".join(map(str, ys)))
-                pairs += [(x << B_BITS) + y for x in xs for y in ys]
-                at += 1
-            facts = (len(ids_a[n]), len(ids_b[n]), at - first, len(pairs))
-            out[n] = _Segment(True, facts, ";".join(texts), pairs)
-        return out
-
-    def align(self, texts: list[str]) -> list[tuple[tuple[int, int, int, int], str, list[int]]]:
-        """((tokens of A, of B, groups, links), groups as text, an id pair per link) of each text."""
-        if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
-        cut = [_CUT.split(t) if t else [] for t in texts]
-        new = [p for p in set(itertools.chain.from_iterable(cut)) if p not in self.known]
-        passing: dict[str, _Segment] = {}
+            if b"".join(map(spelled_a, ids_a[n])) != whole or b"".join(map(spelled_b, ids_b[n])) != whole:
+                ids_a[n], ids_b[n] = [], []
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        stops = [np.cumsum([len(x) for x in ids]) for ids in (ids_a, ids_b)]
+        ends = [np.cumsum(width[flat]).tolist() for width, flat in ((self.width_a, flat_a), (self.width_b, flat_b))]
+        in_a, in_b = (np.array(g, np.int64) for g in diagonal_groups(*ends))
+        n_a, n_b = np.diff(in_a, prepend=0), np.diff(in_b, prepend=0)
+        links = n_a * n_b
+        bounds = np.searchsorted(in_a, stops[0], "right")  # groups up to the end of each part
+        before = np.concatenate([[0], np.cumsum(links)])
+        n_links = np.diff(before[bounds], prepend=0)
+        group = np.repeat(np.arange(len(links)), links)
+        nth = np.arange(len(group)) - before[group]
+        left = flat_a[(in_a - n_a)[group] + nth // n_b[group]]
+        right = flat_b[(in_b - n_b)[group] + nth % n_b[group]]
+        self.pairs.extend((left << B_BITS) + right, n_links)
+        facts = [np.diff(stops[0], prepend=0), np.diff(stops[1], prepend=0), np.diff(bounds, prepend=0), n_links]
+        self.facts.append(np.stack(facts, axis=1))
+        names_a = list(map(self.named_a.__getitem__, flat_a.tolist()))
+        names_b = list(map(self.named_b.__getitem__, flat_b.tolist()))
+        i = j = 0
+        texts = []
+        for u, v in zip(in_a.tolist(), in_b.tolist(), strict=True):
+            if u - i == v - j == 1:
+                texts.append(names_a[i] + "|" + names_b[j])
+            else:
+                texts.append(",".join(names_a[i:u]) + "|" + ",".join(names_b[j:v]))
+            i, j = u, v
+        at = 0
+        for stop in bounds.tolist():
+            self.texts.append(";".join(texts[at:stop]))
+            at = stop
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+
+    def _align_new(self) -> np.ndarray:
+        """Align what is new; the facts of all parts remembered."""
+        new, self.parts.new = self.parts.new, []
         for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for part, segment in zip(some, self._align(some), strict=True):
-                (self.known if len(part) <= CACHED_CHARS else passing)[part] = segment
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            found = [self.known.get(p) or passing[p] for p in parts]
-            if not all(s.exact for s in found):
-                found = [s for s in self._align([text]) if s.exact]
-            facts = tuple(map(sum, zip(*(s.facts for s in found), strict=True))) if found else (0, 0, 0, 0)
-            pairs = list(itertools.chain.from_iterable(s.pairs for s in found))
-            out.append((facts, ";".join(s.text for s in found), pairs))
-        return out
+            self._align(new[at : at + 1000])
+        if len(self.facts) > 1:
+            self.facts = [np.concatenate(self.facts)]
+        return self.facts[0] if self.facts else np.zeros((0, 4), np.int64)
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """((tokens of A, of B, groups, links) of each text; groups as text; an id pair per link, text after text)."""
+        if len(self.parts) > CACHED_SEGMENTS or self.pairs.used > CACHED_PAIRS:
+            self._reset()
+        found = [self._numbers(_CUT.split(t)) if t else np.zeros(0, np.int64) for t in texts]
+        facts = self._align_new()
+        odd = [n for n, own in enumerate(found) if len(own) and not facts[own, 0].all()]
+        for n in odd:  # some part is not spelled exactly: the text is one part
+            found[n] = self._numbers([texts[n]])
+        facts = self._align_new() if odd else facts
+        every = np.concatenate(found)
+        bounds = np.cumsum([0, *map(len, found)])
+        running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(facts[every], axis=0)])
+        named = self.texts.__getitem__
+        return np.diff(running[bounds], axis=0), [";".join(map(named, own.tolist())) for own in found], self.pairs.gather(every)[0]
 
 
 @functools.cache
@@ -218,7 +242,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
                 while end < len(texts) and chars + len(texts[end]) <= SLICE_CHARS:
                     chars += len(texts[end])
                     end += 1
-                yield _batch(batch.column(0).slice(at, end - at), row + at, aligner.align(texts[at:end]))
+                yield _batch(batch.column(0).slice(at, end - at), row + at, *aligner.align(texts[at:end]))
                 at = end
             row += batch.num_rows
 
@@ -226,24 +250,21 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text).mapInArrow(run, ALIGNED_DDL)
 
 
-def _batch(ids: pa.Array, row: int, aligned: list) -> pa.RecordBatch:
-    links = np.array([facts[3] for facts, _, _ in aligned], np.int64)
-    pairs = np.fromiter(itertools.chain.from_iterable(p for _, _, p in aligned), np.int64, int(links.sum()))
-    owner = np.repeat(np.arange(len(aligned)), links)
+def _batch(ids: pa.Array, row: int, facts: np.ndarray, texts: list[str], pairs: np.ndarray) -> pa.RecordBatch:
+    owner = np.repeat(np.arange(len(texts)), facts[:, 3])
     order = np.lexsort((pairs, owner))
     pairs, owner = pairs[order], owner[order]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
     heads = np.flatnonzero(new)
     times = np.diff(np.append(heads, len(pairs))).astype(np.int32)
-    offsets = pa.array(np.searchsorted(owner[heads], np.arange(len(aligned) + 1)).astype(np.int32))
-    facts = [pa.array([f[n] for f, _, _ in aligned], pa.int64()) for n in range(4)]
+    offsets = pa.array(np.searchsorted(owner[heads], np.arange(len(texts) + 1)).astype(np.int32))
     return pa.record_batch(
         [
-            pa.array(np.arange(row, row + len(aligned))),
+            pa.array(np.arange(row, row + len(texts))),
             ids,
-            *facts,
-            pa.array([t for _, t, _ in aligned], pa.string()),
+            *(pa.array(facts[:, n]) for n in range(4)),
+            pa.array(texts, pa.string()),
             pa.ListArray.from_arrays(offsets, pa.array(pairs[heads])),
             pa.ListArray.from_arrays(offsets, pa.array(times)),
         ],

@@ -36,7 +36,7 @@ def _wide_blank(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n"))
 
 
-class _Index(dict):
+class Index(dict):
     """Numbers keys in the order of their first use and lists the new ones."""
 
     def __init__(self) -> None:
@@ -49,7 +49,7 @@ class _Index(dict):
         return at
 
 
-class _Ragged:
+class Ragged:
     """Rows of different lengths, appended in batches and gathered by number."""
 
     def __init__(self, kind: type) -> None:
@@ -99,7 +99,7 @@ class SegmentEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces, self.ids = _Index(), _Ragged(np.uint32)
+        self.pieces, self.ids = Index(), Ragged(np.uint32)
         self.uses = np.zeros(0, np.int64)
 
     def _forget(self) -> None:

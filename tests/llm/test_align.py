@@ -28,14 +28,8 @@ def test_groups_by_common_ends():
         a, b = (sorted({n, *rng.choice(n, int(rng.integers(0, n)), replace=False).tolist()} - {0}) for _ in range(2))
         if rng.random() < 0.5:
             b = sorted(set(a) - set(rng.choice(a, min(len(a) - 1, 2), replace=False).tolist()) | {n})
-        groups = align.diagonal_groups(a, b)
         ends = sorted(set(a) & set(b))
-        want, i, j = [], 0, 0
-        for end in ends:
-            u, v = a.index(end) + 1, b.index(end) + 1
-            want.append((i, u, j, v))
-            i, j = u, v
-        assert groups == want
+        assert align.diagonal_groups(a, b) == ([a.index(e) + 1 for e in ends], [b.index(e) + 1 for e in ends])
 
 
 def test_probes_find_the_first_unequal_end():
@@ -107,10 +101,14 @@ def test_query(spark, data, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
-def test_forgotten_segments_change_nothing(monkeypatch):
+@pytest.mark.parametrize("segments, pairs", [(2, 10**6), (10**6, 3)])
+def test_forgotten_segments_change_nothing(monkeypatch, segments, pairs):
     texts = [t or "" for t in TEXTS] * 3
-    whole = align.Aligner(A, B).align(texts)
-    monkeypatch.setattr(align, "CACHED_SEGMENTS", 2)
-    monkeypatch.setattr(align, "CACHED_CHARS", 3)
+    facts, groups, links = align.Aligner(A, B).align(texts)
+    monkeypatch.setattr(align, "CACHED_SEGMENTS", segments)
+    monkeypatch.setattr(align, "CACHED_PAIRS", pairs)
     some = align.Aligner(A, B)
-    assert [x for t in texts for x in some.align([t])] == whole
+    each = [some.align([t]) for t in texts]
+    assert (np.concatenate([f for f, _, _ in each]) == facts).all()
+    assert [g for _, gs, _ in each for g in gs] == groups
+    assert (np.concatenate([p for _, _, p in each]) == links).all()
