@@ -34,6 +34,12 @@ def loss_ce(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").agg(F.round(m.cross_entropy(F.col("embedding"), F.col("label")), 6).alias("loss"))
 
 
+@check("loss_ce_ignored", f"SELECT round(loss, 6) AS loss FROM ({CE_SQL.replace('FROM embeddings', 'FROM embeddings WHERE label <> 3')})")
+def loss_ce_ignored(spark, sf_dir):
+    label = F.when(F.col("label") == 3, m.IGNORE_LABEL).otherwise(F.col("label"))
+    return table(spark, sf_dir, "embeddings").agg(F.round(m.cross_entropy(F.col("embedding"), label), 6).alias("loss"))
+
+
 LABELLED_SQL = """
     SELECT doc_id, (n_chars - 2500) / 1000.0::DOUBLE AS score, n_chars, quality, toxic FROM labels JOIN documents USING (doc_id)
 """

@@ -64,6 +64,23 @@ def _register_pool(how: str) -> None:
 for _how in POOL_SQL:
     _register_pool(_how)
 
+MODEL_DIM = 768
+
+
+def _register_model_pool(how: str) -> None:
+    """The same vectors, twelve times side by side: as wide as those of a usual model."""
+    wide = MODEL_DIM // DIM
+
+    @check(f"pool_{how}_768", f"SELECT seq_id, (idx + {DIM} * k)::INTEGER AS idx, round(v, 6) AS v FROM ({POOL_SQL[how]}), (SELECT unnest(range({wide})) AS k)")
+    def query(spark, sf_dir):
+        states = _states(spark, sf_dir).withColumn("vec", F.flatten(F.array_repeat("vec", wide)))
+        pooled = pool(states, how, MODEL_DIM, LAYERS, LAST_K)
+        return pooled.select("seq_id", F.posexplode("vec").alias("idx", "v")).select("seq_id", "idx", F.round("v", 6).alias("v"))
+
+
+for _how in ("mean", "max_seq_mean", "mean_mean"):
+    _register_model_pool(_how)
+
 
 @check(
     "agg_linear_merge",

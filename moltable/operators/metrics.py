@@ -21,11 +21,20 @@ def mse_vectors(df: DataFrame, pred: str, label: str) -> DataFrame:
     return cells.agg(mse(F.col("c.p").cast("double"), F.col("c.y").cast("double")).alias("loss"))
 
 
+IGNORE_LABEL = -100  # fixed value: rows with this label do not count
+
+
 def cross_entropy(logits: Column, label: Column) -> Column:
-    """Aggregate: cross-entropy of an integer class under a vector of logits."""
+    """Aggregate: cross-entropy of an integer class under a vector of logits.
+
+    Rows labelled IGNORE_LABEL, and rows without label or logits, are left out; any other label outside the classes is an error.
+    """
     top = F.array_max(logits).cast("double")
     total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
-    return F.avg(F.ln(total) + top - F.get(logits, label).cast("double"))
+    known = (label >= 0) & (label < F.size(logits))
+    wrong = F.raise_error(F.concat(F.lit("no such class: "), label.cast("string"))).cast("double")
+    loss = F.ln(total) + top - F.get(logits, label).cast("double")
+    return F.avg(F.when(label != IGNORE_LABEL, F.when(known, loss).when(~known, wrong)))
 
 
 def bce_with_logits(logit: Column, label: Column) -> Column:

@@ -6,72 +6,101 @@ Only ``mean`` looks at the mask; the others take padding in, as the models do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moltable.functions.columns import of_size
 
-WIDE_DIMS = 256  # vectors up to this long are aggregated as columns, longer ones as (index, value) rows
+PAGE = 4096  # elements of a tensor that are merged as one row
 POOLINGS = ("cls", "mean", "max_cls", "max_seq_mean", "sum_mean", "sum_sum", "mean_sum", "mean_mean")  # fixed values
+_REDUCE = {"sum": (np.add, 0.0), "max": (np.maximum, -np.inf)}  # and what a missing element counts as
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _matrix(vectors: pa.Array, missing: float) -> np.ndarray:
+    cells = pc.fill_null(vectors.flatten().cast(pa.float64()), missing).to_numpy(zero_copy_only=False)
+    return cells.reshape(len(vectors), -1)
 
 
-def aggregate_vectors(
-    df: DataFrame, keys: list[str], dim: int, element: Callable[[Column], Column], extra: dict[str, Column], vec: str = "vec"
-) -> DataFrame:
-    """Element-wise aggregate of vectors per key, with further aggregates beside it.
+def _reduced(table: pa.Table | pa.RecordBatch, keys: list[str], how: str) -> pa.RecordBatch:
+    """One row per key: its vectors reduced element by element. Equal rows of keys are brought together by sorting."""
+    ufunc, missing = _REDUCE[how]
+    frame = pd.DataFrame({k: table.column(k).to_pandas() for k in keys})
+    code = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    vectors = table.column("vec")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    cells = ufunc.reduceat(_matrix(vectors, missing)[order], first, axis=0)
+    heads = pa.array(order[first])
+    offsets = pa.array(np.arange(len(first) + 1, dtype=np.int32) * cells.shape[1])
+    named = [table.column(k).take(heads) for k in keys]
+    named = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in named]
+    return pa.record_batch([*named, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=[*keys, "vec"])
 
-    Up to WIDE_DIMS elements are one aggregate each: one shuffle of one row per key and task, with
-    many keys a quarter of the bytes of the other way. Longer vectors, whose generated code would
-    not compile, become (index, value) rows first and are put together again.
+
+def aggregate_vectors(df: DataFrame, keys: list[str], dim: int, how: str) -> DataFrame:
+    """(keys, vec): the element-wise ``sum`` or ``max`` of vectors of ``dim`` elements per key; a null element is left out.
+
+    One plan for any width: a task reduces the rows of each Arrow batch first, so what is shuffled is a row per key and
+    batch, never one per element, and the generated code does not grow with the vectors.
     """
-    df = df.withColumn(vec, of_size(F.col(vec), dim))
-    if dim <= WIDE_DIMS:
-        cells = [element(F.col(vec)[i].cast("double")) for i in range(dim)]
-        return df.groupBy(*keys).agg(F.array(*cells).alias(vec), *[c.alias(n) for n, c in extra.items()])
-    others = [c for c in df.columns if c != vec]
-    long = df.select(*others, F.posexplode(vec).alias("_i", "_x"))
-    cells = long.groupBy(*keys, "_i").agg(
-        element(F.col("_x").cast("double")).alias("_x"), *[c.alias(n) for n, c in extra.items()]
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return cells.groupBy(*keys).agg(
-        F.transform(ordered, lambda c: c["_x"]).alias(vec), *[F.first(n).alias(n) for n in extra]
-    )
+    cells = df.select(*keys, of_size(F.col("vec"), dim).cast("array<double>").alias("vec"))
+    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _reduced(batch, keys, how)
+
+    def finally_(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_reduced(table, keys, how)])
+
+    return cells.mapInArrow(partly, schema).groupBy(*keys).applyInArrow(finally_, schema)
 
 
 def pool(states: DataFrame, how: str, dim: int, n_layers: int, last_k: int = 8) -> DataFrame:
     """(seq_id, vec) under one of the pooling rules.
 
     Sums and means over layers and positions are linear, so they are one aggregate each, divided
-    by the number of layers or positions at the end; only a maximum needs two levels.
+    by the number of layers or positions at the end, which is added up as one more element; only a maximum needs two levels.
     """
     if how not in POOLINGS:
         raise ValueError(f"pooling must be one of {POOLINGS}, got {how!r}")
+    states = states.withColumn("vec", of_size(F.col("vec"), dim))
     last = states.where(F.col("layer") == n_layers - 1)
     top = states.where(F.col("layer") >= n_layers - last_k)
 
-    def divided(df: DataFrame, by: Column | None) -> DataFrame:
-        vec = F.col("vec") if by is None else F.transform("vec", lambda x: x / by)
-        return df.select("seq_id", vec.alias("vec"))
+    def counted(df: DataFrame, vec: Column, weight: Column) -> tuple[DataFrame, Column]:
+        """Summed vectors, and the sum of the weights, their last element."""
+        both = df.withColumn("vec", F.concat(vec.cast("array<double>"), F.array(weight.cast("double"))))
+        return aggregate_vectors(both, ["seq_id"], dim + 1, "sum"), F.get("vec", F.lit(dim))
+
+    def divided(df: DataFrame, by: Column) -> DataFrame:
+        return df.select("seq_id", F.transform(F.slice("vec", 1, dim), lambda x: x / by).alias("vec"))
 
     if how == "cls":
         return last.where("pos = 0").select("seq_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     if how == "mean":
-        weights = {"_weight": F.sum("mask").cast("double")}
-        masked = last.withColumn("vec", F.transform("vec", lambda x: x * F.col("mask")))
-        return divided(aggregate_vectors(masked, ["seq_id"], dim, F.sum, weights), F.col("_weight"))
+        return divided(*counted(last, F.transform("vec", lambda x: x * F.col("mask")), F.col("mask")))
     if how == "max_cls":
-        return divided(aggregate_vectors(top.where("pos = 0"), ["seq_id"], dim, F.max, {}), None)
+        return aggregate_vectors(top.where("pos = 0"), ["seq_id"], dim, "max")
     if how == "max_seq_mean":
-        per_pos = aggregate_vectors(top, ["seq_id", "pos"], dim, F.max, {})
-        return divided(aggregate_vectors(per_pos, ["seq_id"], dim, F.avg, {}), None)
+        return divided(*counted(aggregate_vectors(top, ["seq_id", "pos"], dim, "max"), F.col("vec"), F.lit(1)))
     over_layers, over_positions = how.split("_")
-    positions = F.sum(F.when(F.col("layer") == n_layers - 1, 1).otherwise(0)).cast("double")
-    summed = aggregate_vectors(states, ["seq_id"], dim, F.sum, {"_positions": positions})
+    summed, positions = counted(states, F.col("vec"), F.col("layer") == n_layers - 1)
     by = F.lit(float(n_layers) if over_layers == "mean" else 1.0)
-    return divided(summed, by * F.col("_positions") if over_positions == "mean" else by)
+    return divided(summed, by * positions if over_positions == "mean" else by)
 
 
 def linear_merge(tensors: DataFrame, weights: DataFrame, missing: str = "skip") -> DataFrame:
@@ -80,8 +109,8 @@ def linear_merge(tensors: DataFrame, weights: DataFrame, missing: str = "skip")
     ``tensors`` is (model, tensor, vec), of any length per tensor, and ``weights`` (model, weight),
     one row per model. The weights of the models that have the tensor are scaled to sum to one; with
     ``missing="error"`` every weighted model must have it. A model without a weight and a tensor whose length
-    differs between models are errors. The result stays one row per element: a tensor of millions of elements is
-    never one value.
+    differs between models are errors. Tensors are cut into pages of PAGE elements, and a page of every model meets in
+    one group: what is shuffled is a row per page, and a tensor of millions of elements is never one value.
     """
     if missing not in ("skip", "error"):
         raise ValueError(f"missing must be 'skip' or 'error', got {missing!r}")
@@ -97,6 +126,19 @@ def linear_merge(tensors: DataFrame, weights: DataFrame, missing: str = "skip")
     if missing == "error":
         weight = weight.when(F.col("_n") != weights.agg(F.count("*")).scalar(), wrong("not every model has ", "tensor"))
     weight = weight.otherwise(F.col("weight")).alias("weight")
-    elements = joined.select("tensor", weight, F.posexplode("vec").alias("idx", "x"))
-    weighted = F.sum(F.col("x").cast("double") * F.col("weight")) / F.sum("weight")
-    return elements.groupBy("tensor", "idx").agg(weighted.alias("value"))
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(PAGE)))
+    pages = F.posexplode(F.transform(starts, lambda at: F.slice("vec", at + 1, PAGE).cast("array<double>"))).alias("page", "vec")
+    paged = joined.select("tensor", "model", weight, pages)
+    schema = T.StructType([tensors.schema["tensor"], T.StructField("page", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("model")  # the same sum in every run
+        weights = table.column("weight").to_numpy()
+        cells = _matrix(table.column("vec").combine_chunks(), 0.0)
+        mean = weights @ cells / weights.sum()
+        return pa.table([table.column("tensor")[:1], table.column("page")[:1], pa.array([mean])], names=schema.names)
+
+    merged = paged.groupBy("tensor", "page").applyInArrow(merge, schema)
+    return merged.select("tensor", "page", F.posexplode("vec").alias("at", "value")).select(
+        "tensor", (F.col("page") * PAGE + F.col("at")).alias("idx"), "value"
+    )

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from moltable.operators import metrics as m
@@ -182,11 +183,9 @@ def _states(spark, n_seq=3, n_layers=4, n_pos=5, dim=6, seed=0):
     return spark.createDataFrame(data, "seq_id int, layer int, pos int, mask int, vec array<double>"), x, mask
 
 
-@pytest.mark.parametrize("wide", [True, False])
-def test_pooling_against_arrays(spark, monkeypatch, wide):
-    if not wide:
-        monkeypatch.setattr("moltable.operators.pooling.WIDE_DIMS", 2)
+def test_pooling_against_arrays(spark):
     states, x, mask = _states(spark)
+    states = states.repartition(5)
     last, top = x[:, -1], x[:, -2:]
     want = {
         "cls": last[:, 0],
@@ -210,6 +209,43 @@ def test_pooling_name(spark):
         pool(_states(spark)[0], "median", 6, 4)
 
 
+def test_wide_vectors_are_one_row(spark):
+    wide = spark.range(40).select(
+        F.expr("id div 4").alias("seq_id"), F.lit(0).alias("layer"), (F.col("id") % 4).alias("pos"), F.lit(1).alias("mask"),
+        F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.col("id") * 1.0 + i).alias("vec"),
+    )
+    pooled = pool(wide, "mean_mean", 5000, 1)
+    assert "Generate" not in pooled._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.seq_id: (r.vec[0], r.vec[4999]) for r in pooled.collect()} == {i: (4 * i + 1.5, 4 * i + 5000.5) for i in range(10)}
+
+
+@pytest.mark.parametrize("page", [4096, 3])
+def test_merge_in_pages(spark, monkeypatch, page):
+    monkeypatch.setattr("moltable.operators.pooling.PAGE", page)
+    rng = np.random.default_rng(0)
+    shapes, share = {"a": 10, "b": 1, "c": 6, "empty": 0}, {"m1": 0.5, "m2": 2.0, "m3": 1.0}
+    vectors = {(m, t): rng.normal(size=n) for m in share for t, n in shapes.items() if (m, t) != ("m3", "c")}
+    rows = [(m, t, v.tolist()) for (m, t), v in vectors.items()]
+    tensors = spark.createDataFrame(rows, "model string, tensor string, vec array<double>").repartition(3)
+    weights = spark.createDataFrame(list(share.items()), "model string, weight double")
+    got = {(r.tensor, r.idx): r.value for r in linear_merge(tensors, weights).collect()}
+    for t, n in shapes.items():
+        held = [m for m in share if (m, t) in vectors]
+        for i in range(n):
+            mean = sum(share[m] * vectors[m, t][i] for m in held) / sum(share[m] for m in held)
+            assert got.pop((t, i)) == pytest.approx(mean)
+    assert not got
+
+
+def test_labels_outside_the_classes(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([1.0, 2.0], -100), ([1.0, 2.0], None)], "x array<double>, y int")
+    loss = df.agg(m.cross_entropy(F.col("x"), F.col("y"))).first()[0]
+    assert loss == pytest.approx(np.log(np.exp(1) + np.exp(2)) - 1)
+    for bad in (2, -1):
+        with pytest.raises(PySparkException, match="no such class"):
+            df.withColumn("y", F.lit(bad)).agg(m.cross_entropy(F.col("x"), F.col("y"))).collect()
+
+
 def test_merge(spark):
     tensors = spark.createDataFrame(
         [("m1", "w", [1.0, 2.0]), ("m2", "w", [3.0, 6.0]), ("m1", "b", [5.0])], "model string, tensor string, vec array<float>"

@@ -46,9 +46,7 @@ def test_prediction_keeps_rows_apart(spark):
 
 
 @pytest.mark.parametrize("vec", [[1.0], [1.0, 2.0, 3.0]])
-@pytest.mark.parametrize("wide", [256, 1])
-def test_pooling_of_another_width(spark, monkeypatch, vec, wide):
-    monkeypatch.setattr(pooling, "WIDE_DIMS", wide)
+def test_pooling_of_another_width(spark, vec):
     df = spark.createDataFrame([(0, 0, 0, 1, vec)], "seq_id int, layer int, pos int, mask int, vec array<double>")
     with pytest.raises(PySparkException, match="expected 2 elements"):
         pooling.pool(df, "mean", 2, 1).collect()
