@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, table, texts
 from moltable.operators.features import feature_table, pick_variant, text_features
-from moltable.operators.stats import keep_subset, label_dictionary, label_stats, nan_stats, normalize_vectors
+from moltable.operators.stats import SURFACE_NAMES, keep_subset, label_dictionary, label_stats, nan_stats, normalize_vectors
 
 NAMES = ["n_chars", "n_letters", "n_upper", "n_digits", "n_brackets", "n_bonds", "n_distinct", "entropy"]
 
@@ -76,6 +76,23 @@ def flt_keep_subset(spark, sf_dir):
     return kept.select("label_idx", "label_name", F.round("std", 6).alias("std"))
 
 
+SURFACE_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(SURFACE_NAMES[:2]))
+
+
+@check(
+    "flt_keep_surface",
+    f"""
+    SELECT s.label_idx, v.name AS label_name, round(std, 6) AS std
+    FROM ({NUMBER_STATS_SQL}) s JOIN (VALUES {SURFACE_SQL}) v(label_idx, name) USING (label_idx)
+    """,
+)
+def flt_keep_surface(spark, sf_dir):
+    # The first two numbers go by the names of surface labels; the others keep their own.
+    df, names = _numbers(spark, sf_dir)
+    kept = keep_subset(label_stats(df, "labels", [*SURFACE_NAMES[:2], *names[2:]]), "surface")
+    return kept.select("label_idx", "label_name", F.round("std", 6).alias("std"))
+
+
 def _with_vec(numbers):
     df, names = numbers
     return df, "labels", names

@@ -110,7 +110,7 @@ PROPERTY_SQL = f"""
 
 
 def _property_files(spark, sf_dir):
-    return feature_job(texts(spark, sf_dir), "text", text_features(F.col("text")))
+    return feature_job(texts(spark, sf_dir), "text", text_features(F.col("text")), new_path(spark, "features"))
 
 
 def _property_totals(spark, sf_dir):

@@ -11,7 +11,7 @@ from moltable.operators.prepare import dedup_first, keep_labels, sample_rows
 from moltable.operators.splits import select_split
 from moltable.operators.stats import apply_transform, label_stats
 from moltable.operators.validate import check_arity, check_task, require_columns, resolve_labels
-from moltable.runtime import new_path
+from moltable.runtime import committed
 from moltable.sources.readers import read_properties
 from moltable.sources.writers import write_normalization, write_properties
 
@@ -53,13 +53,18 @@ def prepare(df: DataFrame, spec: TrainingSet, assignment: DataFrame | None = Non
     return sample_rows(out, spec.sample_size, spec.id_col, spec.seed)
 
 
-def feature_job(df: DataFrame, text_col: str, features: dict[str, Column], parsable: Column | None = None) -> tuple[str, str]:
-    """Property records and normalization values of a table; returns the paths of both.
+def feature_job(
+    df: DataFrame, text_col: str, features: dict[str, Column], folder: str, parsable: Column | None = None
+) -> tuple[str, str]:
+    """Property records and normalization values of a table, below ``folder``; returns the paths of both.
 
-    Features are computed once and written as the property records; statistics are read from those.
+    Features are computed once and written as the property records; statistics are read from those. ``folder`` appears
+    when both are complete; a job that fails leaves nothing.
     """
     spark = df.sparkSession
-    properties, normalization = new_path(spark, "properties"), new_path(spark, "normalization")
-    write_properties(feat.feature_table(df.select(text_col), text_col, features, parsable), properties, text_col)
-    write_normalization(label_stats(read_properties(spark, properties), "labels", feat.feature_names(features)), normalization)
-    return properties, normalization
+    with committed(spark, folder) as draft:
+        properties = f"{draft}/properties"
+        write_properties(feat.feature_table(df.select(text_col), text_col, features, parsable), properties, text_col)
+        stats = label_stats(read_properties(spark, properties), "labels", feat.feature_names(features))
+        write_normalization(stats, f"{draft}/normalization")
+    return f"{folder}/properties", f"{folder}/normalization"

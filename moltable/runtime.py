@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def committed(spark: SparkSession, path: str) -> Iterator[str]:
+    """A new path beside ``path`` to write to; it becomes ``path`` by one rename when the block ends.
+
+    Until then ``path`` does not exist, so no reader sees a part of a result. If the block fails, what it has written is
+    removed. An existing ``path`` is an error.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, draft = files.Path(path), f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise FileExistsError(path)
+    try:
+        yield draft
+        if not system.rename(files.Path(draft), target):
+            raise OSError(f"cannot rename {draft!r} to {path!r}")
+    except BaseException:
+        system.delete(files.Path(draft), True)
+        raise

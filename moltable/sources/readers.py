@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moltable.operators.index import with_file_index
+
 LOADERS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "txt": "text"}  # suffix to format
 
 PROPERTY_SCHEMA = T.StructType(
@@ -25,6 +27,7 @@ SPLIT_ROWS_SCHEMA = T.StructType(
         T.StructField("pos_in_split", T.LongType()),
     ]
 )
+MAX_LISTS = 1000  # keys of a split record
 NORMALIZATION_SCHEMA = T.StructType(
     [
         T.StructField("mean", T.ArrayType(T.DoubleType())),
@@ -83,14 +86,31 @@ def split_record_path(data_path: str) -> str:
 
 
 def read_split_record(spark: SparkSession, data_path: str) -> DataFrame:
-    """The record beside a data file, one JSON object of three position lists, as rows."""
+    """The record beside a data file, one JSON object of three position lists, as (split, pos_in_split, row_idx).
+
+    The object may be of any size: it is read by as many tasks as its bytes ask for, and places in the lists follow from the
+    rows before each. The driver gets the names of the lists.
+    """
     path = split_record_path(data_path)
     try:
-        record = spark.read.schema(SPLIT_SCHEMA).json(path, multiLine=True)
+        # A list is cut at its commas, so a task reads a part of the file and a row is one position.
+        scan = spark.read.text(path, lineSep=",")
     except AnalysisException as e:
         raise FileNotFoundError(f"no split record {path!r} for {data_path!r}") from e
-    lists = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("ids")) for s in SPLIT_SCHEMA.names]))
-    return record.select(lists.alias("l")).select("l.split", F.posexplode("l.ids").alias("pos_in_split", "row_idx"))
+    cells = with_file_index(scan, "at")
+    opening = cells.where(F.contains("value", F.lit('"'))).select("at", F.regexp_extract("value", r'"([^"]*)"\s*:\s*(\[?)', 1).alias("name"))
+    opening = opening.orderBy("at").limit(MAX_LISTS + 1).collect()
+    if len(opening) > MAX_LISTS:
+        raise ValueError(f"{path!r} is no record of position lists")
+    split, start = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for mark in opening:
+        split = F.when(F.col("at") >= mark["at"], F.lit(mark["name"])).otherwise(split)
+        start = F.when(F.col("at") >= mark["at"], F.lit(mark["at"])).otherwise(start)
+    number = F.regexp_extract("value", r"(-?\d+|null)[\]}\s]*$", 1)
+    rows = cells.select(split.alias("split"), (F.col("at") - start).alias("pos_in_split"), number.alias("n"), "value")
+    empty = (F.col("n") == "") | F.col("value").rlike(r'"\s*:\s*null')
+    listed = rows.where(F.col("split").isin(SPLIT_SCHEMA.names) & ~empty)
+    return listed.select("split", "pos_in_split", F.when(F.col("n") != "null", F.col("n").cast("bigint")).alias("row_idx"))
 
 
 def read_split_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moltable.runtime import committed
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, quote='"', escape='"').csv(path)
@@ -26,5 +28,9 @@ def write_normalization(stats: DataFrame, path: str) -> None:
 
 
 def write_splits(assignment: DataFrame, path: str) -> None:
-    """Positions as rows under splitter=…/fold=…; a list in one JSON object would pass through one task."""
-    assignment.write.partitionBy("splitter", "fold").json(path)
+    """Positions as rows under splitter=…/fold=…; a list in one JSON object would pass through one task.
+
+    Tasks commit their files one by one, and ``path`` appears only once all have: a job that fails leaves nothing.
+    """
+    with committed(assignment.sparkSession, path) as draft:
+        assignment.write.partitionBy("splitter", "fold").json(draft)

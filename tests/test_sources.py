@@ -2,6 +2,7 @@ import json
 import warnings
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from moltable.operators import validate
@@ -151,3 +152,47 @@ def test_stage_is_under_the_shared_folder(spark):
     path = new_path(spark, "x")
     assert path.startswith(shared_folder(spark)) and path != new_path(spark, "x")
     assert stage(spark.range(3), "ids").count() == 3
+
+
+def test_split_record_of_many_positions(spark, tmp_path):
+    """Cut into several tasks, with every form a JSON writer may give it."""
+    lists = {"train": [7 * i for i in range(300_000)], "other": [1, 2], "val": [], "test": [-1, None, 5]}
+    path = tmp_path / "big_0.scaffold_splits.json"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for indent in (None, 1):
+            path.write_text(json.dumps(lists, indent=indent))
+            assert spark.read.text(str(path), lineSep=",").rdd.getNumPartitions() > 3
+            got = [tuple(r) for r in readers.read_split_record(spark, str(tmp_path / "big.csv")).collect()]
+            want = [(s, at, x) for s in ("train", "test") for at, x in enumerate(lists[s])]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for odd, want in (('{"train": null, "val": [ 3 ]}', [("val", 0, 3)]), ("{}", []), ('{"test":[4\n,\n5]\n}\n', [("test", 0, 4), ("test", 1, 5)])):
+        path.write_text(odd)
+        assert sorted(map(tuple, readers.read_split_record(spark, str(tmp_path / "big.csv")).collect())) == want
+
+
+def test_sinks_leave_nothing_when_they_fail(spark, tmp_path):
+    from moltable.plans.prepare import feature_job
+    from moltable.sources.writers import write_splits
+
+    rows = spark.range(100).select(
+        F.lit("random").alias("splitter"), F.lit(0).alias("fold"), F.lit("train").alias("split"), F.col("id").alias("row_idx"), F.col("id").alias("pos_in_split")
+    ).repartition(4)
+    broken = rows.withColumn("row_idx", F.when(F.col("row_idx") == 77, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("row_idx")))
+    with pytest.raises(PySparkException, match="lost"):
+        write_splits(broken, str(tmp_path / "splits"))
+    text = F.col("row_idx").cast("string")
+    with pytest.raises(PySparkException, match="lost"):
+        feature_job(broken.select(text.alias("t")), "t", {"n": F.length("t").cast("double")}, str(tmp_path / "features"))
+    assert list(tmp_path.iterdir()) == []
+    write_splits(rows, str(tmp_path / "splits"))
+    assert readers.read_split_rows(spark, str(tmp_path / "splits")).count() == 100
+    with pytest.raises(FileExistsError):
+        write_splits(rows, str(tmp_path / "splits"))
+    paths = feature_job(rows.select(text.alias("t")), "t", {"n": F.length("t").cast("double")}, str(tmp_path / "features"))
+    assert readers.read_properties(spark, paths[0]).count() == 100
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["features", "splits"]
