@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, table, texts
 from moltable.operators.features import feature_table, pick_variant, text_features
-from moltable.operators.stats import SURFACE_NAMES, keep_subset, label_dictionary, label_stats, nan_stats, normalize_vectors
+from moltable.operators.stats import (
+    SURFACE_NAMES,
+    append_moments,
+    keep_subset,
+    label_dictionary,
+    label_stats,
+    merged_moments,
+    nan_stats,
+    normalize_by,
+    normalize_vectors,
+)
+from moltable.runtime import new_path
 
 NAMES = ["n_chars", "n_letters", "n_upper", "n_digits", "n_brackets", "n_bonds", "n_distinct", "entropy"]
 
@@ -121,6 +132,38 @@ def agg_nanstats(spark, sf_dir):
     return stats.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@check(
+    "agg_moments_merged",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM lineitem"
+        for c in LINEITEM_FLOATS
+    ),
+)
+def agg_moments_merged(spark, sf_dir):
+    """The table arrives in three lots; each adds its own moments to the stored ones."""
+    path, items = new_path(spark, "moments"), table(spark, sf_dir, "lineitem")
+    for lot in range(3):
+        append_moments(items.where(F.col("l_orderkey") % 3 == lot), path)
+    merged = merged_moments(spark.read.parquet(path))
+    return merged.select("column", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@check(
+    "fn_zscore_stored",
+    """
+    SELECT event_id, round((value - m) / d, 6) AS value
+    FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS d FROM events WHERE event_id % 4 < 2)
+    """,
+)
+def fn_zscore_stored(spark, sf_dir):
+    """All rows on the scale of the half that was there before."""
+    path, events = new_path(spark, "moments"), table(spark, sf_dir, "events").select("event_id", "value")
+    for lot in range(2):
+        append_moments(events.where(F.col("event_id") % 4 == lot), path)
+    scaled = normalize_by(events, merged_moments(spark.read.parquet(path)))
+    return scaled.select("event_id", F.round("value", 6).alias("value"))
+
+
 CELLS_SQL = """
     SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings
 """

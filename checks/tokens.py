@@ -235,6 +235,35 @@ def tok_pad_batch(spark, sf_dir):
     return padded.select("doc_id", "pad_len", *_checksum(tk.pad_to(F.col("ids"), F.col("pad_len"), PAD)))
 
 
+BUCKET_SQL = f"""
+    SELECT doc_id, k, batch, max(size) OVER (PARTITION BY batch) AS pad_len
+    FROM (SELECT *, (row_number() OVER (ORDER BY size, doc_id) - 1) // {BATCH} AS batch
+          FROM (SELECT doc_id, len({WORDS}) + 2 AS k, (ceil((len({WORDS}) + 2) / 8) * 8)::INTEGER AS size FROM documents))
+"""
+
+
+@check("tok_pad_bucketed", f"SELECT doc_id, batch, pad_len FROM ({BUCKET_SQL})")
+def tok_pad_bucketed(spark, sf_dir):
+    return tk.bucketed_batches(_whole(spark, sf_dir), "ids", BATCH, "doc_id").select("doc_id", "batch", "pad_len")
+
+
+@check(
+    "tok_padding_share",
+    f"""
+    SELECT 'bucketed' AS how, round(1 - sum(k) / sum(pad_len), 6) AS share FROM ({BUCKET_SQL})
+    UNION ALL SELECT 'consecutive', round(1 - sum(len({WORDS}) + 2) / sum(pad_len), 6) FROM documents JOIN ({PAD_SQL}) ON b = doc_id // {BATCH}
+    """,
+)
+def tok_padding_share(spark, sf_dir):
+    whole = _whole(spark, sf_dir)
+    batched = {
+        "bucketed": tk.bucketed_batches(whole, "ids", BATCH, "doc_id"),
+        "consecutive": tk.with_batch_length(whole, "ids", BATCH, "doc_id"),
+    }
+    shares = [tk.padding_share(df, "ids").select(F.lit(how).alias("how"), F.round("share", 6).alias("share")) for how, df in batched.items()]
+    return shares[0].unionByName(shares[1])
+
+
 @check(
     "tok_pad_max",
     f"""

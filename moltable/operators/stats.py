@@ -62,6 +62,51 @@ def normalize(df: DataFrame, fit_on: DataFrame | None = None, columns: list[str]
     return df.withColumn("_stats", fitted.scalar()).withColumns(scored).drop("_stats")
 
 
+def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, n, mean, m2) of the float columns: count, mean and sum of squared deviations of what is not missing.
+
+    Such rows of several tables are merged by ``merged_moments`` into those of all of them.
+    """
+    columns = float_columns(df) if columns is None else columns
+    cells = []
+    for c in columns:
+        x = nan_to_null(F.col(c).cast("double"))
+        parts = (F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
+        cells.append(F.struct(F.lit(c).alias("column"), *parts))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def append_moments(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Add the moments of new rows to those stored at ``path``; what was stored before is not read."""
+    moments(df, columns).write.mode("append").parquet(path)
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """(column, n, mean, std) of all rows whose moments ``parts`` holds, scaled as ``nan_stats`` does.
+
+    Deviations of the parts are taken from the mean of all, so nothing is lost where means are large against them. As
+    small as the number of parts times that of the columns.
+    """
+    held = parts.where("n > 0")
+    whole = held.groupBy("column").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    apart = held.join(whole.select("column", F.col("mean").alias("all")), "column")
+    off = F.col("mean") - F.col("all")
+    squares = apart.groupBy("column").agg(F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
+    known = whole.join(squares, "column").select("column", "n", "mean", _usable_std(F.sqrt(F.col("m2") / F.col("n"))).alias("std"))
+    empty = parts.groupBy("column").agg(F.sum("n").alias("n")).where("n = 0")
+    return known.unionByName(empty.select("column", "n", F.lit(float("nan")).alias("mean"), F.lit(1.0).alias("std")))
+
+
+def normalize_by(df: DataFrame, stats: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """z-scores of float columns, scaled by a (column, mean, std) table such as ``merged_moments`` gives."""
+    columns = float_columns(df) if columns is None else columns
+    if not columns:
+        return df
+    fitted = stats.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std")))))  # a row per column
+    scored = {c: zscore(F.col(c).cast("double"), F.col("_stats")[c]["mean"], F.col("_stats")[c]["std"]) for c in columns}
+    return df.withColumn("_stats", fitted.scalar()).withColumns(scored).drop("_stats")
+
+
 def log_transform(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """log(1+x) of all float columns."""
     columns = float_columns(df) if columns is None else columns

@@ -13,12 +13,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltable.operators.index import digest_number, seeded_digest
+from moltable.operators.index import digest_number, seeded_digest, with_running
 from moltable.operators.vocab import Vocabulary, pretokenize
 from moltable.runtime import stage
 
 PAD_MULTIPLE = 8  # padded lengths are multiples of this
 IGNORE_INDEX = -100  # fixed value: label of positions the loss leaves out
+BLOCK_ROWS = 1_000_000  # positions ordered by one task
 CACHED_PIECES = 200_000  # encoded pieces a task remembers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -149,6 +150,28 @@ def with_batch_length(df: DataFrame, ids_col: str, batch_rows: int, row_col: str
     return df.withColumn("pad_len", round_up(F.max(F.size(ids_col)).over(batch)))
 
 
+def bucketed_batches(df: DataFrame, ids_col: str, batch_rows: int, row_col: str = "row_idx") -> DataFrame:
+    """Add ``batch`` and ``pad_len`` of batches of rows of like length: exactly ``batch_rows`` each, the last one fewer.
+
+    Rows are ordered by their padded length, then by position. Numbers of the batches follow from running counts over
+    blocks of that order, blocks being ranges of positions of one length, so a length that most rows have is many
+    blocks. Only lengths and positions are ordered; the lists move once, when the batches are joined to them. ``row_col``
+    must be unique.
+    """
+    sizes = df.select(F.col(row_col).alias("_row"), round_up(F.size(ids_col)).alias("_size"))
+    block = F.struct("_size", F.expr(f"_row div {BLOCK_ROWS}").alias("range"))
+    placed = with_running(sizes, [], block, ["_row"], {"_at": ("sum", F.lit(1), False)})
+    placed = placed.select("_row", "_size", F.expr(f"_at div {batch_rows}").alias("batch"))
+    longest = placed.groupBy("batch").agg(F.max("_size").alias("pad_len"))
+    batches = placed.join(longest, "batch").select(F.col("_row").alias(row_col), "batch", "pad_len")
+    return df.join(batches, row_col)
+
+
+def padding_share(batched: DataFrame, ids_col: str) -> DataFrame:
+    """(share): that of padding among all cells of batches with their ``pad_len``."""
+    return batched.agg((1 - F.sum(F.size(ids_col)) / F.sum("pad_len")).alias("share"))
+
+
 def attention_mask(ids: Column, length: Column | int) -> Column:
     """1 for tokens, 0 for padding, from ids without padding."""
     length = F.lit(length) if isinstance(length, int) else length

@@ -155,3 +155,13 @@ def test_trained_encoding_query(spark, data):
         ids = public.encode(text, add_special_tokens=False).ids
         want[i] = (len(ids), sum(x * (at + 1) for at, x in enumerate(ids)))
     assert got == want
+
+
+def test_bucketed_batches(spark, monkeypatch):
+    monkeypatch.setattr(tk, "BLOCK_ROWS", 7)
+    lengths = [random.Random(1).choice([3, 3, 3, 9, 40, 200]) for _ in range(101)]
+    got = {r.row_idx: r for r in tk.bucketed_batches(_ids(spark, lengths).repartition(4), "ids", 10).collect()}
+    order = sorted(range(101), key=lambda i: (-(-lengths[i] // 8), i))
+    for at, i in enumerate(order):
+        batch = order[at // 10 * 10 : at // 10 * 10 + 10]
+        assert (got[i].batch, got[i].pad_len, len(got[i].ids)) == (at // 10, max(-(-lengths[j] // 8) * 8 for j in batch), lengths[i])

@@ -113,3 +113,19 @@ def test_normalize_text_vectors(spark):
     df = spark.createDataFrame([(["5", "7", ""],), (["inf", "7", "3"],), (["3"],)], "v array<string>")
     out = [r.v for r in stats.normalize_vectors(df, "v", kept).collect()]
     assert out == [[2.0, 0.0], [-0.5, 3.0], [1.0]]
+
+
+def test_moments_merge_as_one_pass(spark):
+
+
+    rows = spark.range(3000).select((F.lit(1e6) + F.sin(F.col("id").cast("double"))).alias("x"), F.when(F.col("id") % 7 != 0, F.col("id") * 0.5).alias("y"))
+    rows = rows.withColumns({"z": F.lit(None).cast("double"), "same": F.lit(2.5), "nan": F.when(rows.x > 1e6, F.lit(float("nan"))).otherwise(F.col("id") % 5 * 1.0)})
+    lots = [rows.where(F.floor(F.col("x") * 100) % 3 == lot) for lot in range(3)] + [rows.where("false")]
+    parts = stats.moments(lots[0])
+    for lot in lots[1:]:
+        parts = parts.unionByName(stats.moments(lot))
+    merged = {r["column"]: r for r in stats.merged_moments(parts).collect()}
+    for r in stats.nan_stats(rows).collect():
+        got = merged.pop(r["column"])
+        assert got["mean"] == pytest.approx(r["mean"], rel=1e-9, nan_ok=True) and got["std"] == pytest.approx(r["std"], rel=1e-9)
+    assert not merged
