@@ -52,7 +52,7 @@ def _reduced(table: pa.Table | pa.RecordBatch, keys: list[str], how: str) -> pa.
 def aggregate_vectors(df: DataFrame, keys: list[str], dim: int, how: str) -> DataFrame:
     """(keys, vec): the element-wise ``sum`` or ``max`` of vectors of ``dim`` elements per key; a null element is left out.
 
-    One plan for any width: a task reduces the rows of each Arrow batch first, so what is shuffled is a row per key and
+    The rows of one value of the first key, a sequence, meet in one group. One plan for any width: a task reduces the rows of each Arrow batch first, so what is shuffled is a row per key and
     batch, never one per element, and the generated code does not grow with the vectors.
     """
     cells = df.select(*keys, of_size(F.col("vec"), dim).cast("array<double>").alias("vec"))
@@ -66,7 +66,7 @@ def aggregate_vectors(df: DataFrame, keys: list[str], dim: int, how: str) -> Dat
     def finally_(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_reduced(table, keys, how)])
 
-    return cells.mapInArrow(partly, schema).groupBy(*keys).applyInArrow(finally_, schema)
+    return cells.mapInArrow(partly, schema).groupBy(keys[0]).applyInArrow(finally_, schema)
 
 
 def pool(states: DataFrame, how: str, dim: int, n_layers: int, last_k: int = 8) -> DataFrame:
