@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltable.runtime import stage
 
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20  # the fixed base rules
-SKETCH_K = 2048  # rank error of a sketch: about a thousandth
+GAMMA = 1.01  # a sketch's buckets end at its powers: a quantile is within half a percent of a value of that rank
+ZERO = -(2**31)  # the bucket of zeros
 FENCE = 3.0  # interquartile ranges beyond the quartiles
 PRIOR_DOCS = 200  # weight of the language's quantiles against those of one of its sources
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
@@ -68,27 +70,63 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
+def bucket(value: Column) -> Column:
+    """The bucket of a value: the least power of ``GAMMA`` that is no smaller."""
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(GAMMA))).cast("int")).otherwise(F.lit(ZERO))
+
+
+def bucket_value(number: Column) -> Column:
+    """The value that is nearest, in proportion, to both ends of a bucket."""
+    return F.when(number > ZERO, F.pow(F.lit(GAMMA), number) * F.lit(2 / (1 + GAMMA))).otherwise(F.lit(0.0))
+
+
+def sketches(stats: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): the quantile sketches of each language and source.
+
+    A sketch counts values by buckets of equal proportion. Tasks count first, so a group, however large, costs each task some
+    thousand rows at most. Counts are whole numbers: sketches that are merged, in any order, are the sketch of all values.
+    """
+    cells = [F.struct(F.lit(m).alias("measure"), bucket(F.expr(e)).alias("bucket")) for m, (e, *_) in MEASURES.items()]
+    each = stats.select("lang", "source", F.inline(F.array(*cells)))
+    return each.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ``keys``: ``n`` and, of each measure, ``<measure>_25`` and ``<measure>_75``.
+
+    A quartile is the value of the first bucket up to which lies at least that part of the group, in whole numbers.
+    """
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "measure")
+    upto = F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = merged.withColumns({"upto": upto, "all": F.sum("n").over(whole)})
+    columns = [F.max("all").alias("n")]
+    for measure in MEASURES:
+        for part in (1, 3):
+            reached = (F.col("measure") == measure) & (4 * F.col("upto") >= part * F.col("all"))
+            columns.append(bucket_value(F.min(F.when(reached, F.col("bucket")))).alias(f"{measure}_{25 * part}"))
+    return ranked.groupBy(*keys).agg(*columns)
+
+
 def fences(stats: DataFrame) -> DataFrame:
     """One row per (lang, source): ``<measure>_low`` and ``<measure>_high`` for each measure.
 
-    A group's values go into quantile sketches, which tasks build and merge, so a hot group costs a sketch per task. The
-    sketches of a language's sources are merged into the language's. A group's quartiles are drawn towards the
-    language's by ``PRIOR_DOCS`` documents, so small groups follow their language.
+    The sketches of a language's sources are merged into the language's. A group's quartiles are drawn towards the
+    language's by ``PRIOR_DOCS`` documents, so small groups follow their language. Fences depend on the documents
+    alone, not on their order, their partitions or a task that ran twice.
     """
-    sketches = [F.kll_sketch_agg_double(F.expr(e), SKETCH_K).alias(m) for m, (e, *_) in MEASURES.items()]
-    groups = stage(stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches), "quantile-sketches")
-    merged = groups.groupBy("lang").agg(*[F.kll_merge_agg_double(m).alias(f"{m}_of_lang") for m in MEASURES])
-    both = groups.alias("g").join(merged.alias("l"), F.expr("g.lang <=> l.lang"))
+    sketch = stage(sketches(stats.where("not base_failed")), "quantile-sketches")
+    both = quartiles(sketch, ["lang", "source"]).alias("g").join(quartiles(sketch, ["lang"]).alias("l"), F.expr("g.lang <=> l.lang"))
     columns = []
     for measure, (_, slack, *_, low_too) in MEASURES.items():
 
-        def quartile(rank: float, m: str = measure) -> Column:
-            own, parent = (F.kll_sketch_get_quantile_double(c, F.lit(rank)) for c in (m, f"{m}_of_lang"))
-            return (F.col("n") * own + PRIOR_DOCS * parent) / (F.col("n") + PRIOR_DOCS)
+        def quartile(percent: int, m: str = measure) -> Column:
+            own, parent = F.col(f"g.{m}_{percent}"), F.col(f"l.{m}_{percent}")
+            return (F.col("g.n") * own + PRIOR_DOCS * parent) / (F.col("g.n") + PRIOR_DOCS)
 
-        reach = FENCE * (quartile(0.75) - quartile(0.25)) + slack
-        low = quartile(0.25) - reach if low_too else F.lit(-1.0)
-        columns += [low.alias(f"{measure}_low"), (quartile(0.75) + reach).alias(f"{measure}_high")]
+        reach = FENCE * (quartile(75) - quartile(25)) + slack
+        low = quartile(25) - reach if low_too else F.lit(-1.0)
+        columns += [low.alias(f"{measure}_low"), (quartile(75) + reach).alias(f"{measure}_high")]
     return both.select(F.col("g.lang").alias("_lang"), F.col("g.source").alias("_source"), *columns)
 
 

@@ -410,6 +410,47 @@ def test_quality_rules(spark, data, documents, odd, none):
     assert sum(clean) >= 0.99 * len(clean)
 
 
+def test_fences_by_plain_program(documents, odd):
+    rows = thresholds.quality_rules(documents.unionByName(odd, allowMissingColumns=True)).collect()
+    passed, value = [r for r in rows if not r["base_failed"]], {}
+    for r in passed:
+        n = r["n_words"]
+        shares = (r["word_chars"] / n, r["n_symbols"] / n, r["n_dup_lines"] / r["n_lines"], r["n_repeat_words"] / n)
+        value[id(r)] = dict(zip(thresholds.MEASURES, shares, strict=True))
+
+    def quartile(of, measure, part):
+        at = sorted(value[id(r)][measure] for r in of)[-(-part * len(of) // 4) - 1]
+        return 2 / (1 + 1.01) * 1.01 ** np.ceil(np.log(at) / np.log(1.01)) if at > 0 else 0.0
+
+    fences = {}
+    for lang, source in {(r["lang"], r["source"]) for r in passed}:
+        parent = [r for r in passed if r["lang"] == lang]
+        own = [r for r in parent if r["source"] == source]
+        for m, (_, slack, *_, low_too) in thresholds.MEASURES.items():
+            q1, q3 = ((len(own) * quartile(own, m, p) + 200 * quartile(parent, m, p)) / (len(own) + 200) for p in (1, 3))
+            reach = 3 * (q3 - q1) + slack
+            fences[lang, source, m] = (q1 - reach if low_too else -1.0, q3 + reach)
+    broken = 0
+    for r in passed:
+        want = []
+        for m, (_, _, noise, base, _) in thresholds.MEASURES.items():
+            low, high = fences[r["lang"], r["source"], m]
+            spread = noise / max(r[base], 1) ** 0.5
+            if not low - spread <= value[id(r)][m] <= high + spread:
+                want.append(m)
+        assert r["broken"] == want and r["kept"] == (not want)
+        broken += bool(want)
+    assert broken
+
+
+def test_fences_do_not_depend_on_the_run(documents):
+    stats = documents.withColumn("base_failed", F.lit(False)).withColumns(
+        {c: F.abs(F.xxhash64("doc_id", F.lit(c))) % 50 + 1 for c in thresholds.STATS}
+    )
+    one, *others = (sorted(map(repr, thresholds.fences(stats.repartition(k)).collect())) for k in (1, 3, 17))
+    assert one and all(o == one for o in others)
+
+
 # 4
 def test_line_model(spark, data, odd, none):
     larger = f"{data}/../sf0.01"  # the smallest tables have a dozen bad documents
