@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.features import CELLS_SQL
-from checks.registry import check, table
+from checks.registry import SQL, check, table
 from moltable.operators import metrics as m
 from moltable.operators import runs
 from moltable.runtime import new_path
 from moltable.sources.readers import list_logs, read_log_lines
-from moltable.streaming.logs import latest_table, stream_best_validation
+from moltable.streaming.logs import latest_log_table, latest_table, stream_best_validation, stream_log_state
 
 
 @check(
@@ -227,6 +227,14 @@ def log_table(spark, sf_dir):
     return made.select("file", *[F.round(c, 6).alias(c) for c in LOG_COLUMNS])
 
 
+@check("stream_log_table", SQL["log_table"])
+def stream_log_table(spark, sf_dir):
+    folder, out = metric_logs(spark, sf_dir), new_path(spark, "state")
+    stream_log_state(spark, folder, out, new_path(spark, "progress")).awaitTermination()
+    made = latest_log_table(spark, out, list_logs(spark, folder))
+    return made.select("file", *[F.round(c, 6).alias(c) for c in LOG_COLUMNS])
+
+
 def _run_logs(spark, sf_dir):
     """A log per labelled document: its lines and a closing line that depends on its source."""
     docs = table(spark, sf_dir, "documents")

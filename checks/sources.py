@@ -14,7 +14,14 @@ from moltable.operators.splits import random_kfold, splits_from_files
 from moltable.operators.validate import check_arity, check_task, require_columns, resolve_labels
 from moltable.plans.prepare import feature_job
 from moltable.runtime import new_path
-from moltable.sources.catalog import budget_plan, with_table_counts
+from moltable.sources.catalog import (
+    BENCHMARK_CLASSIFICATION,
+    BENCHMARK_REGRESSION,
+    TASK_ADAPTATION,
+    budget_plan,
+    dataset_catalog,
+    with_table_counts,
+)
 from moltable.sources.readers import (
     combine_tables,
     read_csv,
@@ -309,6 +316,32 @@ def src_catalog(spark, sf_dir):
     return _counted_catalog(spark, sf_dir).select("name", "task", "n_tasks", "n_rows")
 
 
+# The documents are dealt to the datasets of the shipped catalog, in the order of their names.
+SHIPPED = sorted([*BENCHMARK_CLASSIFICATION, *BENCHMARK_REGRESSION, *TASK_ADAPTATION])
+SHIPPED_VALUES = ", ".join(
+    f"({i}, '{n}', '{'classification' if n in BENCHMARK_CLASSIFICATION else 'regression'}', {BENCHMARK_CLASSIFICATION.get(n, 1)}, "
+    f"{'false' if n in BENCHMARK_CLASSIFICATION else 'true'}, '{'task_adaptation' if n in TASK_ADAPTATION else 'benchmark'}')"
+    for i, n in enumerate(SHIPPED)
+)
+
+
+@check(
+    "src_catalog_shipped",
+    f"""
+    SELECT name, task, n_tasks, apply_transforms, kind, count(doc_id) AS n_rows, coalesce(sum(length(text)), 0)::BIGINT AS n_chars
+    FROM (VALUES {SHIPPED_VALUES}) c (i, name, task, n_tasks, apply_transforms, kind) LEFT JOIN documents ON doc_id % {len(SHIPPED)} = i
+    GROUP BY ALL
+    """,
+)
+def src_catalog_shipped(spark, sf_dir):
+    """Rows and characters that each dataset of the shipped catalog holds; a dataset without rows stays."""
+    names = F.array(*map(F.lit, SHIPPED))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % len(SHIPPED)).cast("int").alias("at"), F.length("text").alias("size"))
+    held = docs.groupBy(F.get(names, F.col("at")).alias("name")).agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_chars"))
+    catalog = dataset_catalog(spark).select("name", "task", "n_tasks", "apply_transforms", "kind")
+    return catalog.join(held, "name", "left").fillna(0, ["n_rows", "n_chars"])
+
+
 @check(
     "agg_rowcount_plan",
     f"""

@@ -38,17 +38,21 @@ def _final(line: Column, metric: str) -> Column:
     return F.when(line.rlike(pattern), found)
 
 
+def _best_scores() -> list[Column]:
+    lowest = F.min(_number_after(F.col("value"), VALIDATION_RMS))
+    return [
+        F.max(_number_after(F.col("value"), VALIDATION_ROC)).alias("max_val_roc"),
+        F.when(lowest.isNotNull(), F.least(lowest, F.lit(MIN_START))).alias("min_val_rms"),
+    ]
+
+
 def best_validation(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """(file, max_val_roc, min_val_rms): the best validation scores of each log, from (file, value) lines.
 
     Lines whose number is not plain decimal are passed over; null if there is none. ``logs`` (file), as ``list_logs`` gives
     it, adds a row for each log without lines.
     """
-    lowest = F.min(_number_after(F.col("value"), VALIDATION_RMS))
-    best = lines.groupBy("file").agg(
-        F.max(_number_after(F.col("value"), VALIDATION_ROC)).alias("max_val_roc"),
-        F.when(lowest.isNotNull(), F.least(lowest, F.lit(MIN_START))).alias("min_val_rms"),
-    )
+    best = lines.groupBy("file").agg(*_best_scores())
     return best if logs is None else logs.select("file").join(best, "file", "left")
 
 
@@ -69,6 +73,24 @@ def final_results(lines: DataFrame) -> DataFrame:
     )
 
 
+def log_state(lines: DataFrame) -> DataFrame:
+    """All that the log table and the run status need of each log, in one pass: one row per log.
+
+    (file, max_val_roc, min_val_rms, final_roc, final_rms, final_roc_std, final_rms_std, succeeded, failed). Every column is a
+    mergeable aggregate, so ``lines`` may also be a stream, whose state is that row. Batch reports over all lines are
+    cheaper by ``log_table`` and ``run_status``, which keep only final lines whole.
+    """
+    state = lines.groupBy("file").agg(
+        *_best_scores(),
+        _first_final("mean-roc_auc_score").alias("roc"),
+        _first_final("rms_score").alias("rms"),
+        _holds(SUCCESS_PHRASES).alias("succeeded"),
+        _holds(ERROR_PHRASES).alias("failed"),
+    )
+    finals = {f"final_{m}{end}": F.col(f"{m}.{s}").try_cast("double") for s, end in (("avg", ""), ("std", "_std")) for m in ("roc", "rms")}
+    return state.select("file", "max_val_roc", "min_val_rms", *[c.alias(n) for n, c in finals.items()], "succeeded", "failed")
+
+
 def log_table(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """One row per log and two AVERAGE rows, of values up to OUTLIER_ABOVE and of all; these have no deviations.
 
@@ -83,6 +105,11 @@ def log_table(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
         F.col("rms_std").alias("final_rms_std"),
     )
     per_file = best_validation(lines, logs).join(finals, "file", "left")
+    return with_averages(per_file)
+
+
+def with_averages(per_file: DataFrame) -> DataFrame:
+    """The rows of each log and the two AVERAGE rows of ``log_table``."""
     values = ["max_val_roc", "min_val_rms", "final_roc", "final_rms"]
     # The best values enter the averages as they are printed, with four decimals.
     per_file = per_file.withColumns({c: F.round(c, 4) for c in values[:2]})
@@ -119,21 +146,22 @@ def run_status(lines: DataFrame, expected: DataFrame, logs: DataFrame | None = N
     gives it, tells a log without lines from a missing one: UNKNOWN if it is empty, ERROR_READING_LOG if it has bytes
     and yet no line could be read (the reader must run with ``spark.sql.files.ignoreCorruptFiles``).
     """
+    seen = lines.groupBy("file").agg(_holds(SUCCESS_PHRASES).alias("succeeded"), _holds(ERROR_PHRASES).alias("failed"))
+    return status_of(seen, expected, logs)
+
+
+def _holds(phrases: list[str]) -> Column:
     line = F.lower("value")
+    hit = line.contains(phrases[0])
+    for p in phrases[1:]:
+        hit = hit | line.contains(p)
+    return F.max(hit)
 
-    def holds(phrases: list[str]) -> Column:
-        hit = line.contains(phrases[0])
-        for p in phrases[1:]:
-            hit = hit | line.contains(p)
-        return F.max(hit)
-
-    status = F.when(F.col("_ok"), "SUCCESS").when(F.col("_bad"), "FAILED").otherwise("UNKNOWN")
-    seen = (
-        lines.groupBy("file")
-        .agg(holds(SUCCESS_PHRASES).alias("_ok"), holds(ERROR_PHRASES).alias("_bad"))
-        .select("file", status.alias("status"))
-    )
-    found = expected.select("file").join(seen, "file", "left")
+
+def status_of(seen: DataFrame, expected: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """``run_status`` from the phrases seen in each log, (file, succeeded, failed)."""
+    status = F.when(F.col("succeeded"), "SUCCESS").when(F.col("failed"), "FAILED").otherwise("UNKNOWN")
+    found = expected.select("file").join(seen.select("file", status.alias("status")), "file", "left")
     without = F.lit("LOG_NOT_FOUND")
     if logs is not None:
         found = found.join(logs.select("file", "n_bytes"), "file", "left")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pathlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +146,26 @@ def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_log_lines`` as a stream of new files.
+
+    A trigger takes whole files, and a task reads a block of a file from its start, so numbering the lines of a task, which
+    streams have no expression for, sorts them as in the file, over all triggers.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
+        for batch in batches:
+            lines = pa.array(range(read, read + batch.num_rows), pa.int64())
+            yield batch.append_column("line", lines)
+            read += batch.num_rows
+
+    path, block = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    numbered = spark.readStream.text(f"{folder}/*.log").select(path, block, "value")
+    numbered = numbered.mapInArrow(number, "path string, block bigint, value string, line bigint")
+    return numbered.select(log_name(F.col("path")).alias("file"), F.struct("path", "block", "line").alias("line_at"), "value")
+
+
 def list_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.log`` of a folder as (file, n_bytes), also those without lines; no content is read.
 

@@ -11,7 +11,7 @@ from moltable.operators import runs
 from moltable.operators.pooling import POOLINGS, linear_merge, pool
 from moltable.operators.score import batch_map, linear_model, predict
 from moltable.sources import readers
-from moltable.streaming.logs import latest_table, stream_best_validation
+from moltable.streaming.logs import latest_log_table, latest_status, latest_table, stream_best_validation, stream_log_state
 
 
 def _scored(spark, data, task="t"):
@@ -142,6 +142,29 @@ def test_streamed_logs_grow(spark, tmp_path):
     assert sorted(map(tuple, latest_table(spark, out).collect())) == [("a", None, 2.5), ("b", 0.5, None)]
 
 
+def test_streamed_log_table_is_the_batch_one(spark, tmp_path):
+    folder, out, progress = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "progress")
+    triggers = [  # a log is a folder of parts, or one file
+        {"a.log/part-1": LOGS["a"].split("\n")[0] + "\n", "b.log/part-2": LOGS["b"], "d.log/part-0": LOGS["d"]},
+        {"a.log/part-3": "\n".join(LOGS["a"].split("\n")[4:]), "b.log/part-1": LOGS["b"].replace("11.0", "9.0").replace("20.25", "3.5")},
+        {"a.log/part-2": "\n".join(LOGS["a"].split("\n")[1:4]) + "\nTraining complete", "c.log": LOGS["c"] + "\nan Error"},
+    ]
+    expected = spark.createDataFrame([(n,) for n in "abcde"], "file string")
+    for files in triggers:
+        for name, text in files.items():
+            (folder / name).parent.mkdir(parents=True, exist_ok=True)
+            (folder / name).write_text(text)
+        stream_log_state(spark, str(folder), out, progress).awaitTermination()
+        lines = readers.read_log_lines(spark, str(folder))
+        assert sorted(map(repr, latest_log_table(spark, out).collect())) == sorted(map(repr, runs.log_table(lines).collect()))
+        got = latest_status(spark, out, expected)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, runs.run_status(lines, expected).collect()))
+    rows = {r.file: tuple(r)[1:5] for r in latest_log_table(spark, out).collect()}
+    assert rows["a"] == (0.75, None, 0.6, None) and rows["b"] == (None, 3.5, None, 9.0)
+    changed = {r.epoch: r.n for r in spark.read.parquet(out).groupBy("epoch").agg(F.count("*").alias("n")).collect()}
+    assert [n for _, n in sorted(changed.items()) if n] == [3, 2, 2]
+
+
 def _stop(values, patience):
     best, best_at, waited = None, None, 0
     for i, v in enumerate(values):
