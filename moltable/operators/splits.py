@@ -10,6 +10,7 @@ import math
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from moltable.operators.index import with_global_index, with_shuffled_index
 from moltable.runtime import stage
 
 HOLDOUT_FRACTION = 0.1  # share of rows that val, and likewise test, must hold exactly
-BLOCK_ROWS = 1_000_000  # row positions per block in the group split
+BLOCK_ROWS = 250_000  # groups per block in the group split
+KEPT_BLOCKS = 16  # blocks whose sizes the driver holds at a time, of 8 bytes a group
 
 
 class SplittingError(ValueError):
@@ -86,19 +88,54 @@ def _pass_of(rules: list[_Rule]) -> Column:
     return F.expr(f"CASE {taken} END" if rules else "CAST(NULL AS INT)")
 
 
-def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width: int) -> int:
+class _FreeGroups:
+    """What no pass has taken yet: sums of all blocks, and the sizes inside the few blocks that were looked into.
+
+    ``sums`` is (rows, least size) per block of ``width`` ranks, read from the groups once; every later change to it follows
+    from what a pass took. A block on the edge of a pass is read once, as one number per group in the order of ranks, 0 for
+    a group that is not free. At most KEPT_BLOCKS such blocks stay in memory; one that was let go is read again when needed.
+    """
+
+    def __init__(self, groups: DataFrame, capacity: int, width: int):
+        self.groups, self.width = groups.where(F.col("n") <= capacity), width
+        rows = self.groups.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least")).collect()
+        self.sums = {r["block"]: (r["rows"], r["least"]) for r in sorted(rows)}
+        self.inside: dict[int, np.ndarray] = {}
+
+    def sizes(self, block: int, rules: list[_Rule]) -> np.ndarray:
+        """The sizes of the free groups of a block, by rank."""
+        found = self.inside.pop(block, None)
+        if found is None:
+            free = self.groups.where((F.col("block") == block) & _pass_of(rules).isNull())
+            read = free.select((F.col("rank") - block * self.width).alias("at"), "n").toArrow()
+            found = np.zeros(self.width, np.int64)
+            found[read["at"].to_numpy()] = read["n"].to_numpy()
+            if len(self.inside) >= KEPT_BLOCKS:
+                self.inside.pop(next(iter(self.inside)))
+        self.inside[block] = found
+        return found
+
+    def take_whole(self, block: int) -> None:
+        del self.sums[block]
+        self.inside.pop(block, None)
+
+    def taken_inside(self, block: int) -> None:
+        left = self.inside[block][self.inside[block] > 0]
+        if len(left):
+            self.sums[block] = int(left.sum()), int(left.min())
+        else:
+            self.take_whole(block)
+
+
+def _fill(free: _FreeGroups, rules: list[_Rule], seq: int, capacity: int) -> int:
     """One greedy pass: in first-seen order take every unused group that still fits.
 
-    Appends the rules that describe what was taken and returns the capacity left. The driver sees
-    one summary row per block. Blocks that fit whole are taken whole, one whose smallest group is
-    too large is passed over; only a block on the edge is looked into. There, all groups up to the
+    Appends the rules that describe what was taken and returns the capacity left. Blocks that fit whole are taken whole, one
+    whose smallest group is too large is passed over; only a block on the edge is looked into. There, all groups up to the
     one that overflows are taken, and the search goes on behind it for groups no larger than the
-    remaining space.
+    remaining space. Each such group is smaller than the one before, so a block is walked a few times.
     """
-    free = groups.where(_pass_of(rules).isNull() & (F.col("n") <= capacity))
-    # One summary per ``width`` groups, however their ids are spread.
-    sums = free.groupBy("block").agg(F.sum("n").alias("rows"), F.min("n").alias("least")).collect()
-    left, whole_from = capacity, None
+    left, whole_from, end = capacity, None, 0
 
     def close(at: int) -> None:
         nonlocal whole_from
@@ -106,35 +143,31 @@ def _fill(groups: DataFrame, rules: list[_Rule], seq: int, capacity: int, width:
             rules.append(_Rule(seq, whole_from, at, capacity))
             whole_from = None
 
-    for block, rows, least in sorted(sums):
+    for block, (rows, least) in list(free.sums.items()):
         if left == 0:
             break
-        lo, end = block * width, (block + 1) * width
+        lo, end = block * free.width, (block + 1) * free.width
         if rows <= left:
             whole_from = lo if whole_from is None else whole_from
             left -= rows
+            free.take_whole(block)
             continue
         close(lo)
         if least > left:
             continue
-        inside = free.where(F.col("block") == block).select("block", "rank", "n")
-        so_far = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        while left > 0:
-            fits = inside.where((F.col("rank") >= lo) & (F.col("n") <= left)).withColumn(
-                "running", F.sum("n").over(so_far)
-            )
-            over = F.col("running") > left
-            taken, blocker = fits.agg(
-                F.max(F.when(~over, F.col("running"))), F.min(F.when(over, F.col("rank")))
-            ).first()
-            hi = end if blocker is None else blocker
-            if taken is not None:
-                rules.append(_Rule(seq, lo, hi, left))
-                left -= taken
-            if blocker is None:
-                break
-            lo = blocker + 1
-    close(end if whole_from is not None else 0)
+        sizes, at = free.sizes(block, rules), 0
+        while left > 0 and at < free.width:
+            fits = np.where(sizes[at:] <= left, sizes[at:], 0)
+            running = np.cumsum(fits)
+            blocker = int(np.searchsorted(running, left, side="right"))
+            taken = int(running[blocker - 1]) if blocker else 0
+            if taken:
+                rules.append(_Rule(seq, lo + at, lo + at + blocker, left))
+                sizes[at : at + blocker][fits[:blocker] > 0] = 0
+            left -= taken
+            at += blocker + 1
+        free.taken_inside(block)
+    close(end)
     return left
 
 
@@ -148,18 +181,20 @@ def group_kfold(
     Whether a group fits depends on every group before it, but the choice for val never looks at
     test. So a fold is two greedy passes, each described by a few rules on (rank, n), found from
     block sums (see ``_fill``). Groups are ranked by first position and blocks are ranges of ranks, so all
-    but the last have ``block_rows`` groups whatever the ids are. Keys travel as digests.
+    but the last have ``block_rows`` groups whatever the ids are. Block sums are read in one job for all folds, and so is each of
+    the few blocks on the edge of a pass; the driver holds no more. Keys travel as digests.
     """
     digest = F.sha2(F.col(key).cast("string"), 256)
     rows = df.select(F.col(id_col).alias("row_idx"), digest.alias("_key")).where("_key is not null")
     total = df.count()
     cutoff = math.floor(HOLDOUT_FRACTION * total)
-    ranked = with_global_index(group_map(rows, "_key"), ["first", "_key"], "rank")
-    groups = stage(ranked.withColumn("block", F.expr(f"rank div {block_rows}L")), "groups")
-    rules: list[_Rule] = []
+    found = stage(group_map(rows, "_key"), "groups")  # ranking reads it twice, and keys may be long texts
+    ranked = with_global_index(found, ["first", "_key"], "rank")
+    groups = ranked.withColumn("block", F.expr(f"rank div {block_rows}L"))  # read from a written table
+    free, rules = _FreeGroups(groups, cutoff, block_rows), []
     for fold in range(k):
         for offset in (0, 1):
-            left = _fill(groups, rules, 2 * fold + offset, cutoff, block_rows)
+            left = _fill(free, rules, 2 * fold + offset, cutoff)
             if left > 0:
                 message = (
                     f"fold {fold}: {left} of {cutoff} rows missing in {('val', 'test')[offset]}; "

@@ -65,6 +65,28 @@ def test_group_folds_equal_the_rule(spark, seed, block):
         assert _made(made, 2) == want
 
 
+def test_group_folds_with_blocks_let_go(spark, monkeypatch):
+    monkeypatch.setattr(sp, "KEPT_BLOCKS", 1)
+    rng = random.Random(11)
+    keys = [key for g in range(400) for key in [f"g{g}"] * rng.choice([1, 1, 2, 5, 8, 21])]
+    want, full = _greedy(keys, 3)
+    assert full
+    assert _made(sp.group_kfold(_frame(spark, keys), "key", 3, block_rows=20), 3) == want
+
+
+def test_group_folds_take_few_jobs(spark):
+    rng = random.Random(5)
+    keys = [key for g in range(3000) for key in [f"g{g}"] * rng.choice([1, 1, 2, 5, 8])]
+    rng.shuffle(keys)
+    df, context = _frame(spark, keys), spark.sparkContext
+    context.setJobGroup("folds", "folds")
+    made = sp.group_kfold(df, "key", 3)
+    jobs = len(context.statusTracker().getJobIdsForGroup("folds"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20, jobs  # each stage of an adaptive plan is one
+    assert _made(made, 3) == _greedy(keys, 3)[0]
+
+
 def test_group_larger_than_a_tenth_trains(spark):
     keys = ["big"] * 60 + [f"s{i}" for i in range(140)]
     made = sp.group_kfold(_frame(spark, keys), "key", 3)
