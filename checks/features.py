@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.registry import check, table, texts
-from moltable.operators.features import feature_table, pick_variant, text_features
+from moltable.operators.features import computed_features, feature_failures, feature_table, pick_variant, text_features
 from moltable.operators.stats import (
     SURFACE_NAMES,
     append_moments,
@@ -62,6 +62,53 @@ def udf_feature(spark, sf_dir):
     return made.select("doc_id", F.col("labels")[0].alias("n_chars"), F.col("labels")[1].alias("n_upper"))
 
 
+# A library that cannot handle every string, in SQL and in Python: bars must pair, and an address is refused.
+LIBRARY_FAILS = """
+    CASE WHEN text LIKE '%@%' THEN 'ValueError: an address is no structure'
+         WHEN (length(text) - length(replace(text, '|', ''))) % 2 = 1 THEN 'ArithmeticError: bars do not pair' END
+"""
+
+
+def _library(text):
+    if "@" in text:
+        raise ValueError("an address is no structure")
+    if text.count("|") % 2:
+        raise ArithmeticError("bars do not pair")
+    digits = sum(text.count(d) for d in "0123456789")
+    return [len(text), 1e300, digits, digits / len(text) if text else None]
+
+
+def _from_library(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return computed_features(docs, "text", _library, ["n_chars", "Ipc", "n_digits", "digit_share"])
+
+
+@check(
+    "feat_computed",
+    f"""
+    SELECT doc_id, error, CASE WHEN error IS NULL THEN length(text) ELSE 0 END::DOUBLE AS n_chars,
+           CASE WHEN error IS NULL THEN digits ELSE 0 END::DOUBLE AS n_digits,
+           round(CASE WHEN error IS NULL AND length(text) > 0 THEN digits / length(text) ELSE 0 END, 6)::DOUBLE AS digit_share
+    FROM (SELECT doc_id, text, {LIBRARY_FAILS} AS error, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits FROM documents)
+    """,
+)
+def feat_computed(spark, sf_dir):
+    made, cells = _from_library(spark, sf_dir), ["n_chars", "n_digits", "digit_share"]
+    cells = [F.round(F.col("labels")[i], 6).alias(n) for i, n in enumerate(cells)]
+    return made.select("doc_id", F.col("feature_error").alias("error"), *cells)
+
+
+@check(
+    "feat_failures",
+    f"""
+    SELECT error, count(*) AS n_rows, min(doc_id) AS first_id
+    FROM (SELECT doc_id, {LIBRARY_FAILS} AS error FROM documents) WHERE error IS NOT NULL GROUP BY error
+    """,
+)
+def feat_failures(spark, sf_dir):
+    return feature_failures(_from_library(spark, sf_dir), "doc_id")
+
+
 def _numbers(spark, sf_dir):
     """Numeric features of documents with one that never varies."""
     docs = table(spark, sf_dir, "documents")

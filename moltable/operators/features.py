@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 import warnings
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltable.functions.columns import nan_to_num
 from moltable.operators.index import seeded_digest
+from moltable.runtime import stage
 
 FORBIDDEN = ("Ipc",)  # fixed value: a descriptor whose size ruins every statistic
+HOT_SHARE = 0.001  # a string in a larger share of the rows is hot; there are less than 1 / HOT_SHARE of them
+
+# Tasks get these functions by value, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -54,6 +63,70 @@ def feature_table(
     return df.withColumn(name, F.when(parsable, cells).otherwise(zeros))
 
 
+def computed_features(
+    df: DataFrame,
+    text_col: str,
+    compute: Callable[[str], Sequence[float | None]],
+    features: list[str],
+    name: str = "labels",
+    error: str = "feature_error",
+) -> DataFrame:
+    """Add the features that plain Python computes from a string, each distinct string computed once, and why it failed.
+
+    ``compute`` stands for a chemistry library: it returns a number, or None, for each of ``features``, and
+    raises on a string it cannot handle. Such a string gets zeros and the text of its error, every other a null error; no
+    string fails its task. A null string gets zeros and the error "no text". Cells that are None, NaN or infinite
+    become as in ``feature_table``, which also says which features are left out. Columns of the two names are replaced.
+
+    The distinct strings are found by partial aggregates, computed in one go and written with their digests. A join on the
+    digest brings them back; strings in more than HOT_SHARE of the rows, of which there are few, are broadcast, so no task gets all
+    rows of one string.
+    """
+    kept = [i for i, f in enumerate(features) if f not in FORBIDDEN]
+    width = len(features)
+
+    def one(text: str) -> tuple[list[float | None] | None, str | None]:
+        try:
+            values = [None if v is None else float(v) for v in compute(text)]
+            if len(values) != width:
+                raise ValueError(f"{len(values)} features instead of {width}")
+            return [values[i] for i in kept], None
+        except Exception as failure:  # whatever a library raises is a finding about the string
+            return None, f"{type(failure).__name__}: {failure}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(text) for text in batch["_text"].to_pylist()]
+            values = pa.array([m[0] for m in made], pa.list_(pa.float64()))
+            errors = pa.array([m[1] for m in made], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["_digest"], batch["_n"], values, errors], ["_digest", "_n", "_values", "_error"])
+
+    text = F.col(text_col).cast("string")
+    known = df.where(text.isNotNull()).groupBy(text.alias("_text")).agg(F.count("*").alias("_n"))
+    # Adaptive execution would put many strings into a task by their bytes; here the time per string counts.
+    known = known.repartition("_text").select(F.sha2("_text", 256).alias("_digest"), "_n", "_text")
+    schema = "_digest string, _n bigint, _values array<double>, _error string"
+    made = stage(known.mapInArrow(run, schema), "features")
+    hot = F.broadcast(made.where(F.col("_n") > HOT_SHARE * made.agg(F.sum("_n")).scalar()))
+    rows = df.drop(name, error) if text_col not in (name, error) else df
+    rows = rows.withColumn("_digest", F.sha2(text, 256))
+    often = rows.join(hot, "_digest")
+    seldom = rows.join(hot, "_digest", "left_anti").join(made, "_digest", "left")
+    zeros = F.array(*[F.lit(0.0) for _ in kept])
+    return (
+        often.unionByName(seldom)
+        .withColumn(name, F.when(F.col("_values").isNull(), zeros).otherwise(nan_to_num(F.col("_values"))))
+        .withColumn(error, F.when(F.col("_digest").isNull(), "no text").otherwise(F.col("_error")))
+        .drop("_digest", "_n", "_values", "_error")
+    )
+
+
+def feature_failures(made: DataFrame, id_col: str, error: str = "feature_error") -> DataFrame:
+    """What went wrong in ``computed_features``: (error, n_rows, first id), one row per error text."""
+    failed = made.where(F.col(error).isNotNull())
+    return failed.groupBy(F.col(error).alias("error")).agg(F.count("*").alias("n_rows"), F.min(id_col).alias("first_id"))
+
+
 def pick_variant(
     originals: DataFrame, candidates: DataFrame, id_col: str, original_col: str, variant_col: str, seed: int
 ) -> DataFrame:

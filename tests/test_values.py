@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from moltable.functions import columns as fn
 from moltable.operators import stats
+from moltable.operators.features import computed_features, feature_failures
 
 NAN, INF = float("nan"), float("inf")
 
@@ -129,3 +130,30 @@ def test_moments_merge_as_one_pass(spark):
         got = merged.pop(r["column"])
         assert got["mean"] == pytest.approx(r["mean"], rel=1e-9, nan_ok=True) and got["std"] == pytest.approx(r["std"], rel=1e-9)
     assert not merged
+
+
+def test_computed_features_once_per_string(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def compute(text):
+        calls.add(1)
+        if text == "bad":
+            raise ValueError("no structure")
+        if text == "short":
+            return [1.0]
+        return [len(text), NAN if text == "nan" else None if text == "none" else INF if text == "inf" else 2, 7]
+
+    texts = ["hot"] * 3000 + ["bad", "bad", "short", "nan", "none", "inf", "", None, None] + [f"t{i}" for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(5)
+    made = computed_features(rows.withColumn("labels", F.lit("x")), "text", compute, ["n", "odd", "Ipc"])
+    out = {r.id: r for r in made.collect()}
+    assert calls.value == len({t for t in texts if t is not None})
+    assert len(out) == len(texts) and made.columns == ["id", "text", "labels", "feature_error"]
+    for i, text in enumerate(texts):
+        failed = {"bad": "ValueError: no structure", "short": "ValueError: 1 features instead of 3", None: "no text"}.get(text)
+        assert out[i].text == text and out[i].feature_error == failed
+        assert out[i].labels == ([0.0, 0.0] if failed else [len(text), 0.0 if text in ("nan", "none", "inf") else 2.0])
+    wrong = {tuple(r) for r in feature_failures(made, "id").collect()}
+    assert wrong == {("ValueError: no structure", 2, 3000), ("ValueError: 1 features instead of 3", 1, 3002), ("no text", 2, 3007)}
+    empty = computed_features(rows.where("id < 0"), "text", compute, ["n", "odd", "Ipc"])
+    assert empty.count() == 0
