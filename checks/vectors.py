@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from checks.features import CELLS_SQL
 from checks.registry import check, table
 from moltable.operators.pooling import linear_merge, pool
-from moltable.operators.score import batch_map, linear_model, predict
+from moltable.operators.score import batch_map, linear_model, predict, store_weights, stored_model
 from moltable.operators.stats import log_transform, undo_transforms
+from moltable.runtime import new_path
 
 DIM, LAYERS, LAST_K = 64, 4, 3
 
@@ -115,6 +116,24 @@ def udf_predict(spark, sf_dir):
     return scored.select("vec_id", logit[0].alias("first"), logit[1].alias("second"))
 
 
+@check(
+    "udf_predict_stored",
+    f"""
+    SELECT vec_id, round(sum(x * (idx + 1) / 64)::DOUBLE + 0.5, 3) AS first, round(sum(x * (idx % 7))::DOUBLE, 3) AS last
+    FROM ({CELLS_SQL}) GROUP BY vec_id
+    """,
+)
+def udf_predict_stored(spark, sf_dir):
+    """A wide head of 4,096 outputs from a file that every worker maps; its first and last outputs are compared."""
+    idx = np.arange(DIM)
+    weights = np.zeros((DIM, 4096))
+    weights[:, 0], weights[:, -1] = (idx + 1) / 64.0, idx % 7
+    path = store_weights(spark, new_path(spark, "head") + ".npy", weights, np.eye(1, 4096)[0] / 2)
+    scored = predict(table(spark, sf_dir, "embeddings"), "embedding", stored_model(spark, path))
+    logit = [F.round(F.element_at("logits", i).cast("double"), 3) for i in (1, -1)]
+    return scored.select("vec_id", logit[0].alias("first"), logit[1].alias("last"))
+
+
 @check(
     "udf_predict_undo",
     f"""

@@ -3,13 +3,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from moltable.operators import metrics as m
 from moltable.operators import runs
 from moltable.operators.pooling import POOLINGS, linear_merge, pool
-from moltable.operators.score import batch_map, linear_model, predict
+from moltable.operators.score import batch_map, linear_model, predict, store_weights, stored_model
 from moltable.sources import readers
 from moltable.streaming.logs import latest_log_table, latest_status, latest_table, stream_best_validation, stream_log_state
 
@@ -285,6 +286,34 @@ def test_scoring(spark):
     assert out == {i: [2.0 * i + 1.5] for i in range(10)}
 
 
+def test_large_head_is_mapped_from_a_file(spark, tmp_path):
+    weights = np.zeros((64, 400_000))  # 205 MB
+    weights[:, 0], weights[3, -1] = 1.0, 2.0
+    load = stored_model(spark, store_weights(spark, f"{tmp_path}/large_head.npy", weights))
+    assert len(cloudpickle.dumps(load)) < 10_000
+    df = spark.range(6).select("id", F.when(F.col("id") != 4, F.array(*[F.col("id").cast("float")] * 64)).alias("v"))
+    scored = predict(df, "v", load, batch_bytes=1 << 20)
+    out = scored.select("id", F.size("logits").alias("n"), F.element_at("logits", 1).alias("a"), F.element_at("logits", -1).alias("z"))
+    assert {tuple(r) for r in out.collect()} == {(i, 400_000, 64.0 * i, 2.0 * i) for i in (0, 1, 2, 3, 5)} | {(4, None, None, None)}
+    with pytest.raises(Exception, match="exists"):
+        store_weights(spark, f"{tmp_path}/large_head.npy", weights[:, :2])
+
+
+@pytest.mark.parametrize("limit,most", [(1, 1), (8 * 3 * 5, 5), (1 << 20, 100)])
+def test_models_get_batches_of_bounded_bytes(spark, limit, most):
+    df = spark.range(100).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")).coalesce(1)
+
+    def load():
+        def score(batch):
+            return np.full((len(batch), 1), len(batch), float)
+
+        score.outputs = 1
+        return score
+
+    sizes = [r.logits[0] for r in predict(df, "v", load, batch_bytes=limit).collect()]
+    assert len(sizes) == 100 and max(sizes) == most
+
+
 def test_batches_are_bounded(spark):
     df = spark.range(5000).coalesce(1)
     out = batch_map(df, lambda b: b.assign(n=len(b)), "n bigint", remove=["id"])
