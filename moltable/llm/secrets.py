@@ -5,6 +5,7 @@ DataFrame functions only. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,42 +51,80 @@ ENCODINGS = {
     "base64url": (_UPPER + _LOWER + _DIGITS + "-_", 0.06),
 }
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
+_CHUNK = 128  # elements of an array that running values and cuts of a text treat at once; changes no result
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(values: Column) -> Column:
+    """An array in pieces of _CHUNK elements; none for an empty array."""
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(_CHUNK))
+    pieces = lambda: F.transform(starts, lambda at: F.slice(values, at, F.lit(_CHUNK)))
+    return F.when(F.size(values) > 0, pieces()).otherwise(F.slice(F.array(values), 1, 0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """Running values of an array of ints: step(step(start, first), second) and so on; ``step`` is associative.
+
+    An array grows by being copied, so it grows within chunks, and the chunks' totals among themselves.
+    """
+    none = F.array().cast("array<int>")
+
+    def grown(chunk: Column) -> Column:
+        return F.aggregate(
+            chunk, none, lambda got, v: F.array_append(got, step(F.coalesce(F.try_element_at(got, F.lit(-1)), F.lit(start)), v))
+        )
+
+    def put_together(inner: Column) -> Column:
+        totals = F.transform(inner, lambda c: F.element_at(c, -1))
+        before = lambda totals: F.array_insert(totals, 1, F.lit(start))
+        shifted = _let(grown(totals), lambda t: F.slice(before(t), F.lit(1), F.size(t)))
+        return F.flatten(F.zip_with(inner, shifted, lambda c, b: F.transform(c, lambda v: step(b, v))))
+
+    return _let(F.transform(_chunks(values), grown), put_together)
+
+
+def _ends(parts: Column, between: int = 0) -> Column:
+    """Where each part of a text ends, parts being ``between`` characters apart."""
+    lengths = F.transform(parts, lambda part: F.length(part) + between)
+    return F.transform(_let(lengths, lambda n: _running(n, lambda a, b: a + b)), lambda end: end - between)
 
 
 def _found(text: Column, pattern: str) -> Column:
     """Matches of ``pattern`` as array of (start, end, match); ``text`` holds no marks of its own."""
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)  # between, match, between, match, ..., between
-    none = F.array().cast("array<int>")
-    ends = F.aggregate(
-        parts,
-        none,
-        lambda got, part: F.array_append(got, F.coalesce(F.try_element_at(got, F.lit(-1)), F.lit(0)) + F.length(part)),
-    )
-    spans = F.zip_with(
-        parts,
-        ends,
-        lambda part, end: F.struct((end - F.length(part)).alias("start"), end.alias("end"), part.alias("match")),
-    )
+
+    def odd(parts: Column) -> Column:  # between, match, between, match, ..., between
+        spans = F.zip_with(
+            parts,
+            _ends(parts),
+            lambda part, end: F.struct((end - F.length(part)).alias("start"), end.alias("end"), part.alias("match")),
+        )
+        return F.filter(spans, lambda s, i: i % 2 == 1)
+
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    odd = F.filter(spans, lambda s, i: i % 2 == 1)
-    return F.when(text.rlike(pattern), odd).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1), odd)).otherwise(empty)
 
 
 def _upper_tail(z: Column) -> Column:
     """Chance that a normal deviate exceeds ``z``; a published polynomial, good to 1e-7."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
     coefficients = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    series = reduce(lambda acc, c: acc * t + F.lit(c), reversed(coefficients), F.lit(0.0)) * t
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * series
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(x: Column) -> Column:
+        series = _let(
+            1 / (1 + 0.2316419 * x), lambda t: reduce(lambda acc, c: acc * t + F.lit(c), reversed(coefficients), F.lit(0.0)) * t
+        )
+        return F.exp(-x * x / 2) / 2.5066282746310002 * series
+
+    return _let(z, lambda z: _let(_let(F.abs(z), tail), lambda p: F.when(z >= 0, p).otherwise(1 - p)))
 
 
 def _chi_square_tail(chi: Column, df: Column) -> Column:
     """Chance that a chi-squared variable exceeds ``chi`` (cube-root approximation)."""
-    spread = 2 / (9 * df)
-    return _upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+    return _let(2 / (9 * df), lambda spread: _upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)))
 
 
 def _total(values: Column) -> Column:
@@ -99,30 +138,27 @@ def _grow(array: Column, **new) -> Column:
 
 def _parts(run: Column) -> Column:
     """The run without padding, and its parts between separators, as array of (start, end, core); the last keeps the padding."""
-    core = F.regexp_replace(run["match"], "=+$", "")
-    none = F.array().cast("array<int>")
 
-    def cut(separators: str) -> Column:
-        parts = F.split(core, separators, -1)
-        ends = F.aggregate(
-            parts,
-            none,
-            lambda got, part: F.array_append(got, F.coalesce(F.try_element_at(got, F.lit(-1)) + 1, F.lit(0)) + F.length(part)),
-        )
-        spans = F.zip_with(
-            parts,
-            ends,
-            lambda part, end: F.struct(
-                (run["start"] + end - F.length(part)).alias("start"),
-                F.when(end == F.length(core), run["end"]).otherwise(run["start"] + end).alias("end"),
-                part.alias("core"),
-            ),
-        )
-        return F.filter(spans, lambda s: F.length(s["core"]) >= MIN_LENGTH)
+    def cut(core: Column, separators: Column) -> Column:
+        def spans(parts: Column) -> Column:
+            return F.zip_with(
+                parts,
+                _ends(parts, between=1),
+                lambda part, end: F.struct(
+                    (run["start"] + end - F.length(part)).alias("start"),
+                    F.when(end == F.length(core), run["end"]).otherwise(run["start"] + end).alias("end"),
+                    part.alias("core"),
+                ),
+            )
+
+        return F.filter(_let(F.split(core, separators, -1), spans), lambda s: F.length(s["core"]) >= MIN_LENGTH)
 
-    whole = F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), core.alias("core")))
-    cuts = F.array_distinct(F.concat(whole, *map(cut, SEPARATORS)))
-    return F.when(core.rlike(SEPARATORS[-1]), cuts).otherwise(whole)
+    def all_cuts(core: Column) -> Column:
+        whole = F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), core.alias("core")))
+        cuts = F.flatten(F.transform(F.array(*map(F.lit, SEPARATORS)), lambda separators: cut(core, separators)))
+        return F.when(core.rlike(SEPARATORS[-1]), F.array_distinct(F.concat(whole, cuts))).otherwise(whole)
+
+    return _let(F.regexp_replace(run["match"], "=+$", ""), all_cuts)
 
 
 def _candidates(text: Column) -> Column:
@@ -136,18 +172,15 @@ def _candidates(text: Column) -> Column:
     runs = F.flatten(F.transform(runs, _parts))
     runs = F.filter(runs, lambda c: c["core"].rlike("[A-Za-z0-9]") & ~c["core"].rlike("^[0-9]+$"))
 
-    def by_encoding(c: Column, pick) -> Column:
+    def encoding(c: Column) -> Column:
         out = F.lit(None)
         for alphabet, rate in reversed(list(ENCODINGS.values())):
             inside = c["core"].rlike(f"^[{alphabet.replace('-', '')}{'-' if '-' in alphabet else ''}]+$")
-            out = F.when(inside, pick(alphabet, rate)).otherwise(out)
+            out = F.when(inside, F.struct(F.lit(alphabet).alias("alphabet"), F.lit(rate).alias("rate"))).otherwise(out)
         return out
 
-    runs = _grow(
-        runs,
-        alphabet=lambda c: by_encoding(c, lambda a, r: F.lit(a)),
-        rate=lambda c: by_encoding(c, lambda a, r: F.lit(r)),
-    )
+    runs = _grow(runs, encoding=encoding)
+    runs = _grow(runs, alphabet=lambda c: c["encoding"]["alphabet"], rate=lambda c: c["encoding"]["rate"])
     runs = F.filter(runs, lambda c: c["alphabet"].isNotNull())  # a mix of + and - or / and _ is no encoding; its parts are
     runs = _grow(
         runs,
@@ -191,10 +224,13 @@ def _candidates(text: Column) -> Column:
 
     def p_runs(c: Column) -> Column:
         n, above = c["n"], c["above"]
-        both = 2 * above * (n - above)
-        spread = F.sqrt(both * (both - n) / (n * n * (n - 1)))
-        z = F.abs(c["turns"] + 1 - (1 + both / n)) / spread
-        return F.when(both > n, 2 * _upper_tail(z)).otherwise(F.lit(0.0))
+
+        def p(both: Column) -> Column:
+            spread = F.sqrt(both * (both - n) / (n * n * (n - 1)))
+            z = F.abs(c["turns"] + 1 - (1 + both / n)) / spread
+            return F.when(both > n, 2 * _upper_tail(z)).otherwise(F.lit(0.0))
+
+        return _let(2 * above * (n - above), p)
 
     def p_serial(c: Column) -> Column:
         z = F.abs(c["serial"] / c["scatter"] + 1 / (c["n"] - 1)) * F.sqrt(c["n"] - 1)
@@ -283,13 +319,28 @@ def with_secrets(docs: DataFrame, limits: dict[int, int], text_col: str = "text"
     """
     plain = _plain(F.col(text_col))
     found = docs.withColumn("base_spans", _base(plain)).withColumn("secret_spans", _accepted(_candidates(plain), limits))
-    covers = lambda b, c: (b["start"] <= c["start"]) & (c["end"] <= b["end"])
-    longer = lambda a, c: covers(a, c) & (a["end"] - a["start"] > c["end"] - c["start"])
-    new = F.filter(
-        F.col("secret_spans"),
-        lambda c: ~F.exists(F.col("base_spans"), lambda b: covers(b, c)) & ~F.exists(F.col("secret_spans"), lambda a: longer(a, c)),
+    return found.withColumn(
+        "secret_spans", F.array_sort(F.concat(F.col("base_spans"), _spans(_uncovered(F.col("base_spans"), F.col("secret_spans")), "random")))
+    )
+
+
+def _uncovered(base: Column, accepted: Column) -> Column:
+    """The accepted strings that no base span and no longer accepted string covers.
+
+    By start, then longest first, then base spans first: what covers a span comes before it, so it is covered if one
+    before it ends no earlier. One pass over the spans, not each against all.
+    """
+    order = lambda s, mine: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("down"), F.lit(mine).alias("mine"), s["end"].alias("end")
     )
-    return found.withColumn("secret_spans", F.array_sort(F.concat(F.col("base_spans"), _spans(new, "random"))))
+
+    def fresh(spans: Column) -> Column:
+        reached = F.array_insert(_running(F.transform(spans, lambda s: s["end"]), F.greatest), 1, F.lit(0))
+        seen = F.zip_with(spans, F.slice(reached, F.lit(1), F.size(spans)), lambda s, at: s.withField("reached", at))
+        return F.filter(seen, lambda s: s["mine"] & (s["reached"] < s["end"]))
+
+    every = F.concat(F.transform(base, lambda s: order(s, False)), F.transform(accepted, lambda s: order(s, True)))
+    return _let(F.array_sort(every), fresh)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -310,12 +361,22 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, or union of overlapping spans, replaced by ``mark``; null stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
+    def piece(part: Column, first: Column, s: Column) -> Column:
+        between = F.substring(part, s["at"] - first + 1, s["start"] - s["at"])
+        return F.when(s["start"] >= s["at"], F.concat(between, F.lit(mark))).otherwise("")
+
+    def pieces(chunk: Column) -> Column:
+        # A position in a text is found by counting from its start, so the part of a chunk is cut out first.
+        first, last = F.get(chunk, F.lit(0))["at"], F.element_at(chunk, -1)["start"]
+        return _let(F.substring(text, first + 1, last - first), lambda part: F.transform(chunk, lambda s: piece(part, first, s)))
+
+    def put_together(reached: Column) -> Column:
+        before = F.slice(F.array_insert(reached, 1, F.lit(0)), F.lit(1), F.size(reached))
+        seen = F.zip_with(spans, before, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
+        cut = _let(seen, lambda seen: F.flatten(F.transform(_chunks(seen), pieces)))
+        rest = F.substring(text, F.element_at(reached, -1) + 1, F.length(text))
+        return F.concat(F.array_join(cut, ""), rest)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), put_together)
     return F.when(F.size(spans) > 0, done).otherwise(text)
