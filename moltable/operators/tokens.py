@@ -20,6 +20,7 @@ from moltable.runtime import stage
 PAD_MULTIPLE = 8  # padded lengths are multiples of this
 IGNORE_INDEX = -100  # fixed value: label of positions the loss leaves out
 BLOCK_ROWS = 1_000_000  # positions ordered by one task
+SLICE_STRINGS = 1 << 17  # elements of lists that a worker handles at a time; what is made of an Arrow batch goes back in such pieces
 CACHED_PIECES = 200_000  # encoded pieces a task remembers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,8 +54,19 @@ def _encode_piece(piece: str, ids: dict, ranks: dict, unk: int) -> list[int]:
     return [ids.get(p, unk) for p in parts if p is not None]
 
 
+def _slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """The rows of a batch, as many at a time as hold ``SLICE_STRINGS`` elements, at least one."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(lists):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + SLICE_STRINGS, side="right")))
+        yield lists.slice(at, stop - at)
+        at = stop
+
+
 def _map_lists(lists: pa.Array, encode: Callable[[pa.Array], tuple[pa.Array, np.ndarray | None]]) -> pa.Array:
-    """Replace the strings of list rows by ids, over the whole batch at once.
+    """Replace the strings of list rows by ids, over all rows at once.
 
     ``encode`` maps the flat strings to flat ids and, where a string is not one id, how many each
     has. A missing list becomes an empty one.
@@ -71,8 +83,8 @@ def _map_lists(lists: pa.Array, encode: Callable[[pa.Array], tuple[pa.Array, np.
 def encode_bpe(df: DataFrame, text_col: str, vocab: Vocabulary, unk: str = "[UNK]", name: str = "ids") -> DataFrame:
     """Add the ids of a text under a byte-pair vocabulary.
 
-    No shuffle: pieces are cut in the JVM and merged in Arrow batches, each distinct piece of a
-    batch once, and remembered. What every task is sent is the vocabulary, whose size is fixed.
+    No shuffle: pieces are cut in the JVM and merged in slices of Arrow batches, each distinct piece of a
+    slice once, and remembered. What every task is sent is the vocabulary, whose size is fixed.
     """
     ids, ranks = vocab.ids, {}
     for rank, pair in enumerate(vocab.merges):
@@ -96,7 +108,8 @@ def encode_bpe(df: DataFrame, text_col: str, vocab: Vocabulary, unk: str = "[UNK
             return spread.flatten(), pc.list_value_length(spread).to_numpy(zero_copy_only=False)
 
         for batch in batches:
-            yield _map_lists(batch, encode)
+            for some in _slices(batch):
+                yield _map_lists(some, encode)
 
     return df.withColumn(name, run(pretokenize(F.col(text_col))))
 

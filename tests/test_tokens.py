@@ -165,3 +165,26 @@ def test_bucketed_batches(spark, monkeypatch):
     for at, i in enumerate(order):
         batch = order[at // 10 * 10 : at // 10 * 10 + 10]
         assert (got[i].batch, got[i].pad_len, len(got[i].ids)) == (at // 10, max(-(-lengths[j] // 8) * 8 for j in batch), lengths[i])
+
+
+def _slices_only(monkeypatch, limit):
+    """Make ``_map_lists`` refuse more strings than ``limit`` in several rows at a time."""
+    plain = tk._map_lists
+
+    def guarded(lists, encode):
+        assert len(lists) == 1 or len(lists.flatten()) <= limit
+        return plain(lists, encode)
+
+    monkeypatch.setattr(tk, "SLICE_STRINGS", limit)
+    monkeypatch.setattr(tk, "_map_lists", guarded)
+
+
+SLICED = ["a b a", "", None, "q a b a b a b a b", "b", "a", "b a"] * 20
+
+
+def test_byte_pair_encoding_takes_slices_of_a_batch(spark, monkeypatch):
+    _slices_only(monkeypatch, 5)
+    df = spark.createDataFrame(list(enumerate(SLICED)), "i int, t string").coalesce(1)
+    out = tk.encode_bpe(df, "t", vc.Vocabulary([*SPECIAL, "a", "b", "Ġ"]))
+    id_of = {"a": 5, "b": 6, " ": 7}
+    assert {r.i: r.ids for r in out.collect()} == {i: [id_of.get(c, 0) for c in t or ""] for i, t in enumerate(SLICED)}
