@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, table, texts
-from moltable.operators.features import computed_features, feature_failures, feature_table, pick_variant, text_features
+from moltable.operators.features import computed_features, feature_failures, feature_table, pick_variant, python_feature, text_features
 from moltable.operators.stats import (
     SURFACE_NAMES,
     append_moments,
@@ -53,12 +54,11 @@ def feat_table(spark, sf_dir):
     "SELECT doc_id, length(text)::DOUBLE AS n_chars, len(regexp_extract_all(text, '[A-Z]'))::DOUBLE AS n_upper FROM documents",
 )
 def udf_feature(spark, sf_dir):
-    @F.pandas_udf("double")
-    def upper_letters(text: pd.Series) -> pd.Series:
-        return text.str.count("[A-Z]").astype("float64")
+    def upper_letters(text):
+        return float(len(re.findall("[A-Z]", text)))
 
     docs = texts(spark, sf_dir)
-    made = feature_table(docs, "text", {"n_chars": F.length("text"), "n_upper": upper_letters("text")})
+    made = feature_table(docs, "text", {"n_chars": F.length("text"), "n_upper": python_feature("text", upper_letters)})
     return made.select("doc_id", F.col("labels")[0].alias("n_chars"), F.col("labels")[1].alias("n_upper"))
 
 

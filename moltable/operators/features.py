@@ -6,7 +6,9 @@ import sys
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from moltable.operators.index import seeded_digest
 from moltable.runtime import stage
 
 FORBIDDEN = ("Ipc",)  # fixed value: a descriptor whose size ruins every statistic
+SLICE_BYTES = 4 << 20  # of strings that a worker turns into Python objects at a time
 HOT_SHARE = 0.001  # a string in a larger share of the rows is hot; there are less than 1 / HOT_SHARE of them
 
 # Tasks get these functions by value, so workers need not have the package installed.
@@ -44,6 +47,33 @@ def text_features(text: Column) -> dict[str, Column]:
     }
 
 
+def text_slices(batch: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """The strings of a batch, as many at a time as have ``limit`` bytes (``SLICE_BYTES``), at least one."""
+    limit = SLICE_BYTES if limit is None else limit
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def python_feature(text: Column | str, compute: Callable[[str], float | None]) -> Column:
+    """A feature that plain Python computes from a string, row by row; null where the string is.
+
+    A worker makes Python strings of ``SLICE_BYTES`` of an Arrow batch at a time, so its memory does not follow the length of the texts.
+    """
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for some in text_slices(batch):
+                yield pa.array([None if t is None else compute(t) for t in some.to_pylist()], pa.float64())
+
+    return run(text)
+
+
 def feature_names(features: dict[str, Column]) -> list[str]:
     return [name for name in features if name not in FORBIDDEN]
 

@@ -1,8 +1,11 @@
 import math
 
 import pytest
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from moltable.operators.features import python_feature, text_slices
 from moltable.functions import columns as fn
 from moltable.operators import stats
 from moltable.operators.features import computed_features, feature_failures
@@ -157,3 +160,13 @@ def test_computed_features_once_per_string(spark):
     assert wrong == {("ValueError: no structure", 2, 3000), ("ValueError: 1 features instead of 3", 1, 3002), ("no text", 2, 3007)}
     empty = computed_features(rows.where("id < 0"), "text", compute, ["n", "odd", "Ipc"])
     assert empty.count() == 0
+
+
+def test_python_feature_takes_bounded_slices(spark):
+    texts = ["ABc", "", None, "x" * 50, "É Z"] * 5
+    cut = list(text_slices(pa.array(texts), 10))
+    assert pa.concat_arrays(cut).to_pylist() == texts
+    assert all(len(c) == 1 or pc.sum(pc.binary_length(c)).as_py() <= 10 for c in cut)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    out = df.select("i", python_feature("t", lambda t: float(sum(c.isupper() for c in t))).alias("n")).collect()
+    assert {r.i: r.n for r in out} == {i: None if t is None else float(sum(c.isupper() for c in t)) for i, t in enumerate(texts)}
