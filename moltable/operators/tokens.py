@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import sys
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltable.operators.index import digest_number, seeded_digest, with_running
+from moltable.operators.index import with_running
 from moltable.operators.vocab import Vocabulary, pretokenize
 from moltable.runtime import stage
 
@@ -201,39 +202,55 @@ def mlm_mask(
     id_col: str, ids: Column, special: list[int], mask_id: int, vocab_size: int, seed: int,
     mlm_probability: float = 0.30, mask_replace: float = 0.8, random_replace: float = 0.1,
 ) -> Column:
-    """Array of (input_id, label) for masked-language-model training.
+    """Array of (input_id, label) for masked-language-model training, both 32-bit as the ids that the encoders make.
 
     A share of the non-special tokens is chosen; of those most become the mask, some a random id
     and the rest stay. Labels are the ids chosen and IGNORE_INDEX elsewhere. Each token has one draw
     in [0, 1): below the share it is chosen, and where below decides what becomes of it. Four
-    draws come from one digest of seed, row and place, so they do not depend on partitioning.
+    draws come from one digest of seed, row and place, so they do not depend on partitioning. Missing
+    tokens stay so, and a missing list gives none.
     """
-    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(ids) - 1, F.lit(0)) / 4).cast("int"))
-    digests = F.transform(blocks, lambda b: seeded_digest(seed, id_col, b))
-    numbers = F.transform(digests, lambda h: F.array(*[digest_number(h, 1 + 8 * i, 8) for i in range(4)]))
-    draws = F.slice(F.flatten(numbers), F.lit(1), F.size(ids))
-
-    def cell(token: Column, number: Column) -> Column:
-        draw = number / F.lit(float(16**8))
-        chosen = (draw < mlm_probability) & ~token.isin(special)
-        within = draw / F.lit(mlm_probability)
-        drawn = F.floor((within - F.lit(mask_replace)) / F.lit(random_replace) * F.lit(vocab_size)).cast("int")
-        replaced = (
-            F.when(within < mask_replace, F.lit(mask_id))
-            .when(within < mask_replace + random_replace, F.least(drawn, F.lit(vocab_size - 1)))
-            .otherwise(token)
-        )
-        return F.struct(
-            F.when(chosen, replaced).otherwise(token).alias("input_id"),
-            F.when(chosen, token).otherwise(F.lit(IGNORE_INDEX)).alias("label"),
-        )
-
-    return F.zip_with(ids, draws, cell)
+
+    @F.arrow_udf("array<struct<input_id: int, label: int>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows, lists in batches:
+            at = 0
+            for some in _slices(lists):
+                names = rows.slice(at, len(some)).to_pylist()
+                at += len(some)
+                counts = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+                flat = some.flatten()
+                there = flat.is_valid().to_numpy(zero_copy_only=False)
+                tokens = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+                blocks = -(-counts // 4)
+                digests = [hashlib.md5(f"{n}-{b}".encode()).digest() for n, k in zip(names, blocks.tolist(), strict=True) for b in range(k)]
+                numbers = np.frombuffer(b"".join(digests), ">u4")
+                ends = np.cumsum(counts)
+                skipped = 4 * (np.cumsum(blocks) - blocks) - (ends - counts)  # numbers of earlier rows that no token takes
+                draws = numbers[np.arange(len(tokens)) + np.repeat(skipped, counts)] / float(16**8)
+                chosen = np.flatnonzero((draws < mlm_probability) & there & ~np.isin(tokens, special))
+                within = draws[chosen] / mlm_probability
+                masked = within < mask_replace
+                drawn = ~masked & (within < mask_replace + random_replace)
+                inputs, labels = tokens.copy(), np.full(len(tokens), IGNORE_INDEX, np.int32)
+                labels[chosen] = tokens[chosen]
+                inputs[chosen[masked]] = mask_id
+                other = np.floor((within[drawn] - mask_replace) / random_replace * vocab_size).astype(np.int32)
+                inputs[chosen[drawn]] = np.minimum(other, vocab_size - 1)
+                cells = pa.StructArray.from_arrays([pa.array(inputs, mask=~there), pa.array(labels)], ["input_id", "label"])
+                offsets = pa.array(np.concatenate([[0], ends]), type=pa.int32())
+                yield pa.ListArray.from_arrays(offsets, cells, mask=some.is_null())
+
+    return run(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")), ids.cast("array<int>"))
 
 
 def loss_positions(df: DataFrame, id_col: str, cells_col: str) -> DataFrame:
-    """Only the positions the loss looks at: (id, pos, input_id, label)."""
-    cells = df.select(id_col, F.posexplode(cells_col).alias("pos", "c"))
+    """Only the positions the loss looks at: (id, pos, input_id, label).
+
+    Spark would test lists for emptiness below an inner ``posexplode``, which makes the cells twice; the outer one adds only rows
+    without a label, which go with the others.
+    """
+    cells = df.select(id_col, F.posexplode_outer(cells_col).alias("pos", "c"))
     return cells.select(id_col, "pos", "c.input_id", "c.label").where(F.col("label") != IGNORE_INDEX)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -188,3 +189,33 @@ def test_byte_pair_encoding_takes_slices_of_a_batch(spark, monkeypatch):
     out = tk.encode_bpe(df, "t", vc.Vocabulary([*SPECIAL, "a", "b", "Ġ"]))
     id_of = {"a": 5, "b": 6, " ": 7}
     assert {r.i: r.ids for r in out.collect()} == {i: [id_of.get(c, 0) for c in t or ""] for i, t in enumerate(SLICED)}
+
+
+def test_masks_are_the_draws_of_the_digests_in_any_slices(spark, monkeypatch):
+    monkeypatch.setattr(tk, "SLICE_STRINGS", 6)
+    lists = [[7] * 9, [], None, [1, 8, None, 9, 10], [2], list(range(40))] * 3
+    df = spark.createDataFrame([(None if i == 4 else i, x) for i, x in enumerate(lists)], "i int, ids array<int>").coalesce(1)
+    made = df.select("i", tk.mlm_mask("i", F.col("ids"), [0, 1, 2], 4, 500, 9).alias("cells"))
+    got = {r.i: r.cells for r in made.collect()}
+    for i, ids in enumerate(lists):
+        want = []
+        for at, x in enumerate(ids or []):
+            name = f"9-{at // 4}" if i == 4 else f"9-{i}-{at // 4}"
+            draw = int(hashlib.md5(name.encode()).hexdigest()[8 * (at % 4) :][:8], 16) / 16**8
+            within = draw / 0.3
+            if x is None or x < 3 or draw >= 0.3:
+                want.append((x, -100))
+            else:
+                want.append((4 if within < 0.8 else min(int((within - 0.8) / 0.1 * 500), 499) if within < 0.8 + 0.1 else x, x))
+        cells = got[None if i == 4 else i]
+        assert cells is None if ids is None else [tuple(c) for c in cells] == want
+
+
+def test_loss_positions_make_the_cells_once(spark):
+    df = spark.createDataFrame([(1, list(range(5, 60))), (2, []), (3, None)], "i int, ids array<int>")
+    masked = df.select("i", tk.mlm_mask("i", F.col("ids"), [0], 4, 500, 1).alias("cells"))
+    kept = tk.loss_positions(masked, "i", "cells")
+    want = {(r.i, at, c.input_id, c.label) for r in masked.collect() for at, c in enumerate(r.cells or []) if c.label != -100}
+    assert {tuple(r) for r in kept.collect()} == want and want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(") == 1
