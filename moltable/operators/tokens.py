@@ -119,7 +119,7 @@ def encode_words(df: DataFrame, word_lists: Column, vocab: Vocabulary, unk: str
     """Add the id of each word of a list, ``unk`` for those not in the vocabulary.
 
     No shuffle: joining the words to the vocabulary would move every occurrence twice, to the
-    token and back to its text. The fixed vocabulary is looked up in Arrow batches instead.
+    token and back to its text. The fixed vocabulary is looked up in slices of Arrow batches instead.
     """
     tokens, unk_id = vocab.tokens, vocab.ids[unk]
 
@@ -131,7 +131,8 @@ def encode_words(df: DataFrame, word_lists: Column, vocab: Vocabulary, unk: str
             return pc.fill_null(pc.index_in(words, value_set=known), unk_id), None
 
         for batch in batches:
-            yield _map_lists(batch, encode)
+            for some in _slices(batch):
+                yield _map_lists(some, encode)
 
     return df.withColumn(name, run(word_lists))
 

@@ -191,6 +191,19 @@ def test_byte_pair_encoding_takes_slices_of_a_batch(spark, monkeypatch):
     assert {r.i: r.ids for r in out.collect()} == {i: [id_of.get(c, 0) for c in t or ""] for i, t in enumerate(SLICED)}
 
 
+def test_word_encoding_takes_slices_of_a_batch(spark, monkeypatch):
+    _slices_only(monkeypatch, 5)
+    df = spark.createDataFrame(list(enumerate(SLICED)), "i int, t string").coalesce(1)
+    encoded = tk.encode_words(df, vc.words(F.col("t")), vc.Vocabulary([*SPECIAL, "a", "b"]))
+    id_of = {"a": 5, "b": 6}
+    want = [[id_of.get(c, 0) for c in (t or "").split()] for t in SLICED]
+    assert {r.i: r.ids for r in encoded.collect()} == dict(enumerate(want))
+    used = tk.token_usage(encoded, "ids", spark.createDataFrame([(5, "a"), (6, "b"), (9, "c")], "id int, token string"))
+    assert {r.token: r.n for r in used.collect()} == {t: sum(w.count(i) for w in want) for i, t in ((5, "a"), (6, "b"), (9, "c"))}
+    report = tk.vocabulary_report(encoded, "ids", 0).first()
+    assert (report.n_texts, report.n_tokens, report.n_distinct) == (len(want), sum(map(len, want)), 3)
+
+
 def test_masks_are_the_draws_of_the_digests_in_any_slices(spark, monkeypatch):
     monkeypatch.setattr(tk, "SLICE_STRINGS", 6)
     lists = [[7] * 9, [], None, [1, 8, None, 9, 10], [2], list(range(40))] * 3
