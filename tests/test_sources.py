@@ -1,6 +1,8 @@
 import json
 import warnings
 
+import pathlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -196,3 +198,26 @@ def test_sinks_leave_nothing_when_they_fail(spark, tmp_path):
     paths = feature_job(rows.select(text.alias("t")), "t", {"n": F.length("t").cast("double")}, str(tmp_path / "features"))
     assert readers.read_properties(spark, paths[0]).count() == 100
     assert sorted(p.name for p in tmp_path.iterdir()) == ["features", "splits"]
+
+
+def test_page_logs_are_one_file_each_written_and_listed_by_bounded_tasks(spark, tmp_path):
+    from checks import sources
+    from moltable.sources import readers
+
+    rows = [(i, f"<P>{i}\n") for i in range(120)] + [(7, "<b>again")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    folder = sources.page_logs(spark, str(tmp_path))
+    parts = [p for p in pathlib.Path(folder).rglob("part-*") if p.suffix == ".txt"]
+    assert len(parts) == 120 and len({p.name[:10] for p in parts}) > 4
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    own = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "")
+    whole = readers.read_log_whole(spark, folder)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < max(tasks) <= readers.LISTING_PER_CORE * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == own
+    got = {r.file: sorted(r.content.split("\n")) for r in whole.collect()}
+    assert len(got) == 120 and got["page_7"] == ["", "", "<b>again", "<p>7"] and got["page_8"] == ["", "", "<p>8"]
