@@ -256,8 +256,12 @@ def loss_positions(df: DataFrame, id_col: str, cells_col: str) -> DataFrame:
 
 
 def token_usage(encoded: DataFrame, ids_col: str, tokens: DataFrame) -> DataFrame:
-    """(id, token, n) for every token of the vocabulary, unused ones with 0."""
-    used = encoded.select(F.explode(ids_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    """(id, token, n) for every token of the vocabulary, unused ones with 0.
+
+    An inner ``explode`` would test lists for emptiness below it, for which every text is encoded twice, by two workers. The outer one adds
+    a null, which is no token.
+    """
+    used = encoded.select(F.explode_outer(ids_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     return tokens.join(used, "id", "left").select("id", "token", F.coalesce("n", F.lit(0)).alias("n"))
 
 

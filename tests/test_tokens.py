@@ -200,6 +200,7 @@ def test_word_encoding_takes_slices_of_a_batch(spark, monkeypatch):
     assert {r.i: r.ids for r in encoded.collect()} == dict(enumerate(want))
     used = tk.token_usage(encoded, "ids", spark.createDataFrame([(5, "a"), (6, "b"), (9, "c")], "id int, token string"))
     assert {r.token: r.n for r in used.collect()} == {t: sum(w.count(i) for w in want) for i, t in ((5, "a"), (6, "b"), (9, "c"))}
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     report = tk.vocabulary_report(encoded, "ids", 0).first()
     assert (report.n_texts, report.n_tokens, report.n_distinct) == (len(want), sum(map(len, want)), 3)
 
