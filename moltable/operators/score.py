@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -108,7 +109,9 @@ def predict(
 def batch_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, remove: list[str] = ()) -> DataFrame:
     """Apply ``fn`` to batches of at most BATCH_ROWS rows; ``remove`` leaves out consumed columns.
 
-    ``schema`` describes what ``fn`` returns once the removed columns are gone.
+    ``schema`` describes what ``fn`` returns once the removed columns are gone. ``fn`` may keep what it gets.
+
+    A worker holds one Arrow batch as pandas objects and what ``fn`` makes of one of its pieces, whatever the number of rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,5 +119,11 @@ def batch_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
             for start in range(0, len(batch), BATCH_ROWS):
                 out = fn(batch.iloc[start : start + BATCH_ROWS].reset_index(drop=True))
                 yield out.drop(columns=[c for c in remove if c in out.columns])
+                # A column and its .str refer to each other and hold the texts; Python looks for such circles by the number of
+                # objects, not by their size, so they are looked for here, among the young ones.
+                del out
+                gc.collect(1)
+            # Spark holds the frame while it makes the next one.
+            batch.drop(columns=batch.columns, inplace=True)
 
     return df.mapInPandas(run, schema)

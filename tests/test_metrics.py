@@ -1,5 +1,6 @@
 import math
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -318,3 +319,30 @@ def test_batches_are_bounded(spark):
     df = spark.range(5000).coalesce(1)
     out = batch_map(df, lambda b: b.assign(n=len(b)), "n bigint", remove=["id"])
     assert out.agg(F.max("n"), F.count("*")).first()[:] == (2048, 5000)
+
+
+def test_batches_are_freed(spark):
+    seen = []
+
+    def measure(batch):
+        alive = sum(earlier() is not None for earlier in seen)
+        text = batch["text"]
+        seen.append(weakref.ref(text))
+        return batch.assign(length=text.str.len(), alive=alive)  # text and text.str refer to each other
+
+    df = spark.range(25_000).select("id", F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text")).coalesce(1)
+    out = batch_map(df, measure, "id bigint, length bigint, alive bigint", remove=["text"])
+    assert out.agg(F.max("alive"), F.count("*"), F.countDistinct("id")).first()[:] == (0, 25_000, 25_000)
+    assert out.where("length <> id % 7").count() == 0
+
+
+def test_batched_functions_may_keep_what_they_get(spark):
+    kept = []
+
+    def first_words(batch):
+        kept.append(batch)
+        return batch.assign(first=kept[0]["text"].iloc[0], n=sum(len(b) for b in kept))
+
+    df = spark.range(12_000, numPartitions=1).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    out = batch_map(df, first_words, "first string, n bigint", remove=["text"])
+    assert out.agg(F.min("first"), F.max("first"), F.max("n"), F.count("*")).first()[:] == ("t0", "t0", 12_000, 12_000)
