@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moltable.operators import validate
 from moltable.operators.features import feature_names, feature_table, pick_variant, warn_if_kept
 from moltable.operators.prepare import clean_index, keep_labels
-from moltable.runtime import new_path, shared_folder, stage
+from moltable.runtime import local_path, new_path, shared_folder, stage
 from moltable.sources import catalog, readers, writers
 
 
@@ -221,3 +221,44 @@ def test_page_logs_are_one_file_each_written_and_listed_by_bounded_tasks(spark,
     assert spark.conf.get(key) == own
     got = {r.file: sorted(r.content.split("\n")) for r in whole.collect()}
     assert len(got) == 120 and got["page_7"] == ["", "", "<b>again", "<p>7"] and got["page_8"] == ["", "", "<p>8"]
+
+
+LOGS = [("a.log", "One"), ("b.log", None), ("b.log", "\u00c4\nx"), ("c=1 %.log", ""), ("notes", "no"), (None, "none"), ("", "empty")]
+
+
+def test_logs_on_a_disk_are_not_written_through_hadoop(spark, tmp_path):
+    folder = tmp_path / "logs"
+    logs = spark.createDataFrame([*LOGS, *((f"p{i}.log", f"L{i}") for i in range(60))], "file string, value string")
+    writers.write_logs(logs, f"file://{folder}")
+    files = [p for p in folder.rglob("*") if p.is_file()]
+    # Hadoop leaves a checksum beside each file and starts processes for both. Drafts are gone; null and empty names share a part.
+    assert all(p.name.startswith("part-") and p.suffix == ".txt" for p in files) and len(files) == 65
+    logs.write.partitionBy("file").text(str(tmp_path / "spark"))
+    assert sorted(p.name for p in folder.iterdir()) == sorted(p.name for p in (tmp_path / "spark").iterdir() if p.is_dir())
+    got = {r.file: r.content for r in readers.read_log_whole(spark, str(folder)).collect()}
+    want = {r.file: r.content for r in readers.read_log_whole(spark, str(tmp_path / "spark")).collect()}
+    assert {f: sorted(c.split("\n")) for f, c in got.items()} == {f: sorted(c.split("\n")) for f, c in want.items()}
+    assert got["a"] == "one\n" and sorted(got["b"].split("\n")) == ["", "", "x", "\u00e4"] and len(got) == 63
+    with pytest.raises(FileExistsError):
+        writers.write_logs(logs, str(folder))
+
+
+def test_logs_in_another_store_are_written_by_spark(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}/in")
+    assert local_path(spark, "viewfs://logs/in/x") is None and local_path(spark, str(tmp_path)) == str(tmp_path)
+    writers.write_logs(spark.createDataFrame(LOGS, "file string, value string"), "viewfs://logs/in/x")
+    got = {r.file: sorted(r.content.split("\n")) for r in readers.read_log_whole(spark, "viewfs://logs/in/x").collect()}
+    assert got["a"] == ["", "one"] and got["b"] == ["", "", "x", "\u00e4"] and len(got) == 3
+
+
+def test_very_many_logs_are_read_by_bounded_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.log").write_text(f"A{i}\n")
+    whole = readers.read_log_whole(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # a task for each log
+    try:
+        assert whole.rdd.getNumPartitions() <= readers.READING_PER_CORE * spark.sparkContext.defaultParallelism < 300
+        assert {r.file: r.content for r in whole.collect()} == {str(i): f"a{i}\n" for i in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
